@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontaminate, gam_quality, html_extract, quality_rules, token_counts, toxicity
+from tessera.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    gam_quality,
+    html_extract,
+    jaccard_join,
+    quality_rules,
+    repeat_index,
+    token_counts,
+    toxicity,
+)
 from tessera.llm.common import table
 
 
@@ -18,10 +29,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_index.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -45,8 +64,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_toxicity, op4_html_extraction, op6_chat_formatting, op7_benchmark_decontamination,
-        op8_quality_classifier, op9_bpe, op10_token_counts,
+        op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_html_extraction, op5_suffix_array_dedup, op6_chat_formatting,
+        op7_benchmark_decontamination, op8_quality_classifier, op9_bpe, op10_token_counts,
     )
 }
 
