@@ -18,7 +18,7 @@ RADIUS = 1 - threshold of each other.
    inside, the ones at the boundary, and is joined in the same way, ROUNDS times; points
    that links have brought together by then aren't compared. What
    remains is dealt out by distance in shells of RADIUS, each joined with itself and the
-   next one in blocks of SMALL points.
+   next one in blocks of BLOCK points.
 4. Candidates are dropped by their sizes and by the shingles that nobody shares, and then
    compared by their whole sets. Links are collapsed to components.
 
@@ -45,6 +45,7 @@ from tessera.llm.repeat_index import row_key
 WORDS, PERCENT = 3, 90
 SMALL = 24
 ROUNDS = 3
+BLOCK = 96
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -242,7 +243,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         if last:
             return found
         roots = components(found).withColumnRenamed("root", "new_root")
-        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).select("pivot", "point", "n", "own", "root", "main", "d")
+        # Regions with one centre go on as one: its points are at the same distances in each.
+        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).select(F.xxhash64("centre").alias("pivot"), "point", "n", "own", "root", "main", "d").distinct()
         placed = placed.join(roots, "point", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
         main = roots.select(F.col("point").alias("main"), "new_root")
         placed = staged(placed.join(main, "main", "left").withColumn("main", F.coalesce("new_root", "main")).drop("new_root"), "placed")
@@ -260,7 +262,7 @@ def _shells(rows: DataFrame, radius: float, percent: int) -> DataFrame:
     """
     shell = F.floor(F.col("at") / radius)
     dealt = rows.withColumn("shell", shell).withColumn("home", F.lit(True)).unionByName(rows.withColumn("shell", shell - 1).withColumn("home", F.lit(False)))
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("point"), blocks).cast("int")
     grid = F.transform(
         F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))

@@ -55,6 +55,7 @@ def corpus(seed: int, families: int = 12, copies: int = 8) -> list[tuple]:
 def test_components_match_brute_force(spark, monkeypatch, seed, k, percent, small, rounds):
     monkeypatch.setattr(J, "SMALL", small)
     monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "BLOCK", small)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, point string")
     got = sorted(map(tuple, J.op3(docs, k, percent).collect()), key=repr)
