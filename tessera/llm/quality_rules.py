@@ -102,18 +102,14 @@ def host_verdicts(measured: DataFrame, host_col: str = "source") -> DataFrame:
     spread = hosts.agg(
         F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("c")
     )
-    m, v, c = F.col("m"), F.col("v"), F.col("c")
-    own = F.greatest(v - m * (1 - m) * c, F.lit(1e-9))
-    weight = F.least(F.greatest(m * (1 - m) / own - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
-    prior = spread.select(m.alias("prior_rate"), weight.alias("prior_weight"))
-    shrunk = (F.col("host_failed") + F.col("prior_rate") * F.col("prior_weight")) / (F.col("host_docs") + F.col("prior_weight"))
-    return (
-        # The prior is one row, whatever the input.
-        hosts.crossJoin(F.broadcast(prior))
-        .withColumn("host_rate", shrunk)
-        .withColumn("host_kept", F.col("host_rate") < HOST_RATE)
-        .drop("prior_rate", "prior_weight")
-    )
+    told = spread.first()
+    if told["m"] is None:
+        prior, weight = 0.0, PRIOR_WEIGHT[0]
+    else:
+        prior, chance = told["m"], told["m"] * (1 - told["m"])
+        weight = min(max(chance / max(told["v"] - chance * told["c"], 1e-9) - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+    shrunk = (F.col("host_failed") + prior * weight) / (F.col("host_docs") + weight)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") < HOST_RATE)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
