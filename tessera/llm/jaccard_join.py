@@ -321,12 +321,10 @@ def op3(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFram
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a text of a smaller id in their component.
 
-    Rows of one id and text are one; texts without words all stay.
+    Rows of one id and text are one row; texts without words stay otherwise.
     """
     told = staged(joined(docs, words, percent, id_col, text_col), "joined")
     gone = (F.col("n_shingles") > 0) & ~F.col("id").eqNullSafe(F.col("component_id"))
-    kept = told.where(~gone).groupBy(F.col("row").alias("__row__")).agg(F.max(F.col("n_shingles")).alias("__n__"))
+    kept = told.where(~gone).select(F.col("row").alias("__row__")).distinct()
     keyed = docs.withColumn("__row__", row_key(F.col(id_col), F.col(text_col))).join(kept, "__row__")
-    # Copies of a row are told apart by nothing; the first stays.
-    once = keyed.where("__n__ > 0").dropDuplicates(["__row__"]).unionByName(keyed.where("__n__ = 0"))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.dropDuplicates(["__row__"]).select(*[F.col(f"`{c}`") for c in docs.columns])
