@@ -242,3 +242,68 @@ def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
 
     kind = pairs.schema["id"].dataType.simpleString()
     return pairs.select("id", "generated", "reference").mapInPandas(run, f"id {kind}, rouge_l double")
+
+
+def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
+    """METEOR of (id, generated, reference) by exact words: no stems, no synonyms."""
+
+    def score(a: str | None, b: str | None) -> float:
+        x, y = (a or "").lower().split(), (b or "").lower().split()
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(y):
+            places.setdefault(w, []).append(j)
+        matched: list[int] = []
+        runs, last = 0, None
+        for w in x:
+            free = places.get(w)
+            if not free:
+                last = None
+                continue
+            j = last + 1 if last is not None and last + 1 in free else free[0]
+            free.remove(j)
+            runs += last is None or j != last + 1
+            matched.append(j)
+            last = j
+        if not matched:
+            return 0.0
+        p, r = len(matched) / len(x), len(matched) / len(y)
+        return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (runs / len(matched)) ** beta)
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "meteor": [score(a, b) for a, b in zip(frame["generated"], frame["reference"])]})
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    return pairs.select("id", "generated", "reference").mapInPandas(run, f"id {kind}, meteor double")
+
+
+def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """CIDEr of (id, generated, reference): cosine of TF-IDF n-grams, averaged over n, times 10.
+
+    Document frequencies are those of all references.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    rows = pairs.select("id", split("generated").alias("g"), split("reference").alias("r"))
+    total = pairs.count()
+    made = None
+    for n in range(1, most + 1):
+        counted = lambda side, n=n: rows.select("id", F.explode(ngrams(F.col(side), n)).alias("x")).groupBy("id", "x").agg(F.count("*").alias("k"))
+        df = counted("r").groupBy("x").agg(F.count("*").alias("df"))
+        weighed = lambda side: counted(side).join(df, "x", "left").select("id", "x", (F.col("k") * F.log(total / F.coalesce("df", F.lit(1)))).alias(side))
+        both = weighed("g").join(weighed("r"), ["id", "x"], "full")
+        g, r = F.coalesce("g", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
+        size = F.sqrt(F.sum(g * g) * F.sum(r * r))
+        part = both.groupBy("id").agg(F.when(size > 0, F.sum(g * r) / size).otherwise(0.0).alias("s"))
+        made = part if made is None else made.unionByName(part)
+    return rows.select("id").join(made.groupBy("id").agg((F.sum("s") * 10 / most).alias("cider")), "id", "left").select("id", F.coalesce("cider", F.lit(0.0)).alias("cider"))
+
+
+def masked_group_loss(cells: DataFrame, labels: DataFrame, weights: list[float]) -> DataFrame:
+    """BCE of a linear score of the mask-weighted mean feature of each (vid, grp) with a label.
+
+    cells: vid, grp, mask, c, v. labels: vid, grp, y (null: not labelled).
+    """
+    w = F.array(*map(F.lit, weights))
+    pooled = cells.groupBy("vid", "grp", "c").agg((F.sum(F.col("v") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-6))).alias("v"))
+    scored = pooled.groupBy("vid", "grp").agg(F.sum(F.col("v") * F.get(w, F.col("c"))).alias("y_pred"))
+    return masked_loss(scored.join(labels, ["vid", "grp"]).select("y_pred", F.col("y").cast("double").alias("y_true")), kind="bce")

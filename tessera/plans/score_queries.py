@@ -346,3 +346,22 @@ def m9_rouge_l(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("generated")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
     return M.rouge_l(pairs)
+
+
+@query()
+def m9_meteor_cider(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("generated")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
+    return rounded(M.meteor(pairs).join(M.cider(pairs), "id"), "meteor", "cider")
+
+
+@query("""WITH g AS (SELECT vec_id AS vid, (i // 32)::INT AS grp, greatest(embedding[i + 1], 0)::DOUBLE AS mask, embedding[i + 1]::DOUBLE AS v, label FROM embeddings, (SELECT unnest(range(64)) AS i)),
+p AS (SELECT vid, grp, sum(v * mask) / greatest(sum(mask), 1e-6) * 2 AS x, (min(label) > 4)::INT AS y FROM g GROUP BY ALL)
+SELECT round(sum(y * (greatest(-x, 0) + ln(1 + exp(-abs(x)))) + (1 - y) * (greatest(x, 0) + ln(1 + exp(-abs(x))))) / count(*), 6) AS loss FROM p""")
+def m7_masked_group_loss(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    cells = e.select(F.col("vec_id").alias("vid"), F.posexplode("embedding").alias("i", "x")).select(
+        "vid", F.expr("i div 32").alias("grp"), F.greatest(F.col("x").cast("double"), F.lit(0.0)).alias("mask"), F.lit(0).alias("c"), F.col("x").cast("double").alias("v")
+    )
+    labels = e.select(F.col("vec_id").alias("vid"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("grp"), (F.col("label") > 4).cast("int").alias("y"))
+    return rounded(M.masked_group_loss(cells, labels, [2.0]), "loss")

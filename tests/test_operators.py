@@ -211,3 +211,15 @@ def test_incremental(spark, tmp_path):
     run()
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_text_scores(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "x y", "p q"), (3, "a b x c", "a b c"), (4, "", "a")], "id int, generated string, reference string")
+    rouge = {r["id"]: r["rouge_l"] for r in M.rouge_l(pairs).collect()}
+    assert rouge[1] == pytest.approx(1) and rouge[2] == 0 and 0.8 < rouge[3] < 1 and rouge[4] == 0
+    meteor = {r["id"]: r["meteor"] for r in M.meteor(pairs).collect()}
+    assert meteor[1] == pytest.approx(1 - 0.5 / 125) and meteor[2] == 0 and meteor[1] > meteor[3] > 0
+    cider = {r["id"]: r["cider"] for r in M.cider(pairs).collect()}
+    assert cider[1] == pytest.approx(10) and cider[2] == 0 and 0 < cider[3] < 10 and cider[4] == 0
+    bleu = {r["n"]: r["bleu"] for r in M.bleu(pairs.where("id = 1")).collect()}
+    assert bleu == {n: pytest.approx(1) for n in (1, 2, 3, 4)}
