@@ -191,7 +191,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         if label:
             toxic_words += [b" " + w for w in found if w in own]
         else:
-            ordinary_windows += [b" ".join(found[i : i + 8]) for i in range(0, len(found), 8)][:200]
+            ordinary_windows += [b" ".join(found[i : i + 8]) for i in range(0, len(found), 8)]
     base = _trained(ordinary_windows, BASE_BYTES)
     # The commonest last: near the end, where a match costs least.
     ranked = b" ".join(sorted(own, key=lambda w: (own[w], w)))[-OWN_BYTES:]
