@@ -97,6 +97,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         .where(F.size("words") > 0)
         .withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
     )
+    # Written first: the words are used many times below, and would be made anew each time.
+    items = staged(items, "benchmark-words")
     hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
     by_length = F.coalesce(*[F.when(F.col("length") == n, let(hashes, partial(window_hashes, length=n))) for n in range(1, WINDOW + 1)])
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("length")), lambda w: ~w.startswith("<")))
