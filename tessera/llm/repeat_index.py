@@ -42,7 +42,7 @@ GRAM = 32
 #: Bytes that are hashed at a time, and bytes of an index.
 PIECE_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
-HOT = 1024
+HOT = 4096
 PLACE_BITS = 22
 #: Columns that are added to a table for a while.
 ROW, SPANS = "__row__", "__spans__"
@@ -160,7 +160,7 @@ class RunLengthIndex:
         order = np.argsort(packed, kind="stable")
         sorted_ = packed[order]
         new = np.append(True, (sorted_[1:] != sorted_[:-1]) | ~open_[order][1:])
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         levels = [(first, rank)]
         size = first
@@ -171,7 +171,7 @@ class RunLengthIndex:
                 return order, levels
             at = order[rows]
             # at + size is inside: a beginning without an end is followed by one.
-            key = rank[at] * n + rank[at + size]
+            key = rank[at].astype(np.int64) * n + rank[at + size]
             again = np.argsort(key, kind="stable")
             order[rows] = at[again]
             key = key[again]
@@ -301,7 +301,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     every = staged(all_segments(keyed, length), "segments")
-    again = every.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that in the join below a minimizer of very many segments can be split.
+    again = staged(every.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "minimizers")
     some = staged(every.join(again, "minimizer"), "repeated-minimizers")
     classes = staged(
         some.groupBy("minimizer", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "size")).alias("one")), "classes"
