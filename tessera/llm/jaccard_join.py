@@ -18,7 +18,7 @@ RADIUS = 1 - threshold of each other.
    inside, the ones at the boundary, and is joined in the same way, ROUNDS times; points
    that links have brought together by then aren't compared. What
    remains is dealt out by distance in shells of RADIUS, each joined with itself and the
-   next one in blocks of BLOCK points.
+   next one in blocks of BLOCK points, by the differences from the pivot's set.
 4. Candidates are dropped by their sizes and by the shingles that nobody shares, and then
    compared by their whole sets. Links are collapsed to components.
 
@@ -219,7 +219,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links whose components are those of all links."""
     # Distances are compared with a little room, so that rounding drops no candidate.
     radius = 1 - percent / 100 + 1e-9
-    rest = staged(regions_of(sets, percent).withColumn("root", F.col("point")).withColumn("at", F.lit(0.0)), "regions")
+    rest = staged(regions_of(sets, percent).withColumn("root", F.col("point")).withColumn("at", F.lit(0.0)).withColumn("centre", F.lit(None).cast("binary")), "regions")
     found = None
     for turn in range(ROUNDS + 1):
         # Points that earlier rounds have linked needn't be compared; nor do regions of one component.
@@ -231,35 +231,43 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         large = size.where(f"size > {SMALL}")
         last = turn == ROUNDS or large.isEmpty()
         star = None
-        if last:
-            asked = pairs if turn < ROUNDS else pairs.unionByName(_shells(rest.join(large.select("pivot", "size"), "pivot"), radius, percent))
-        else:
-            star = rest.join(large.select("pivot", F.col("centre.point").alias("centre"), F.col("centre.root").alias("main")), "pivot").where("point <> centre")
+        asked = pairs
+        if not last:
+            star = rest.drop("centre").join(large.select("pivot", F.col("centre.point").alias("centre"), F.col("centre.root").alias("main")), "pivot").where("point <> centre")
             star = star.withColumn("a", F.least("point", "centre")).withColumn("b", F.greatest("point", "centre"))
             asked = pairs.unionByName(star.select("a", "b"))
         told = staged(compared(asked.distinct(), sets).withColumn("linked", _linked(percent)).withColumn("d", _distance()), "compared")
         new = told.where("linked").select("a", "b")
+        if turn == ROUNDS and not large.isEmpty():
+            new = new.unionByName(_shells(rest.join(large.select("pivot", "size"), "pivot"), sets, radius, percent))
         found = new if found is None else staged(found.unionByName(new), "links")
         if last:
             return found
         roots = components(found).withColumnRenamed("root", "new_root")
         # Regions with one centre go on as one: its points are at the same distances in each.
-        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).select(F.xxhash64("centre").alias("pivot"), "point", "n", "own", "root", "main", "d").distinct()
+        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).select(F.xxhash64("centre").alias("pivot"), "centre", "point", "n", "own", "root", "main", "d").distinct()
         placed = placed.join(roots, "point", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
         main = roots.select(F.col("point").alias("main"), "new_root")
         placed = staged(placed.join(main, "main", "left").withColumn("main", F.coalesce("new_root", "main")).drop("new_root"), "placed")
         other = placed.where("root <> main").groupBy("pivot").agg(F.min("d").alias("nearest"), F.max("d").alias("furthest"))
         near = (F.col("root") != F.col("main")) | (F.col("d") >= F.col("nearest") - radius) & (F.col("d") <= F.col("furthest") + radius)
-        rest = staged(placed.join(other, "pivot").where(near).select("pivot", "point", "n", "own", "root", F.col("d").alias("at")), "regions")
+        rest = staged(placed.join(other, "pivot").where(near).select("pivot", "centre", "point", "n", "own", "root", F.col("d").alias("at")), "regions")
     return found
 
 
-def _shells(rows: DataFrame, radius: float, percent: int) -> DataFrame:
-    """Pairs of large regions: shells by distance from the last pivot, in blocks.
+def _shells(rows: DataFrame, sets: DataFrame, radius: float, percent: int) -> DataFrame:
+    """Links of large regions, as pairs of roots: shells by distance from the pivot, in blocks.
 
     A point is in its shell, and replicated to the one before. Blocks i <= j of a shell
-    meet in a task of their own.
+    meet in a task of their own. Points come with their differences from the pivot's set:
+    two points differ in what one of their differences has and the other lacks, so that
+    they are compared without their whole sets, and only links leave the task.
     """
+    own_set = sets.select("point", "shingles")
+    centre_set = sets.select(F.col("point").alias("centre"), F.col("shingles").alias("middle"))
+    with_sets = rows.join(own_set, "point").join(centre_set, "centre", "left")
+    middle = F.coalesce("middle", F.expr("cast(array() as array<bigint>)"))
+    rows = with_sets.withColumn("apart", F.concat(F.array_except("shingles", middle), F.array_except(middle, F.col("shingles")))).drop("shingles", "middle", "centre")
     shell = F.floor(F.col("at") / radius)
     dealt = rows.withColumn("shell", shell).withColumn("home", F.lit(True)).unionByName(rows.withColumn("shell", shell - 1).withColumn("home", F.lit(False)))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -268,15 +276,21 @@ def _shells(rows: DataFrame, radius: float, percent: int) -> DataFrame:
         F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))
     )
     spread = dealt.withColumn("block", block).withColumn("cell", F.explode(grid))
-    member = F.struct("point", "n", "own", "root", "home", "block")
+    member = F.struct("point", "n", "own", "root", "home", "block", "apart")
     met = spread.groupBy("pivot", "shell", "cell").agg(F.collect_list(member).alias("m"))
 
     def of(x: Column) -> Column:
-        apart = lambda y: (x["block"] != y["block"]) | (F.col("cell.i") == F.col("cell.j"))
-        fits = F.filter("m", lambda y: (x["point"] < y["point"]) & (x["home"] | y["home"]) & (x["root"] != y["root"]) & apart(y) & _may_link(x, y, percent))
-        return F.transform(fits, lambda y: F.struct(x["point"].alias("a"), y["point"].alias("b")))
+        def linked(y: Column) -> Column:
+            both = x["n"] + y["n"]
+            far = F.size(x["apart"]) + F.size(y["apart"]) - 2 * F.size(F.array_intersect(x["apart"], y["apart"]))
+            return 100 * (both - far) >= percent * (both + far)
+
+        met_once = lambda y: (x["block"] != y["block"]) | (F.col("cell.i") == F.col("cell.j"))
+        due = lambda y: (x["point"] < y["point"]) & (x["root"] != y["root"]) & (x["home"] | y["home"]) & met_once(y) & _may_link(x, y, percent)
+        fits = F.filter(F.filter("m", due), linked)
+        return F.transform(fits, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    return met.select(F.explode(F.flatten(F.transform("m", of))).alias("p")).select("p.a", "p.b")
+    return met.select(F.explode(F.array_distinct(F.flatten(F.transform("m", of)))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
