@@ -4,12 +4,14 @@ Words of documents and benchmark items are made canonical: numbers, names and un
 become typed placeholders, other words are lower-cased. Windows of WINDOW canonical
 words (all words of a shorter item) are hash-joined. The matched windows of a document
 and an item that lie on one diagonal are one alignment; it counts if it has MATCHED
-windows, or all that the item has, and if its slots are consistent: where one value of
-the item stands in several slots, one value of the document does, but for CONFLICTS of
-the values. So a copied question is caught with its numbers and names exchanged, and
-another text of the same form is not. Built-in functions only.
+windows, or all that the item has, and if its slots are consistent: where one value of the item stands in several slots, one value of the document
+does, but for CONFLICTS of the values. So a copied question is caught with its numbers and
+names exchanged, and another text of the same form is not. Built-in functions only.
 
-Null and empty texts match nothing, nor do items without a window. A null doc_id or
+An item with windows of too few plain words is also joined by its lower-cased words as they
+stand, so that exact copies of any item are found, those of a single word or number too.
+
+Null and empty texts match nothing, nor do items without a word. A null doc_id or
 item_id is an id like any other. Repeated rows give one row a pair. Empty tables give an
 empty table. Extra columns are not read. Whole texts are searched. The benchmark's
 windows are broadcast only after they were counted and found to be at most BROADCAST.
@@ -48,18 +50,31 @@ UNITS = (
 ).split()
 
 
+#: The start of a word that may be a name.
+CAPITAL = r"^\p{Lu}\p{Ll}"
+
+
+def bare(token: Column) -> Column:
+    return F.rtrim(F.lower(token), F.lit(".!?"))
+
+
+def within(tokens: Column, i: Column) -> Column:
+    """Whether a word stands before tokens[i] in its sentence."""
+    before = F.get(tokens, i - 1)
+    return before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?")
+
+
 def canonical(tokens: Column) -> Column:
-    """Placeholders and lower-cased words for an array of TOKENs."""
+    """Placeholders and lower-cased words for an array of TOKENs; runs are left."""
 
     def one(raw: Column, i: Column) -> Column:
-        low = F.rtrim(F.lower(raw), F.lit(".!?"))
-        before = F.get(tokens, i - 1)
-        inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?")
+        low = bare(raw)
+        inside = within(tokens, i)
         return (
             F.when(raw < ":", F.lit(NUMBER))
             .when(low.isin(*NUMBER_WORDS), F.lit(NUMBER))
             .when(low.isin(*UNITS), F.lit(UNIT))
-            .when(inside & (low != raw) & raw.rlike(r"^\p{Lu}\p{Ll}"), F.lit(NAME))
+            .when(inside & (low != raw) & raw.rlike(CAPITAL), F.lit(NAME))
             .otherwise(low)
         )
 
@@ -70,89 +85,123 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def window_hashes(hashes: Column, length: int) -> Column:
+def window_hashes(hashes: Column, length: int, exact: bool = False) -> Column:
     """Hashes of the windows of an array of word hashes, by their first word; maybe empty."""
     whole = F.transform(
         F.sequence(F.lit(0), F.size(hashes) - length),
-        lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + k) for k in range(length)]),
+        lambda i: hash_of(length, [F.get(hashes, i + k) for k in range(length)], exact),
     )
     return F.when(F.size(hashes) < length, F.expr("cast(array() as array<bigint>)")).otherwise(whole)
 
 
-def all_windows(words: Column, lengths: list[int]) -> Column:
-    """array<struct<h, at>> of the windows of every length."""
+def hash_of(length: int, hashes: list[Column], exact: bool = False) -> Column:
+    return F.xxhash64(F.lit(-length if exact else length), *hashes[:length])
+
+
+def placed(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+
+
+def all_windows(text: Column, lengths: list[int], exact: list[int]) -> Column:
+    """array<struct<h, at>> of the windows of every length; exact: the lengths of those of lower-cased words."""
+
+    def of(hashes: Column, sizes: list[int], exactly: bool) -> Column:
+        return F.concat(*[placed(window_hashes(hashes, n, exactly)) for n in sizes])
 
-    def of(hashes: Column) -> Column:
-        parts = [F.transform(window_hashes(hashes, n), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for n in lengths]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
+    def from_raw(raw: Column) -> Column:
+        words = let(canonical(raw), lambda c: let(F.transform(c, lambda w: F.xxhash64(w)), lambda h: of(h, lengths, False)))
+        low = let(F.transform(raw, lambda t: F.xxhash64(bare(t))), lambda h: of(h, exact, True)) if exact else None
+        return F.concat(words, low) if exact else words
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    return let(tokens_of(text), from_raw)
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, raw and canonical words, and the windows of every item that has any."""
+def item_views(benchmark: DataFrame) -> DataFrame:
+    """The readings of every item, by a key v: words, values and windows.
+
+    There is the plain reading, and the exact one of items that have windows of too few plain words.
+    """
     items = (
         benchmark.select("item_id", tokens_of(F.col("text")).alias("raw"))
-        .withColumn("words", canonical(F.col("raw")))
-        .where(F.size("words") > 0)
-        .withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
+        .where(F.size("raw") > 0)
+        .withColumn("n", F.size("raw"))
+        .withColumn("plain", canonical(F.col("raw")))
+        .withColumn("low", F.transform("raw", bare))
     )
     # Written first: the words are used many times below, and would be made anew each time.
     items = staged(items, "benchmark-words")
+    view = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.alias("c"))
+    views = F.array(view("plain", F.col("plain")), view("exact", F.col("low")))
+    read = (
+        items.select("item_id", "raw", "n", "low", F.explode(views).alias("view"))
+        .select("item_id", "n", F.col("low").alias("values"), "view.kind", F.col("view.c").alias("words"))
+        .withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
+        .withColumn("v", F.expr("uuid()"))
+    )
+    read = staged(read, "benchmark-readings")
     hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
-    by_length = F.coalesce(*[F.when(F.col("length") == n, let(hashes, partial(window_hashes, length=n))) for n in range(1, WINDOW + 1)])
+    exact = F.col("kind") == "exact"
+    by_length = F.coalesce(
+        *[F.when((F.col("length") == n) & (exact == e), let(hashes, partial(window_hashes, length=n, exact=e))) for n in range(1, WINDOW + 1) for e in (False, True)]
+    )
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("length")), lambda w: ~w.startswith("<")))
-    enough = F.least(F.lit(LEAST_WORDS), F.ceil(F.col("length") / 2))
+    enough = F.least(F.lit(LEAST_WORDS), F.ceil(F.least(F.lit(WINDOW), F.col("n")) / 2))
     marked = F.transform(by_length, lambda h, i: F.struct(h.alias("h"), i.alias("at"), (plain(i) >= enough).alias("good")))
-    return items.withColumn("windows", F.filter(marked, lambda x: x["good"])).where(F.size("windows") > 0)
+    read = read.withColumn("marked", marked)
+    poor = read.where((F.col("kind") == "plain") & F.exists("marked", lambda x: ~x["good"])).select(F.col("item_id").alias("poor_id")).distinct()
+    told = read.where(~exact).unionByName(read.where(exact).join(poor, F.col("item_id").eqNullSafe(F.col("poor_id")), "left_semi"))
+    return told.withColumn("windows", F.filter("marked", lambda x: x["good"])).where(F.size("windows") > 0).drop("marked")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, and figures of the best alignment, for each leak."""
     docs = docs.select("doc_id", "text")
-    items = staged(item_windows(benchmark.select("item_id", "text")), "benchmark-items")
+    items = staged(item_views(benchmark.select("item_id", "text")), "benchmark-items")
     windows = staged(
-        items.select("item_id", "length", F.explode("windows").alias("w")).select("item_id", "length", "w.h", F.col("w.at").alias("item_at")),
+        items.select("v", "kind", "length", F.explode("windows").alias("w")).select("v", "kind", "length", "w.h", F.col("w.at").alias("item_at")),
         "benchmark-windows",
     )
     small = windows.count() <= BROADCAST
     hint = F.broadcast if small else lambda df: df
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect()) or [WINDOW]
+    kinds = [(r["kind"], r["length"]) for r in windows.select("kind", "length").distinct().collect()]
+    lengths = sorted({n for kind, n in kinds if kind != "exact"}) or [WINDOW]
+    exact = sorted({n for kind, n in kinds if kind == "exact"})
+    wanted = windows.select("v", "h", "item_at")
 
     def found(rows: DataFrame, keep: list) -> DataFrame:
-        words = canonical_words(F.col("text"))
-        return rows.select(*keep, F.explode(all_windows(words, lengths)).alias("w")).select(*[c for c in keep], "w.h", F.col("w.at").alias("at"))
+        every = all_windows(F.col("text"), lengths, exact)
+        return rows.select(*keep, F.explode(every).alias("w")).select(*[c for c in keep], "w.h", F.col("w.at").alias("at"))
 
     touched = found(docs, ["doc_id"]).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
     some = staged(docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi").withColumn("r", F.expr("uuid()")), "touched-texts")
     hits = (
         found(some.select("r", "text"), ["r"])
-        .join(hint(windows), "h")
-        .groupBy("r", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .join(hint(wanted), "h")
+        .groupBy("r", "v", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set("item_at").alias("matched"))
     )
+    covered = lambda p: F.exists("matched", lambda m: (m <= p) & (p < m + F.col("length")))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), covered)
     pairs = (
-        hits.join(some, "r")
-        .join(items.withColumnRenamed("item_id", "i_id").withColumnRenamed("raw", "item_raw"), F.col("item_id").eqNullSafe(F.col("i_id")))
+        hits.join(hint(items) if small else items, "v")
         .where(F.size("matched") >= F.least(F.lit(MATCHED), F.size("windows")))
+        .join(some, "r")
     )
-    bare = lambda x: F.rtrim(F.lower(x), F.lit(".!?"))
-    doc_raw = tokens_of(F.col("text"))
-    covered = lambda p: F.exists("matched", lambda m: (m <= p) & (p < m + F.col("length")))
-    slots = let(
-        doc_raw,
-        lambda raw: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda p: F.get(F.col("words"), p).startswith("<") & covered(p)),
-            lambda p: F.struct(bare(F.get(F.col("item_raw"), p)).alias("item"), bare(F.get(raw, p + F.col("shift"))).alias("doc")),
-        ),
-    )
+
+    def slots_by(raw: Column) -> Column:
+        slot = lambda p: F.struct(F.get("values", p).alias("item"), bare(F.get(raw, p + F.col("shift"))).alias("doc"))
+        return F.transform(F.filter(places, lambda p: F.get("words", p).startswith("<")), slot)
+
+    none = F.expr("cast(array() as array<struct<item string, doc string>>)")
+    slots = F.array_distinct(F.when(F.col("kind") == "exact", none).otherwise(let(tokens_of(F.col("text")), slots_by)))
+    # Written, as the slots are used many times below.
+    told = staged(pairs.select("doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
     judged = (
-        pairs.withColumn("slots", F.array_distinct(slots))
-        .withColumn("n_values", F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
+        told.withColumn("n_values", F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
         .withColumn("n_conflicts", F.size("slots") - F.col("n_values"))
         .where(F.col("n_conflicts") <= CONFLICTS * F.col("n_values"))
-        .withColumn("exchanged", F.size(F.filter("slots", lambda s: s["item"] != s["doc"])))
+        .withColumn("exchanged", F.size(F.filter("slots", lambda s: ~s["item"].eqNullSafe(s["doc"]))))
     )
     best = F.struct(F.size("matched").alias("n_windows"), (-F.col("exchanged")).alias("kept"), "n_values", F.size("windows").alias("of_windows"))
     return (
@@ -165,10 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def canonical_words(text: Column) -> Column:
-    return let(tokens_of(text), canonical)
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak an item."""
     leaked = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")

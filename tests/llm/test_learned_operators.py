@@ -136,6 +136,20 @@ def test_windows_beyond_the_broadcast_bound(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()] == [(1, 0)]
 
 
+def leaking(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(d, b).collect()}
+
+
+def test_items_of_few_plain_words(spark):
+    names = "Alice Smith and Bob Jones met Carol King in Paris, France on 3 May 2011."
+    numbers = "12 13 14 15 16 17 18 19 20"
+    around = lambda t: "some words here: " + t + " and some more words"
+    docs = [around(names), around(numbers), around("2 3 4 5 6 7 8 9 10"), names, "Ann Hall and Tom Dean met Eve Ross in Rome, Italy on 4 June 2012.", around(names.lower())]
+    assert set(leaking(spark, docs, [names, numbers, "?!"])) == {(0, 0), (1, 1), (3, 0), (5, 0)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav><div class="cookie-notice">We use cookies, yes.</div>
 <div id="main"><%s><h1>Head &amp; line</h1><p>First   paragraph, with commas, and text that goes on for a while, as prose does.<br>Next
