@@ -1,13 +1,19 @@
 """Benchmark decontamination (operator 7): templates of passages, and their slots.
 
 Words of documents and benchmark items are made canonical: numbers, names and units
-become typed placeholders, other words are lower-cased. Windows of WINDOW canonical
-words (all words of a shorter item) are hash-joined. The matched windows of a document
-and an item that lie on one diagonal are one alignment; it counts if it has MATCHED
-windows, or all that the item has, and if its slots are consistent: where one value of the item stands in several slots, one value of the document
+become typed placeholders, a run of one placeholder becomes one, other words are
+lower-cased. Windows of WINDOW canonical words (all words of a shorter item) are
+hash-joined. The matched windows of a document and an item that lie on one diagonal, or
+on it and those DRIFT beside it, are one alignment; it counts if it has MATCHED windows
+(words that runs hide count as windows), or all that the item has, and if its slots are
+consistent: where one value of the item stands in several slots, one value of the document
 does, but for CONFLICTS of the values. So a copied question is caught with its numbers and
 names exchanged, and another text of the same form is not. Built-in functions only.
 
+Whether a capitalised word is a name depends on the word before it. The first word of an
+item has none, so that names of documents are read as plain words too where a window
+starts, and an item's first word as a name too if it is one further on in the item.
+
 An item with windows of too few plain words is also joined by its lower-cased words as they
 stand, so that exact copies of any item are found, those of a single word or number too.
 
@@ -30,6 +36,7 @@ WINDOW = 8
 #: A window needs so many words that are not placeholders (a shorter one half).
 LEAST_WORDS = 4
 MATCHED = 6
+DRIFT = 2
 CONFLICTS = 0.25
 BROADCAST = 2_000_000
 
@@ -85,6 +92,15 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def run_starts(words: Column) -> Column:
+    """Places in a non-empty array of words, without those that repeat the placeholder before them."""
+
+    def first(i: Column) -> Column:
+        return ~(F.get(words, i).startswith("<") & F.coalesce(F.get(words, i) == F.get(words, i - 1), F.lit(False)))
+
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), first)
+
+
 def window_hashes(hashes: Column, length: int, exact: bool = False) -> Column:
     """Hashes of the windows of an array of word hashes, by their first word; maybe empty."""
     whole = F.transform(
@@ -102,24 +118,73 @@ def placed(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
 
 
-def all_windows(text: Column, lengths: list[int], exact: list[int]) -> Column:
-    """array<struct<h, at>> of the windows of every length; exact: the lengths of those of lower-cased words."""
+def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool) -> Column:
+    """array<struct<h, at>> of a text: windows of every length, by other readings of their first word too.
+
+    exact: the lengths of windows of lower-cased words. named: whether items have a name first.
+    """
+    name = F.xxhash64(F.lit(NAME))
+
+    def of(raw: Column, words: Column, starts: Column, hashes: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.size(hashes) - 1)
+        here = lambda k: F.get(starts, k)
+        after = lambda k, n: [F.get(hashes, k + i) for i in range(1, n)]
+        names = F.filter(runs, lambda k: F.get(hashes, k) == name)
+
+        def plainly(n: int) -> Column:
+            def of_run(k: Column) -> Column:
+                end = F.coalesce(here(k + 1), F.size(raw))
+
+                def one(token: Column, i: Column) -> Column:
+                    low, last = F.xxhash64(bare(token)), here(k) + i == end - 1
+                    h = F.when(last, hash_of(n, [low, *after(k, n)])).otherwise(hash_of(n, [low, name, *after(k, n)]))
+                    at = F.when(last, k).otherwise(k - 1)
+                    return F.when(at + n <= F.size(hashes), F.struct(h.alias("h"), at.alias("at")))
+
+                return F.transform(F.slice(raw, here(k) + 1, end - here(k)), one)
 
-    def of(hashes: Column, sizes: list[int], exactly: bool) -> Column:
-        return F.concat(*[placed(window_hashes(hashes, n, exactly)) for n in sizes])
+            return F.filter(F.flatten(F.transform(names, of_run)), lambda x: x.isNotNull())
+
+        def as_names(n: int) -> Column:
+            def begins(k: Column) -> Column:
+                first = ~within(raw, here(k)) & ~F.get(words, here(k)).startswith("<") & F.get(raw, here(k)).rlike(CAPITAL)
+                return (k + n <= F.size(hashes)) & first
+
+            return F.transform(F.filter(runs, begins), lambda k: F.struct(hash_of(n, [name, *after(k, n)]).alias("h"), k.alias("at")))
+
+        parts = [part for n in lengths for part in (placed(window_hashes(hashes, n)), plainly(n), *([as_names(n)] if named else []))]
+        if exact:
+            plain = F.transform(raw, lambda t: F.xxhash64(bare(t)))
+            parts.append(let(plain, lambda p: F.concat(*[placed(window_hashes(p, n, True)) for n in exact])))
+        return F.concat(*parts)
 
     def from_raw(raw: Column) -> Column:
-        words = let(canonical(raw), lambda c: let(F.transform(c, lambda w: F.xxhash64(w)), lambda h: of(h, lengths, False)))
-        low = let(F.transform(raw, lambda t: F.xxhash64(bare(t))), lambda h: of(h, exact, True)) if exact else None
-        return F.concat(words, low) if exact else words
+        def from_words(words: Column) -> Column:
+            def from_starts(starts: Column) -> Column:
+                return let(F.transform(starts, lambda i: F.xxhash64(F.get(words, i))), lambda hashes: of(raw, words, starts, hashes))
+
+            return let(run_starts(words), from_starts)
+
+        return F.when(F.size(raw) > 0, let(canonical(raw), from_words))
 
     return let(tokens_of(text), from_raw)
 
 
+def values_of(raw: Column, starts: Column) -> Column:
+    """The lower-cased words of every run, as one string each."""
+
+    def value(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(raw))
+        return F.array_join(F.transform(F.slice(raw, i + 1, end - i), bare), " ")
+
+    return F.transform(starts, value)
+
+
 def item_views(benchmark: DataFrame) -> DataFrame:
-    """The readings of every item, by a key v: words, values and windows.
+    """The readings of every item, by a key v: words, values and sizes of runs, and windows.
 
-    There is the plain reading, and the exact one of items that have windows of too few plain words.
+    There is the plain reading, one with the first word as a name if it is one further on,
+    and the exact one of items that have windows of too few plain words.
     """
     items = (
         benchmark.select("item_id", tokens_of(F.col("text")).alias("raw"))
@@ -130,13 +195,21 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     )
     # Written first: the words are used many times below, and would be made anew each time.
     items = staged(items, "benchmark-words")
+    again = F.exists(F.arrays_zip("plain", "low"), lambda x: (x["plain"] == NAME) & (x["low"] == F.get("low", F.lit(0))))
+    first_named = ~F.get("plain", F.lit(0)).startswith("<") & F.get("raw", F.lit(0)).rlike(CAPITAL) & again
+    named = F.concat(F.array(F.lit(NAME)), F.slice("plain", F.lit(2), F.col("n")))
     view = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.alias("c"))
-    views = F.array(view("plain", F.col("plain")), view("exact", F.col("low")))
+    views = F.array(view("plain", F.col("plain")), F.when(first_named, view("named", named)), view("exact", F.col("low")))
     read = (
-        items.select("item_id", "raw", "n", "low", F.explode(views).alias("view"))
-        .select("item_id", "n", F.col("low").alias("values"), "view.kind", F.col("view.c").alias("words"))
+        items.select("item_id", "raw", "n", F.explode(F.filter(views, lambda x: x.isNotNull())).alias("view"))
+        .select("item_id", "raw", "n", "view.kind", "view.c")
+        .withColumn("starts", run_starts(F.col("c")))
+        .withColumn("words", F.transform("starts", lambda i: F.get("c", i)))
+        .withColumn("values", values_of(F.col("raw"), F.col("starts")))
+        .withColumn("sizes", F.transform("starts", lambda i, k: F.coalesce(F.get("starts", k + 1), F.col("n")) - i))
         .withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
         .withColumn("v", F.expr("uuid()"))
+        .drop("raw", "c", "starts")
     )
     read = staged(read, "benchmark-readings")
     hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
@@ -166,35 +239,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = [(r["kind"], r["length"]) for r in windows.select("kind", "length").distinct().collect()]
     lengths = sorted({n for kind, n in kinds if kind != "exact"}) or [WINDOW]
     exact = sorted({n for kind, n in kinds if kind == "exact"})
+    named = any(kind == "named" for kind, _ in kinds)
     wanted = windows.select("v", "h", "item_at")
 
     def found(rows: DataFrame, keep: list) -> DataFrame:
-        every = all_windows(F.col("text"), lengths, exact)
+        every = all_windows(F.col("text"), lengths, exact, named)
         return rows.select(*keep, F.explode(every).alias("w")).select(*[c for c in keep], "w.h", F.col("w.at").alias("at"))
 
     touched = found(docs, ["doc_id"]).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
     some = staged(docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi").withColumn("r", F.expr("uuid()")), "touched-texts")
+    beside = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     hits = (
         found(some.select("r", "text"), ["r"])
         .join(hint(wanted), "h")
-        .groupBy("r", "v", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(F.collect_set("item_at").alias("matched"))
+        .select("r", "v", "item_at", (F.col("at") - F.col("item_at")).alias("at_shift"), beside.alias("off"))
+        .groupBy("r", "v", (F.col("at_shift") + F.col("off")).alias("shift"))
+        .agg(F.collect_set(F.struct(F.abs("off").alias("off"), "at_shift", "item_at")).alias("near"))
     )
+    own = F.filter("near", lambda m: m["off"] == 0)
+    # A diagonal by itself, and with those beside it.
+    hits = hits.where(F.size(own) > 0).withColumn("near", F.explode(F.array_distinct(F.array(own, F.col("near")))))
+    hits = hits.withColumn("matched", F.array_distinct(F.transform("near", lambda m: m["item_at"])))
     covered = lambda p: F.exists("matched", lambda m: (m <= p) & (p < m + F.col("length")))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), covered)
+    hidden = F.aggregate(places, F.lit(0), lambda n, p: n + F.get("sizes", p) - 1)
     pairs = (
         hits.join(hint(items) if small else items, "v")
-        .where(F.size("matched") >= F.least(F.lit(MATCHED), F.size("windows")))
+        .where((F.size("matched") >= F.size("windows")) | (F.size("matched") + hidden >= MATCHED))
         .join(some, "r")
     )
 
-    def slots_by(raw: Column) -> Column:
-        slot = lambda p: F.struct(F.get("values", p).alias("item"), bare(F.get(raw, p + F.col("shift"))).alias("doc"))
-        return F.transform(F.filter(places, lambda p: F.get("words", p).startswith("<")), slot)
+    def slot(p: Column, values: Column) -> Column:
+        over = F.filter("near", lambda m: (m["item_at"] <= p) & (p < m["item_at"] + F.col("length")))
+        doc, item = F.get(values, p + F.array_min(over)["at_shift"]), F.get("values", p)
+        # At an item's ends a document's run may hold words from beside the item.
+        same = ((p <= 1) & doc.endswith(F.concat(F.lit(" "), item))) | ((p == F.size("words") - 1) & doc.startswith(F.concat(item, F.lit(" "))))
+        return F.struct(item.alias("item"), F.when(same, item).otherwise(doc).alias("doc"))
+
+    def slots_by(values: Column) -> Column:
+        return F.transform(F.filter(places, lambda p: F.get("words", p).startswith("<")), lambda p: slot(p, values))
 
+    runs = let(tokens_of(F.col("text")), lambda raw: let(let(canonical(raw), run_starts), lambda starts: values_of(raw, starts)))
     none = F.expr("cast(array() as array<struct<item string, doc string>>)")
-    slots = F.array_distinct(F.when(F.col("kind") == "exact", none).otherwise(let(tokens_of(F.col("text")), slots_by)))
+    slots = F.array_distinct(F.when(F.col("kind") == "exact", none).otherwise(let(runs, slots_by)))
     # Written, as the slots are used many times below.
     told = staged(pairs.select("doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
     judged = (

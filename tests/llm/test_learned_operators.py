@@ -150,6 +150,37 @@ def test_items_of_few_plain_words(spark):
     assert set(leaking(spark, docs, [names, numbers, "?!"])) == {(0, 0), (1, 1), (3, 0), (5, 0)}
 
 
+def test_first_word_after_any_word(spark):
+    items = [
+        "What is the capital of the country that borders France to the west?",
+        "Why does the moon look so large near the horizon?",
+        "Where do old ships go to rest?",
+        "Marta buys pears and does Marta eat them all?",
+        "Alice Smith wrote a long letter about the old mill",
+    ]
+    docs = [f"{head} {t} More words" for head in ("some words. Question:", "some words.", "Heading", "as Bob") for t in items]
+    got = leaking(spark, docs, items)
+    assert set(got) == {(i, i % 5) for i in range(len(docs))} and all(r["n_exchanged"] == 0 for r in got.values())
+    other = [f"{head} Jonas buys pears and does Jonas eat them all?" for head in ("Question:", "some words.")]
+    assert set(leaking(spark, [*other, "Question: Paris is the capital of the country that borders France to the west?"], items)) == {(0, 3), (1, 3)}
+
+
+def test_values_of_other_numbers_of_words(spark):
+    item = "when the old train left the city at noon Ann saw that nobody else had come along"
+    longer = item.replace("Ann", "Mary Lee")
+    further = item.replace("Ann", "Mary of the Lee")
+    two = "the baker sold 12 loaves before lunch and then gave away the rest of them to people who had waited in the cold since early that morning"
+    docs = [f"words. {t}. words" for t in (longer, two.replace("12", "two hundred"), two.replace("gave away", "kindly gave away"), further)]
+    assert {(0, 0), (1, 1), (2, 1)} == set(leaking(spark, docs, [item, two]))
+
+
+def test_matches_of_neighbouring_diagonals(spark):
+    rng = random.Random(12)
+    w = prose(rng, 24)
+    docs = [" ".join(w[:11] + ["inserted"] + w[11:22]), " ".join(w[:11] + prose(rng, 9) + w[11:22])]
+    assert set(leaking(spark, docs, [" ".join(w)])) == {(0, 0)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav><div class="cookie-notice">We use cookies, yes.</div>
 <div id="main"><%s><h1>Head &amp; line</h1><p>First   paragraph, with commas, and text that goes on for a while, as prose does.<br>Next
