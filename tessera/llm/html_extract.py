@@ -6,7 +6,9 @@ element's points are discounted by the share of its text that is links. The cont
 with the most points is kept, as are its siblings that score nearly as well, or that are
 paragraphs of prose with few links. An <article> or <main> that holds the winner is
 kept whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are cut wherever they stand.
+and reader comments are cut wherever they stand. What only its class or id tells to be
+such isn't cut if it holds the page's <main>, all its <article>s or one and most of the
+points, or, without those, most of the points (comments: only a <main>); plain sections of an article are cut by few and whole names.
 
 A null or empty page, and a page without text, gives the empty text. Markup may be
 unclosed, cut off or nested wrongly. Rows are independent, so repeated rows give repeated
@@ -54,6 +56,18 @@ CUT_WORDS = re.compile(
     r"site-header|page-header|header)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class names that say what stands beside an element, or how it flows.
+MODIFIER = re.compile(r"(?:has|no|with|without|overflow)[_-].*|.*[_-](?:has|no|with|without)[_-].*", re.IGNORECASE)
+#: Words that name readers' comments: no element of such a name is the page for its points.
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?\w*|disqus\w*|respond|replies|reply|discussion)(?:$|[\s_-])", re.IGNORECASE)
+#: Whole names by which a <section> of an article is cut.
+SECTION_NAMES = re.compile(
+    r"(?:comments?|disqus|respond|replies|ads?|advert\w*|adsense|sponsor(?:s|ed)?|promo|cookies?|gdpr|popup|modal|newsletter|"
+    r"subscribe|signup|sidebar|nav|breadcrumbs?|footer|social|share|sharing|pagination|pager|login|widgets?|hidden|"
+    r"(?:related|recommended)[_-](?:posts?|articles?|links?|stories|content))(?:[_-](?:section|area|list|wrapper|container|box|bar))?",
+    re.IGNORECASE,
+)
+MOST_OF_POINTS = 0.5
 KEEP = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes an open element of the value, up to a wall.
@@ -80,35 +94,80 @@ SIBLING_SHARE = 0.2
 PROSE_LINKS = 0.25
 
 
+#: Why an element is cut.
+BY_NAME, COMMENTS, CERTAIN = 1, 2, 3
+
+
 def _told(attributes: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
 
 
-def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
+    """CERTAIN, or BY_NAME where only class and id tell it; 0 for what isn't cut."""
     if tag in CUT:
-        return True
+        return CERTAIN
     if tag == "header" and not in_article:
-        return True
+        return CERTAIN
     if tag in KEEP or not attributes or not attributes.strip():
-        return False
+        return 0
     told = _told(attributes)
     if "hidden" in told or told.get("aria-hidden") == "true" or told.get("role", "").lower() in CUT_ROLES:
-        return True
+        return CERTAIN
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", told.get("style", "")):
-        return True
-    if tag in HEADINGS or tag in ("p", "a", "b", "i", "em", "strong"):
-        return False if tag not in ("p",) else bool(CUT_WORDS.search(told.get("class", "")))
-    names = f"{told.get('class', '')} {told.get('id', '')}"
-    return bool(CUT_WORDS.search(names)) and not (in_article and re.search(r"(?:^|[\s_-])header", names) and "site" not in names)
+        return CERTAIN
+    if tag in HEADINGS or tag in ("a", "b", "i", "em", "strong"):
+        return 0
+    names = told.get("class", "") if tag == "p" else f"{told.get('class', '')} {told.get('id', '')}"
+    names = " ".join(x for x in names.split() if not MODIFIER.fullmatch(x))
+    if tag == "section" and in_article:
+        return BY_NAME if any(SECTION_NAMES.fullmatch(x) for x in names.split()) else 0
+    if not CUT_WORDS.search(names) or tag != "p" and in_article and re.search(r"(?:^|[\s_-])header", names) and "site" not in names:
+        return 0
+    return COMMENTS if COMMENT_WORDS.search(names) else BY_NAME
+
+
+def _points(text: str, links: int) -> float:
+    given = 1 + text.count(",") + min(len(text) / LONG_TEXT, MOST_FOR_LENGTH)
+    return given * (1 - min(1, links / len(text)))
 
 
 class Page:
     """The tree of a page: parallel lists by element, and its blocks of text in page order."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.cut = [-1], ["#root"], [False]
+        self.parent, self.tag, self.cut, self.named = [-1], ["#root"], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
+        # Comments first: their <article>s aren't the page's.
+        for why in (COMMENTS, BY_NAME):
+            if why in self.named:
+                self._cut_by_name(why)
+
+    def _cut_by_name(self, why: int) -> None:
+        """Drops the blocks of elements that are cut by name, but for those that hold the page."""
+        parent, tag, n = self.parent, self.tag, len(self.parent)
+        points, filled, mains, articles = [0.0] * n, [False] * n, [0] * n, [0] * n
+        for x, text, links in self.blocks:
+            points[x] += _points(text, links)
+            filled[x] = True
+        for x in range(n - 1, 0, -1):
+            mains[x] += filled[x] and tag[x] == "main"
+            articles[x] += filled[x] and tag[x] == "article"
+            y = parent[x]
+            filled[y] = filled[y] or filled[x]
+            for of in (points, mains, articles):
+                of[y] += of[x]
+        gone = [False] * n
+        for x in range(1, n):
+            most = points[x] > MOST_OF_POINTS * points[0]
+            if mains[0] or why == COMMENTS:
+                holds = mains[x] > 0
+            elif articles[0]:
+                holds = articles[x] == articles[0] or articles[x] > 0 and most
+            else:
+                holds = most
+            gone[x] = gone[parent[x]] or self.named[x] == why and not holds
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def _read(self, html: str) -> None:
         stack, parts, links = [0], [], 0
@@ -179,7 +238,10 @@ class Page:
             attributes = m[3] or m[6] or ""
             parent.append(stack[-1])
             tag.append(name)
-            cut.append(cut[stack[-1]] or _is_cut(name, attributes, articles > 0))
+            why = _is_cut(name, attributes, articles > 0)
+            # The text of inline elements isn't held apart, so that they are cut at once.
+            cut.append(cut[stack[-1]] or why == CERTAIN or why > 0 and inline)
+            self.named.append(0 if cut[-1] else why)
             if name in RAW:
                 close = re.compile(f"</{name}\\b[^>]*>", re.IGNORECASE).search(html, at)
                 at = close.end() if close else end
@@ -196,8 +258,7 @@ class Page:
         n = len(parent)
         points, size, linked = [0.0] * n, [0] * n, [0] * n
         for x, text, links in self.blocks:
-            given = 1 + text.count(",") + min(len(text) / LONG_TEXT, MOST_FOR_LENGTH)
-            given *= 1 - min(1, links / len(text))
+            given = _points(text, links)
             y = parent[x] if tag[x] in ("p", "pre", "blockquote", "td", "li") or tag[x] in HEADINGS else x
             for share in SHARES:
                 if y < 0:

@@ -205,6 +205,23 @@ def test_odd_pages(html, want):
     assert H.main_text(html) == want
 
 
+PROSE = "<p>%s is a paragraph, with commas, and text that goes on for a while, as prose does, and then some more.</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["class='site-wrapper has-sidebar'", "class='content no-sidebar'", "class='page with-nav'", "class='overflow-hidden'", "id='header-layout'"])
+def test_wrappers_named_after_what_is_cut(wrapper):
+    for tag in ("article", "main", "div"):
+        body = f"<{tag}>{PROSE % 'One'}{PROSE % 'Two'}<div class='ad'>Buy now</div></{tag}>"
+        assert H.main_text(f"<body><div {wrapper}>{body}</div><div class='sidebar'>{PROSE % 'Side'}</div></body>").split()[::21] == ["One", "Two"]
+
+
+def test_sections_of_an_article():
+    parts = [f"<section {a}>{PROSE % n}</section>" for n, a in (("A", "id='discussion'"), ("B", "id='related-work'"), ("C", "class='comments'"), ("D", "class='related-posts'"))]
+    assert [line[0] for line in H.main_text(f"<article>{PROSE % 'X'}{''.join(parts)}</article>").split("\n")] == ["X", "A", "B"]
+    thread = "".join(f"<article>{PROSE % 'Reader'}</article>" for _ in range(5))
+    assert "Reader" not in H.main_text(f"<div>{PROSE % 'One'}{PROSE % 'Two'}<div id='comments'>{thread}</div></div>")
+
+
 def test_pages_query(spark):
     rows = [(1, "u", PAGE % ("article", "article"), "x"), (None, None, None, "x"), (1, "u", PAGE % ("article", "article"), "x"), (2, "v", "<div>" * 5000 + "deep", "x")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
