@@ -4,7 +4,9 @@ Every block of text passes points for its length and its commas to the elements
 hold it: in full to the nearest container, by half to the next, then by less. An
 element's points are discounted by the share of its text that is links. The container
 with the most points is kept, as are its siblings that score nearly as well, or that are
-paragraphs of prose with few links. An <article> or <main> that holds the winner is
+paragraphs of prose with few links. Where containers of few links that score nearly as
+well stand further off, the element that holds them and the winner is kept, or, if that is
+the body, its children that hold them. An <article> or <main> that holds the winner is
 kept whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are cut wherever they stand. What only its class or id tells to be
 such isn't cut if it holds the page's <main>, all its <article>s or one and most of the
@@ -19,6 +21,7 @@ memory that is linear in its length; nothing of a page is capped.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -92,6 +95,8 @@ LONG_TEXT = 100
 MOST_FOR_LENGTH = 5.0
 SIBLING_SHARE = 0.2
 PROSE_LINKS = 0.25
+#: Share of the winner's points from which a container further off is a part of the same text.
+NEARLY = 1 / 3
 
 
 #: Why an element is cut.
@@ -285,6 +290,8 @@ class Page:
             kept.add(y)
             best = y
         elif tag[best] not in ("body", "html", "#root"):
+            best, far = self._climbed(best, score, lambda x: linked[x] / size[x] < PROSE_LINKS)
+            kept = {best, *far}
             least = max(2.0, SIBLING_SHARE * score(best))
             prose = {x for x, t, _ in self.blocks if tag[x] == "p" and len(t) > 80}
             for x in range(1, n):
@@ -298,6 +305,34 @@ class Page:
         return "\n".join(text for x, text, _ in self.blocks if inside[x])
 
 
+    def _climbed(self, best: int, score: Callable[[int], float], few: Callable[[int], bool]) -> tuple[int, set[int]]:
+        """The highest element below the body that holds best and others nearly as good, and
+        the children of body, html and root that hold more of those."""
+        parent, tag, n = self.parent, self.tag, len(self.parent)
+        above, y = set(), best
+        while y >= 0:
+            above.add(y)
+            y = parent[y]
+        top, far = best, set()
+        # By element: the nearest element around it that holds best, and the child of that it is in.
+        meets, branch = list(range(n)), list(range(n))
+        for x in range(1, n):
+            if x in above:
+                continue
+            y = parent[x]
+            meets[x], branch[x] = (y, x) if y in above else (meets[y], branch[y])
+            at = meets[x]
+            if at < best and 0 < NEARLY * score(best) <= score(x) and few(x):
+                if tag[at] in ("body", "html", "#root"):
+                    far.add(branch[x])
+                else:
+                    top = min(top, at)
+        if far:
+            while tag[parent[top]] not in ("body", "html", "#root"):
+                top = parent[top]
+        return top, far
+
+
 def main_text(html: str | None) -> str:
     return Page(html).main_text() if html else ""
 

@@ -222,6 +222,16 @@ def test_sections_of_an_article():
     assert "Reader" not in H.main_text(f"<div>{PROSE % 'One'}{PROSE % 'Two'}<div id='comments'>{thread}</div></div>")
 
 
+@pytest.mark.parametrize("around", ["<div id='content'>%s</div>", "<div><div id='content'>%s</div><div class='links'><a href='#'>One, two, three, and so on</a></div></div>", "%s"])
+@pytest.mark.parametrize("n", [2, 3])
+def test_sections_that_hold_containers(around, n):
+    names = "ABC"[:n]
+    sections = "".join(f"<section><h2>{x}</h2><div class='body'>{PROSE % x}{PROSE % x}</div></section>" for x in names)
+    page = f"<body><div class='top'><a href='/'>Home, and so on</a></div>{around % sections}</body>"
+    got = H.main_text(page).split("\n")
+    assert [line[0] for line in got if len(line) > 80] == [x for x in names for _ in range(2)] and "Home" not in "".join(got)
+
+
 def test_pages_query(spark):
     rows = [(1, "u", PAGE % ("article", "article"), "x"), (None, None, None, "x"), (1, "u", PAGE % ("article", "article"), "x"), (2, "v", "<div>" * 5000 + "deep", "x")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
