@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import let, staged
+from tessera.llm.repeat_index import row_key
 
 WINDOW = 8
 #: A window needs so many words that are not placeholders (a shorter one half).
@@ -226,8 +227,8 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     return told.withColumn("windows", F.filter("marked", lambda x: x["good"])).where(F.size("windows") > 0).drop("marked")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, and figures of the best alignment, for each leak."""
+def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """row (see row_key), doc_id, item_id, matched, windows and figures of the alignments that count."""
     docs = docs.select("doc_id", "text")
     items = staged(item_views(benchmark.select("item_id", "text")), "benchmark-items")
     windows = staged(
@@ -248,7 +249,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     touched = found(docs, ["doc_id"]).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
-    some = staged(docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi").withColumn("r", F.expr("uuid()")), "touched-texts")
+    some = docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
+    some = staged(some.withColumn("r", F.expr("uuid()")).withColumn("row", row_key(F.col("doc_id"), F.col("text"))), "touched-texts")
     beside = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     hits = (
         found(some.select("r", "text"), ["r"])
@@ -284,13 +286,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<item string, doc string>>)")
     slots = F.array_distinct(F.when(F.col("kind") == "exact", none).otherwise(let(runs, slots_by)))
     # Written, as the slots are used many times below.
-    told = staged(pairs.select("doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
-    judged = (
+    told = staged(pairs.select("row", "doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
+    return (
         told.withColumn("n_values", F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
         .withColumn("n_conflicts", F.size("slots") - F.col("n_values"))
         .where(F.col("n_conflicts") <= CONFLICTS * F.col("n_values"))
         .withColumn("exchanged", F.size(F.filter("slots", lambda s: ~s["item"].eqNullSafe(s["doc"]))))
     )
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, and figures of the best alignment, for each leak."""
+    judged = alignments(docs, benchmark)
     best = F.struct(F.size("matched").alias("n_windows"), (-F.col("exchanged")).alias("kept"), "n_values", F.size("windows").alias("of_windows"))
     return (
         judged.groupBy("doc_id", "item_id")
@@ -303,6 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak an item."""
-    leaked = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """docs without those that leak an item, told by id and text: others of a leaking id stay."""
+    leaked = staged(alignments(docs, benchmark).select(F.col("row").alias("__leaked__")).distinct(), "leaked")
+    keyed = docs.withColumn("__row__", row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(leaked, F.col("__row__") == F.col("__leaked__"), "left_anti").drop("__row__")

@@ -136,6 +136,16 @@ def test_windows_beyond_the_broadcast_bound(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()] == [(1, 0)]
 
 
+def test_clean_documents_of_a_leaking_id_stay(spark):
+    item = leak_cases(random.Random(8))[0]
+    docs = [(None, item), (None, "clean"), (None, None), (1, "x. " + item), (1, "clean"), (1, "clean"), (2, "other")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = decontaminate.without_leaks(d, b)
+    assert left.columns == d.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([r for r in docs if item not in (r[1] or "")], key=repr)
+
+
 def leaking(spark, docs, items):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
