@@ -311,7 +311,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (see row_key), id, n_shingles and component_id of every text."""
+    """row (see row_key), id, n_shingles, component_id and root of every text.
+
+    root tells components apart, also those with one smallest id; null without shingles.
+    """
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     share = min(1.0, 1.4 * (100 - percent) / 100 + 0.08)
     rows = staged(point_rows(keyed, words, share), "points")
@@ -322,9 +325,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     least = rows.where("n > 0").groupBy("point").agg(F.min("id").alias("least"))
     rooted = staged(least.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "classes")
     top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(top, "root").select("point", "component_id")
+    named = rooted.join(top, "root").select("point", "component_id", "root")
     return rows.join(named, "point", "left").select(
-        "row", F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id")
+        "row", F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"), "root"
     )
 
 
@@ -333,12 +336,13 @@ def op3(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a text of a smaller id in their component.
+    """docs without those whose component has a text of a smaller id; of equal ids the smallest row key stays.
 
-    Rows of one id and text are one row; texts without words stay otherwise.
+    A null id comes last. Rows of one id and text are one row; texts without words stay otherwise.
     """
     told = staged(joined(docs, words, percent, id_col, text_col), "joined")
-    gone = (F.col("n_shingles") > 0) & ~F.col("id").eqNullSafe(F.col("component_id"))
-    kept = told.where(~gone).select(F.col("row").alias("__row__")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    firsts = told.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("first.row").alias("__row__"))
+    kept = told.where("n_shingles = 0").select(F.col("row").alias("__row__")).unionByName(firsts).distinct()
     keyed = docs.withColumn("__row__", row_key(F.col(id_col), F.col(text_col))).join(kept, "__row__")
     return keyed.dropDuplicates(["__row__"]).select(*[F.col(f"`{c}`") for c in docs.columns])

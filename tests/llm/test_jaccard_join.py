@@ -74,3 +74,14 @@ def test_keep_one(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.op3(docs).collect() == []
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    near = [" ".join(f"w{i}" for i in range(60)) + end for end in ("", " x", " y")]
+    far = [" ".join(f"v{i}" for i in range(60)) + end for end in ("", " x")]
+    rows = [(None, near[0]), (None, near[1]), (7, far[0]), (7, far[1]), (7, "quite another text of more than five words"), (None, ""), (7, "")]
+    kept = [tuple(r) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 5 and sum(t in near for _, t in kept) == 1 and sum(t in far for _, t in kept) == 1
+    rows = [(None, near[0]), (3, near[1]), (3, near[2])]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 3
