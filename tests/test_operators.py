@@ -223,3 +223,10 @@ def test_text_scores(spark):
     assert cider[1] == pytest.approx(10) and cider[2] == 0 and 0 < cider[3] < 10 and cider[4] == 0
     bleu = {r["n"]: r["bleu"] for r in M.bleu(pairs.where("id = 1")).collect()}
     assert bleu == {n: pytest.approx(1) for n in (1, 2, 3, 4)}
+
+
+def test_epochs_that_lack_seeds_or_targets(spark):
+    log = spark.createDataFrame([("a", 1, 1, "F", 0.5), ("a", 2, 1, "F", 0.7), ("a", 1, 2, "F", 0.9), ("a", 1, 1, "O", 0.1)], "run string, seed int, epoch int, target string, score double")
+    best = M.best_epoch(log, ["run"]).first()
+    assert best["epoch"] == 1 and best["n_seed"] == 2 and best["mean"] == pytest.approx(0.5)
+    assert [r["epoch"] for r in M.aligned_mean(log, ["run"], ["F", "O"]).collect()] == [1]
