@@ -1,7 +1,17 @@
 """A training corpus in five stages: clean, collapse copies, cut repeats, decontaminate, encode.
 
 Each stage works on all that its predecessor kept, and all but the last return the
-columns of documents.
+columns of documents. Nulls, empty and repeated rows, ties and empty tables:
+
+- A null or empty text is scored as one without toxic windows, is no near copy of another,
+  has nothing to cut, holds no benchmark item and has no tokens. Null values of other
+  columns are passed on. A null doc_id is an id like any other, and the last of a group.
+- Repeated rows are scored alike; near_copies keeps one of them, and one of each group.
+- Of a group the smallest doc_id stays, of equal ones the smallest hash of id and text.
+- Empty documents give an empty table with the same columns. Labels of no class give
+  every text a score of 0.5, which is below the limit, those of one class that class's
+  score; an empty benchmark has no item to hold.
+- Further columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +25,11 @@ from tessera.llm import bpe, decontaminate, jaccard_join, repeat_index, toxicity
 from tessera.llm.common import staged, table
 
 
+#: Passages from so many words on are cut where they stand in several places, and the
+#: bytes of a word in prose with the blank behind it (four letters, on the short side).
+PASSAGE_WORDS, WORD_BYTES = 50, 5
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the limit."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -27,8 +42,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings that stand elsewhere too."""
-    return repeat_index.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, without the passages of PASSAGE_WORDS words that stand elsewhere too.
+
+    A passage is a string of as many bytes as its words have at least. The operator's own
+    400 bytes are about 65 words, so that most passages of 50 to 60 words would stay.
+    """
+    cut = repeat_index.cut_repeats(docs, length=PASSAGE_WORDS * WORD_BYTES)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
