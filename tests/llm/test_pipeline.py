@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
                 w[rng.randrange(len(w))] = rng.choice(BAD)
         texts.append(" ".join(w))
     item, again, _, _ = leak_cases(rng)
-    passage = " ".join(prose(rng, 80))
+    passage = " ".join(w[:5] for w in prose(rng, 51))
     texts += [texts[1], texts[2] + " one", texts[3].upper(), None, "", "tiny", "tiny"]
     texts += [" ".join(prose(rng, 40)) + ". " + t + ". " + " ".join(prose(rng, 40)) for t in (item, again, passage, passage)]
     rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)] + [(None, "no id here", None, None, None)]
@@ -55,11 +55,11 @@ def test_stages_against_brute_force(spark, folder):
 
     cut = P.staged(P.cut_long_repeats(spark, single, path), "t")
     data = [(r["doc_id"], r["text"]) for r in single.collect()]
-    spans = brute_spans([(t or "").encode() for _, t in data], 400)
+    spans = brute_spans([(t or "").encode() for _, t in data], P.PASSAGE_WORDS * P.WORD_BYTES)
     want = [(d, t if t is None else repeat_index.without(t.encode(), s).decode("utf-8", "ignore")) for (d, t), s in zip(data, spans)]
     assert pairs(cut) == sorted(want, key=repr) and cut.columns == docs.columns
     assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in cut.collect())
-    assert size < 400 or sum(len(s) > 0 for s in spans) == 2
+    assert P.PASSAGE_WORDS * P.WORD_BYTES <= size < repeat_index.LENGTH and sum(len(s) > 0 for s in spans) == 2
 
     last = P.staged(P.drop_leaks(spark, cut, path), "t")
     assert {d for d, _ in pairs(cut)} - {d for d, _ in pairs(last)} == set(leaking)
