@@ -1,16 +1,17 @@
 """Toxicity (operator 2): by the lengths of compressed windows under two dictionaries.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text of a
-bounded sample of labelled rows. Both begin with the ordinary part; the toxic one ends
-with what is trained on the words that toxic texts hold more often than ordinary ones,
-the ordinary one with as many bytes that match nothing. Texts are lower-cased (A-Z) and cut
-at white space into windows of about WINDOW bytes. A window is a hit if the toxic
+Two zstandard dictionaries are trained on a bounded sample of labelled rows: one on the
+windows of ordinary texts, and one that goes on from it with what is trained on toxic
+texts. Of these only the words are given to the training that they hold more often than
+ordinary texts do, as all their other words are ordinary ones. Texts are lower-cased (A-Z)
+and cut at white space into windows of about WINDOW bytes. A window is a hit if the toxic
 dictionary saves at least a calibrated number of bytes on it over the ordinary one. A
 logistic curve over a text's hits, fitted to the sample, is the score.
 
 Null and empty texts have no windows and get the score of a text without hits. If the
 sample has no row of one class, the score is 0.5 (no rows at all) or that of the class
-(0 or 1) pulled to the middle. Repeated rows are scored alike, an empty table gives an
+(0 or 1) pulled to the middle. Where the sample is too small for zstandard to train on, a
+dictionary is the sample itself. Repeated rows are scored alike, an empty table gives an
 empty one, extra columns are not read. Every window of a text is compressed, however
 long it is.
 """
@@ -18,7 +19,6 @@ long it is.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices
 from tessera.llm.samples import class_sizes, held_out, training_rows
 
-#: Labelled rows of each class that a model is fitted to at most.
-SAMPLE = 1500
+#: Labelled rows of each class that a model is fitted to at most, and the characters of the
+#: longest text that is taken for that.
+SAMPLE, LONGEST = 1500, 100_000
 #: Bytes of a window, about; it ends at the next white space.
 WINDOW = 40
 #: A text is toxic from this score on.
 TOXIC = 0.7
 #: A hit is a strong one if it saves so many bytes more.
 STRONGER = 3
-BASE_BYTES, OWN_BYTES = 12_000, 4_000
+ORDINARY_BYTES, TOXIC_BYTES = 12_000, 4_000
+#: Bytes of the segments that dictionaries are made of, and of the strings counted for them.
+SEGMENT = dict(k=24, d=6)
 #: A word is trained as toxic if toxic texts hold it so many times more often than others,
 #: with this G statistic (about 1 chance word in 50,000).
 LEAST_ODDS, LEAST_G = 4.0, 18.0
@@ -63,15 +66,37 @@ def _bytes_of(text: str | None) -> bytes:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on samples; where there are too few, the samples."""
-    raw = b" ".join(samples)
-    if len(raw) > 8 * size:
-        try:
-            told = zstandard.train_dictionary(size + 1024, samples, level=LEVEL).as_bytes()
-            return told[-size:]
-        except zstandard.ZstdError:
-            pass
-    return raw[-size:]
+    """Content of a dictionary trained on samples; of too few for that, the samples."""
+    samples = [marked(np.frombuffer(x, np.uint8)).tobytes() for x in samples]
+    try:
+        # Its tables stand before the content; in a short dictionary they stay, and match nothing.
+        return zstandard.train_dictionary(size + 1024, samples, level=LEVEL, **SEGMENT).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def toxic_words(data: list[bytes], toxic: list[int]) -> set[bytes]:
+    """Words that toxic texts hold more often than others do.
+
+    A word counts once for each pair of neighbours, so that copies of a text add nothing.
+    """
+    number: dict[bytes, int] = {b"": 0}
+    found: list[list[np.ndarray]] = [[], []]
+    for t, label in zip(data, toxic):
+        words = np.array([0, *(number.setdefault(w, len(number)) for w in WORD.findall(t)), 0], np.int64)
+        found[label].append(np.stack([words[1:-1], words[:-2], words[2:]], 1))
+    v = len(number)
+    held = []
+    for parts in found:
+        w = np.concatenate(parts).astype(object if v >= 1 << 21 else np.int64)
+        held.append(np.bincount((np.unique((w[:, 0] * v + w[:, 1]) * v + w[:, 2]) // (v * v)).astype(np.int64), minlength=v))
+    k, n = held
+    rows = [max(1, h.sum()) for h in held]
+    share = rows[1] / sum(rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (n * np.log(n / (n + k) / share) + np.where(k > 0, k * np.log(k / (n + k) / (1 - share)), 0))
+    more = (n > 0) & (n / rows[1] >= LEAST_ODDS * k / rows[0]) & (g >= LEAST_G)
+    return {w for w, i in number.items() if more[i] and len(w) > 2}
 
 
 def marked(data: np.ndarray) -> np.ndarray:
@@ -172,33 +197,16 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     if len(set(toxic)) < 2:
         return Model(weights=[float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0, 0.0, 0.0])
-    # A word counts once for each pair of neighbours, so that copies of a text add nothing.
-    around: list[set] = [set(), set()]
-    for t, label in zip(data, toxic):
-        found = [b"", *WORD.findall(t), b""]
-        around[label].update(zip(found, found[1:], found[2:]))
-    held = [Counter(w for _, w, _ in a) for a in around]
-    rows = [sum(c.values()) for c in held]
-    own: dict[bytes, int] = {}
-    for word, n in held[1].items():
-        k, share = held[0][word], rows[1] / sum(rows)
-        g = 2 * (n * np.log(n / (n + k) / share) + (k * np.log(k / (n + k) / (1 - share)) if k else 0))
-        if n / rows[1] >= LEAST_ODDS * k / rows[0] and g >= LEAST_G and len(word) > 2:
-            own[word] = n
-    ordinary_windows, toxic_words = [], []
+    own = toxic_words(data, toxic)
+    ordinary_windows, toxic_windows = [], []
     for t, label in zip(data, toxic):
         found = WORD.findall(t)
         if label:
-            toxic_words += [b" " + w for w in found if w in own]
+            toxic_windows.append(b"".join(b" " + w + b" " for w in found if w in own))
         else:
             ordinary_windows += [b" ".join(found[i : i + 8]) for i in range(0, len(found), 8)]
-    base = _trained(ordinary_windows, BASE_BYTES)
-    # The commonest last: near the end, where a match costs least.
-    ranked = b" ".join(sorted(own, key=lambda w: (own[w], w)))[-OWN_BYTES:]
-    special = _trained(toxic_words, OWN_BYTES // 4) + b" " + ranked + b" "
-    base, special = (marked(np.frombuffer(x, np.uint8)).tobytes() for x in (base, special))
-    # Bytes that no text has keep the distances to the shared part alike.
-    model = Model(base + b"\xff" * len(special), base + special)
+    ordinary = _trained(ordinary_windows, ORDINARY_BYTES)
+    model = Model(ordinary, ordinary + _trained([x for x in toxic_windows if x], TOXIC_BYTES))
     gains, owner = model.gains(model.compressors(), data)
     best = None
     for least in range(1, 9):
@@ -214,7 +222,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_rows(docs, labels, "toxic", sample).select("text", "label", "doc_id").collect()
+    rows = training_rows(docs, labels, "toxic", sample).where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("text", "label", "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
     model = fit([r["text"] for r in rows], [r["label"] for r in rows])
     # The sample may hold more of one class than the corpus does.
@@ -225,13 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs and toxicity (0 to 1) of every whole text."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """The columns of docs and, last, out_col (0 to 1) of every whole text; one of that name is replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name != "toxicity"]
-    schema = StructType([*fields, StructField("toxicity", DoubleType())])
+    fields = [f for f in docs.schema.fields if f.name != out_col]
+    schema = StructType([*fields, StructField(out_col, DoubleType())])
     out = to_arrow_schema(schema)
     names = [f.name for f in fields]
 

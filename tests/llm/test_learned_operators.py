@@ -53,6 +53,30 @@ def test_windows_cover_every_byte():
     assert len(joined) == sum(len(t) + 1 for t in texts)
 
 
+def test_gains_match_windows_compressed_one_by_one():
+    rows = toxic_corpus(300, seed=4)
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    texts = [toxicity._bytes_of(t) for _, t, _ in rows[:40]] + [b"", b"\n", b"x" * 900]
+    gains, owner = model.gains(model.compressors(), texts)
+    joined, spans, _ = toxicity.windows(texts)
+    ordinary, toxic = model.compressors()
+    want = [len(ordinary.compress(joined[a:b])) - len(toxic.compress(joined[a:b])) for a, b in spans.tolist()]
+    assert gains.tolist() == want and max(want) >= model.least_gain
+    hits = [sum(g >= model.least_gain for g, o in zip(want, owner.tolist()) if o == i) for i in range(len(texts))]
+    assert model.features(gains, owner, len(texts))[:, 1].tolist() == pytest.approx(np.log1p(hits).tolist())
+    assert set(BAD) <= {w.decode() for w in toxicity.toxic_words([toxicity._bytes_of(t) for _, t, _ in rows], [y for _, _, y in rows])}
+
+
+def test_toxicity_of_an_empty_table_and_a_clashing_column(spark):
+    model = toxicity.fit(["a b"], [1])
+    none = spark.createDataFrame([], "doc_id long, text string, toxicity string, text_2 int")
+    assert toxicity.score(none, model).collect() == [] and toxicity.score(none, model).columns == ["doc_id", "text", "text_2", "toxicity"]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.op2(spark, none, labels).collect() == []
+    one = toxicity.score(spark.createDataFrame([(1, "a", "mine")], "doc_id long, text string, toxicity string"), model, out_col="t").first()
+    assert one["toxicity"] == "mine" and one["t"] > 0.5
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0], [1]])
 def test_toxicity_without_two_classes(labels):
     model = toxicity.fit(["a b"] * len(labels), labels)
