@@ -11,7 +11,7 @@ columns of documents. Nulls, empty and repeated rows, ties and empty tables:
 - Empty documents give an empty table with the same columns. Labels of no class give
   every text a score of 0.5, which is below the limit, those of one class that class's
   score; an empty benchmark has no item to hold.
-- Further columns are passed on, whatever their names.
+- Further columns are passed on, whatever their names (but for __row__, __spans__, __score__).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tessera.llm import bpe, decontaminate, jaccard_join, repeat_index, toxicity
 from tessera.llm.common import staged, table
 
 
+#: A column that a stage adds for a while.
+SCORE = "__score__"
 #: Passages from so many words on are cut where they stand in several places, and the
 #: bytes of a word in prose with the blank behind it (four letters, on the short side).
 PASSAGE_WORDS, WORD_BYTES = 50, 5
@@ -33,7 +35,7 @@ PASSAGE_WORDS, WORD_BYTES = 50, 5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the limit."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.TOXIC).drop("toxicity")
+    return toxicity.score(docs, model, out_col=SCORE).where(F.col(SCORE) < toxicity.TOXIC).drop(SCORE)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
