@@ -4,17 +4,20 @@ Every block of text passes points for its length and its commas to the elements
 hold it: in full to the nearest container, by half to the next, then by less. An
 element's points are discounted by the share of its text that is links. The container
 with the most points is kept, as are its siblings that score nearly as well, or that are
-paragraphs of prose with few links. Where containers of few links that score nearly as
-well stand further off, the element that holds them and the winner is kept, or, if that is
-the body, its children that hold them. An <article> or <main> that holds the winner is
-kept whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are cut wherever they stand. What only its class or id tells to be
-such isn't cut if it holds the page's <main>, all its <article>s or one and most of the
-points, or, without those, most of the points (comments: only a <main>); plain sections of an article are cut by few and whole names.
+paragraphs of prose with few links, or headings right before what is kept. Where
+containers of few links that score nearly as well stand further off, the element that
+holds them and the winner is kept, or, if that is the body, its children that hold them.
+An <article> or <main> that holds the winner takes its place, with all that is inside.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are cut wherever they stand. A <form>, and what only its class or id tells to be
+such, isn't cut if it holds the page's <main>, all its <article>s or one and most of the
+points, or, without those, most of the points (a form: and two paragraphs of prose;
+comments: only a <main>), nor if nothing would be left. Plain sections of an article and
+inline elements are cut by few and whole names.
 
 A null or empty page, and a page without text, gives the empty text. Markup may be
 unclosed, cut off or nested wrongly. Rows are independent, so repeated rows give repeated
-results; only the three named columns are read. A page is held by one task at a time, in
+results; only the three named columns are read, and an empty table gives an empty one. A page is held by one task at a time, in
 memory that is linear in its length; nothing of a page is capped.
 """
 
@@ -45,7 +48,7 @@ INLINE = frozenset(
     "samp small span strike strong sub sup time tt u var br wbr img nobr".split()
 )
 CUT = frozenset(
-    "nav footer aside form button select input textarea script style noscript template iframe object "
+    "nav footer aside button select input textarea script style noscript template iframe object "
     "embed svg canvas dialog menu head title audio video map fieldset datalist".split()
 )
 CUT_ROLES = frozenset(
@@ -94,13 +97,15 @@ SHARES = (1.0, 0.5, 0.25, 0.125)
 LONG_TEXT = 100
 MOST_FOR_LENGTH = 5.0
 SIBLING_SHARE = 0.2
+#: Characters from which a paragraph is prose.
+LONG_PROSE = 80
 PROSE_LINKS = 0.25
 #: Share of the winner's points from which a container further off is a part of the same text.
 NEARLY = 1 / 3
 
 
 #: Why an element is cut.
-BY_NAME, COMMENTS, CERTAIN = 1, 2, 3
+BY_NAME, FORM, COMMENTS, CERTAIN = 1, 2, 3, 4
 
 
 def _told(attributes: str) -> dict[str, str]:
@@ -108,9 +113,11 @@ def _told(attributes: str) -> dict[str, str]:
 
 
 def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
-    """CERTAIN, or BY_NAME where only class and id tell it; 0 for what isn't cut."""
+    """CERTAIN, FORM, or BY_NAME or COMMENTS where only class and id tell it; 0 for what isn't cut."""
     if tag in CUT:
         return CERTAIN
+    if tag == "form":
+        return FORM
     if tag == "header" and not in_article:
         return CERTAIN
     if tag in KEEP or not attributes or not attributes.strip():
@@ -124,7 +131,7 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
         return 0
     names = told.get("class", "") if tag == "p" else f"{told.get('class', '')} {told.get('id', '')}"
     names = " ".join(x for x in names.split() if not MODIFIER.fullmatch(x))
-    if tag == "section" and in_article:
+    if tag in INLINE or tag == "section" and in_article:
         return BY_NAME if any(SECTION_NAMES.fullmatch(x) for x in names.split()) else 0
     if not CUT_WORDS.search(names) or tag != "p" and in_article and re.search(r"(?:^|[\s_-])header", names) and "site" not in names:
         return 0
@@ -144,23 +151,24 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
         # Comments first: their <article>s aren't the page's.
-        for why in (COMMENTS, BY_NAME):
+        for why in (COMMENTS, FORM, BY_NAME):
             if why in self.named:
                 self._cut_by_name(why)
 
     def _cut_by_name(self, why: int) -> None:
         """Drops the blocks of elements that are cut by name, but for those that hold the page."""
         parent, tag, n = self.parent, self.tag, len(self.parent)
-        points, filled, mains, articles = [0.0] * n, [False] * n, [0] * n, [0] * n
+        points, filled, mains, articles, prose = [0.0] * n, [False] * n, [0] * n, [0] * n, [0] * n
         for x, text, links in self.blocks:
             points[x] += _points(text, links)
             filled[x] = True
+            prose[x] += tag[x] not in HEADINGS and len(text) > LONG_PROSE
         for x in range(n - 1, 0, -1):
             mains[x] += filled[x] and tag[x] == "main"
             articles[x] += filled[x] and tag[x] == "article"
             y = parent[x]
             filled[y] = filled[y] or filled[x]
-            for of in (points, mains, articles):
+            for of in (points, mains, articles, prose):
                 of[y] += of[x]
         gone = [False] * n
         for x in range(1, n):
@@ -170,9 +178,11 @@ class Page:
             elif articles[0]:
                 holds = articles[x] == articles[0] or articles[x] > 0 and most
             else:
-                holds = most
+                holds = most and (why != FORM or prose[x] > 1)
             gone[x] = gone[parent[x]] or self.named[x] == why and not holds
-        self.blocks = [b for b in self.blocks if not gone[b[0]]]
+        left = [b for b in self.blocks if not gone[b[0]]]
+        if left or why != BY_NAME:
+            self.blocks = left
 
     def _read(self, html: str) -> None:
         stack, parts, links = [0], [], 0
@@ -287,18 +297,20 @@ class Page:
         while y >= 0 and tag[y] not in ("article", "main"):
             y = parent[y]
         if y >= 0:
-            kept.add(y)
             best = y
         elif tag[best] not in ("body", "html", "#root"):
             best, far = self._climbed(best, score, lambda x: linked[x] / size[x] < PROSE_LINKS)
-            kept = {best, *far}
+            kept |= far
+        kept.add(best)
+        if tag[best] not in ("body", "html", "#root"):
             least = max(2.0, SIBLING_SHARE * score(best))
-            prose = {x for x, t, _ in self.blocks if tag[x] == "p" and len(t) > 80}
-            for x in range(1, n):
-                if parent[x] == parent[best] and x != best and size[x]:
-                    few = linked[x] / size[x] < PROSE_LINKS
-                    if few and (score(x) >= least or x in prose or tag[x] in HEADINGS):
-                        kept.add(x)
+            prose = {x for x, t, _ in self.blocks if tag[x] == "p" and len(t) > LONG_PROSE}
+            beside = [x for x in range(1, n) if parent[x] == parent[best] and size[x]]
+            for k, x in reversed(list(enumerate(beside))):
+                if linked[x] / size[x] >= PROSE_LINKS:
+                    continue
+                if score(x) >= least or x in prose or tag[x] in HEADINGS and beside[k + 1 : k + 2] and beside[k + 1] in kept:
+                    kept.add(x)
         inside = [False] * n
         for x in range(n):
             inside[x] = x in kept or parent[x] >= 0 and inside[parent[x]]
