@@ -43,6 +43,8 @@ GRAM = 32
 PIECE_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
 HOT = 4096
+#: Bytes of a text whose spans are merged first.
+STRETCH = 1 << 16
 PLACE_BITS = 22
 #: Columns that are added to a table for a while.
 ROW, SPANS = "__row__", "__spans__"
@@ -224,8 +226,10 @@ class RunLengthIndex:
 
 
 def row_key(id_: Column, text: Column) -> Column:
-    """128 bits that tell a row from others but for those with its id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))))
+    """128 bits that tell a row from others but for those with its id and text; null isn't empty."""
+    id_ = id_.cast("string")
+    told = F.coalesce(F.concat(F.length(id_).cast("string"), F.lit(":"), id_), F.lit("-"))
+    return F.unhex(F.md5(F.concat(told, F.coalesce(F.concat(F.lit("+"), text), F.lit("-")))))
 
 
 def _bytes(texts: list[str | None]) -> list[bytes]:
@@ -297,7 +301,8 @@ def _counted(parts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (see row_key) and spans, an array of [lo, hi) bytes to remove, of texts that have any.
 
-    Spans of a row may touch or overlap.
+    Spans of a row may touch or overlap. They are merged by stretches of STRETCH bytes before
+    those of a row come together, so that a row has a few for each stretch at most.
     """
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     every = staged(all_segments(keyed, length), "segments")
@@ -334,7 +339,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = some.join(whole.unionByName(single), ["minimizer", "content"]).select(
         "row", F.explode(F.transform("starts", lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"] + length - 1).alias("hi")))).alias("span")
     )
-    return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
+    near = spans.groupBy("row", F.floor(F.col("span.lo") / STRETCH).alias("stretch")).agg(F.collect_set("span").alias("spans"))
+    fewer = map_rows(near.select("row", "spans"), "row binary, spans array<struct<lo long, hi long>>", _merger)
+    return fewer.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _merger():
+    def run(rows, spans):
+        return {"row": rows, "spans": [[{"lo": a, "hi": b} for a, b in merged(s)] for s in spans]}
+
+    return run
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

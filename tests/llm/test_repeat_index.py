@@ -69,3 +69,23 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert R.op5(docs).collect() == []
+
+
+def test_string_ids_and_clashing_columns(spark):
+    passage = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
+    rows = [("a|b", passage), ("a", "b|" + passage), (None, "x" + passage + "y"), ("7", None), ("7", "")]
+    docs = spark.createDataFrame([(*r, 1, "s", 2) for r in rows], "doc_id string, text string, row int, spans string, start int")
+    got = {r["doc_id"]: r["n_removed"] for r in R.op5(docs.where("doc_id is null or doc_id <> '7'")).collect()}
+    assert got == {"a|b": 500, "a": 500, None: 500}
+    cut = R.cut_repeats(docs)
+    assert cut.columns == docs.columns and {r["text"] for r in cut.collect()} == {"", "b|", "xy", None}
+
+
+def test_spans_are_merged_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(R, "STRETCH", 300)
+    texts = ["z" * 20_000, "ab" * 3000, *corpus(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["row"]: r["spans"] for r in R.repeated_spans(docs, 100).collect()}
+    assert max(map(len, spans.values())) <= 20_000 // 300 + 1
+    got = {r["doc_id"]: r["n_removed"] for r in R.op5(docs, 100).collect()}
+    assert got == {i: sum(b - a for a, b in s) for i, s in enumerate(brute([t.encode() for t in texts], 100))}
