@@ -167,7 +167,8 @@ def unresolved(rows: DataFrame, percent: int) -> DataFrame:
 def regions_of(sets: DataFrame, percent: int) -> DataFrame:
     """pivot (a shingle), point, n and own (shingles that no other point has) of all regions."""
     each = sets.select("point", "n", F.explode("shingles").alias("pivot"))
-    held = each.groupBy("pivot").agg(F.count("*").alias("df")).where("df > 1")
+    # Written, so that in the join below a shingle of very many points can be split.
+    held = staged(each.groupBy("pivot").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     shared = each.join(held, "pivot").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "pivot"))).alias("shared"))
     window = shared.withColumn("own", F.col("n") - F.size("shared")).withColumn("reach", (_spared(F.col("n"), percent) - F.col("own")).cast("int"))
     near = window.where("reach > 0").select("point", "n", "own", F.explode(F.slice("shared", 1, F.col("reach"))).alias("s"))
@@ -338,7 +339,8 @@ def op3(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFram
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose component has a text of a smaller id; of equal ids the smallest row key stays.
 
-    A null id comes last. Rows of one id and text are one row; texts without words stay otherwise.
+    A null id comes last. Rows of one id and text are one row; texts without words stay otherwise,
+    a null text beside an empty one of its id too.
     """
     told = staged(joined(docs, words, percent, id_col, text_col), "joined")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")

@@ -85,3 +85,19 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     rows = [(None, near[0]), (3, near[1]), (3, near[2])]
     kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 1 and kept[0]["doc_id"] == 3
+
+
+def test_ids_and_texts_that_join_to_one_string(spark):
+    rows = [("a|b", "c d e f g h"), ("a", "b|c d e f g h"), ("7", None), ("7", ""), ("-", "x y"), (None, "x y z z z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, J.keep_one(docs).collect()), key=repr) == sorted(rows, key=repr)
+    assert {(r["doc_id"], r["component_id"]) for r in J.op3(docs).collect()} >= {("a|b", "a|b"), ("a", "a")}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[60_000:]))]
+    got = {r["doc_id"]: r for r in J.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
+    assert [got[i]["n_shingles"] for i in (1, 2, 3)] == [len(shingles(t, 3)) for _, t in rows]
