@@ -93,11 +93,9 @@ def host_verdicts(measured: DataFrame, host_col: str = "source") -> DataFrame:
     The prior's mean is the mean of the hosts' rates and its weight follows from their
     spread beyond that of chance, by moments.
     """
-    hosts = (
-        measured.where(F.col(host_col).isNotNull())
-        .groupBy(host_col)
-        .agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    )
+    counted = measured.where(F.col(host_col).isNotNull()).groupBy(host_col)
+    # Written, so that it is counted once, and a host of very many documents can be split in the join back.
+    hosts = staged(counted.agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")), "hosts")
     rate = F.col("host_failed") / F.col("host_docs")
     spread = hosts.agg(
         F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("c")
