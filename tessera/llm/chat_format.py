@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import let, staged
 
+RUN = 64
 HEAD, MIDDLE, TAIL = "<|", "|>\n", "\n"
 
 
@@ -35,13 +36,22 @@ def _said(x: Column) -> Column:
 
 
 def prefix_hashes(turns: Column) -> Column:
-    """The rolling hash after each turn of an array of struct<role, text>."""
+    """The rolling hash after each turn of an array of struct<role, text>, which isn't empty.
+
+    Turns are hashed in runs of RUN, as an array is copied each time it grows.
+    """
+    said = F.transform(turns, _said)
 
     def step(done: Column, x: Column) -> Column:
-        last = F.when(F.size(done) == 0, F.lit("")).otherwise(F.get(done, F.size(done) - 1))
-        return F.concat(done, F.array(F.sha2(F.concat(last, x), 256)))
+        return F.concat(done, F.array(F.sha2(F.concat(F.get(done, F.size(done) - 1), x), 256)))
+
+    def run(done: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.array(F.get(F.element_at(done, -1), F.size(F.element_at(done, -1)) - 1)), step)
+        return F.concat(done, F.array(F.slice(own, F.lit(2), F.size(own) - 1)))
 
-    return F.aggregate(F.transform(turns, _said), F.expr("cast(array() as array<string>)"), step)
+    starts = F.sequence(F.lit(1), F.size(turns), F.lit(RUN))
+    runs = let(said, lambda s: F.transform(starts, lambda i: F.slice(s, i, F.lit(RUN))))
+    return F.flatten(F.slice(F.aggregate(runs, F.array(F.array(F.lit(""))), run), F.lit(2), F.size(turns)))
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
