@@ -1,6 +1,6 @@
 """Quality classifier (operator 8): an additive model with pairwise interactions.
 
-A text is measured by a few dozen figures. Each figure is cut into bins at quantiles.
+A text is measured by 20 figures. Each figure is cut into bins at quantiles.
 Shallow trees are boosted in turn, figure by figure, with a small step, and each adds to
 the lookup table of its figure; then, for the pairs that explain most of what is left,
 trees over two figures add to tables over pairs of bins. A score is the sum of a text's

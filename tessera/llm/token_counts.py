@@ -7,7 +7,9 @@ piece is ever built.
 
 Words are the pre-tokens of the byte-level vocabulary, whose pieces include every single
 byte, so that each word is covered. Null and empty texts have no words and no tokens.
-Rows are independent; only the two named columns are read.
+Rows are independent, so that repeated rows give repeated counts, and an empty table gives
+an empty one; only the two named columns are read. A text of any length is counted in
+whole, in memory that is linear in it; a word of any length in time that is.
 """
 
 from __future__ import annotations

@@ -106,6 +106,13 @@ def test_quality_of_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows) + 2
 
 
+def test_quality_of_empty_tables_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word and word, " * 30_000), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["score"]) for r in gam_quality.op8(spark, docs, labels).collect()} == {(1, 0.5), (2, 0.5)}
+    assert gam_quality.op8(spark, docs.limit(0), labels).collect() == []
+
+
 def test_pairs_learn_what_single_figures_cannot():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(3000, 3))

@@ -137,3 +137,37 @@ def test_chats(spark):
     assert set(got) == {3, 6, 7, 8, 9, 10}
     assert got[3] == (4, "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nmore\n<|assistant|>\n\n")
     assert chat_format.format_chats(df.limit(0)).collect() == []
+
+
+def test_hashes_of_many_turns(spark, monkeypatch):
+    rows = [(1, k, "user" if k % 2 else "bot", f"turn {k}") for k in range(1000)] + [(2, k, "user" if k % 2 else "bot", f"turn {k}") for k in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    hashes = {r["conv_id"]: r["hashes"] for r in chat_format.conversations_of(df).collect()}
+    assert len(hashes[1]) == len(set(hashes[1])) == 1000 and hashes[1][:700] == hashes[2]
+    last = ""
+    for (_, _, role, text), h in zip(rows, hashes[1]):
+        last = hashlib.sha256(f"{last}{len(role)}:{role}:+{text}".encode()).hexdigest()
+        assert h == last
+    assert [(r["conv_id"], r["n_turns"]) for r in chat_format.format_chats(df).collect()] == [(1, 1000)]
+
+
+def test_counts_of_a_very_long_text_repeated_rows_and_an_empty_table(spark):
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "y" * 300_000)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in token_counts.op10(docs).collect())
+    assert got[0] == got[1] and len(got) == 3 and got[2][2] > 1000
+    assert token_counts.op10(docs.limit(0)).collect() == []
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from tessera.llm import common
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "spark://host:7077" if key == "spark.master" else default
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
