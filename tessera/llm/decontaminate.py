@@ -12,10 +12,12 @@ names exchanged, and another text of the same form is not. Built-in functions on
 
 Whether a capitalised word is a name depends on the word before it. The first word of an
 item has none, so that names of documents are read as plain words too where a window
-starts, and an item's first word as a name too if it is one further on in the item.
+starts, and a capitalised first word of an item or sentence as a name too, unless it is
+one of the OPENERS.
 
 An item with windows of too few plain words is also joined by its lower-cased words as they
-stand, so that exact copies of any item are found, those of a single word or number too.
+stand, so that exact copies are found, of numbers and names too. An item of fewer than
+SHORT words says too little to be found inside a text: it is looked for as a whole line.
 
 Null and empty texts match nothing, nor do items without a word. A null doc_id or
 item_id is an id like any other. Repeated rows give one row a pair. Empty tables give an
@@ -36,6 +38,10 @@ from tessera.llm.repeat_index import row_key
 WINDOW = 8
 #: A window needs so many words that are not placeholders (a shorter one half).
 LEAST_WORDS = 4
+#: Where the first word is taken for a name, a window needs so many words that aren't OPENERS.
+TELLING = 2
+#: Items of fewer words are looked for as whole lines.
+SHORT = 4
 MATCHED = 6
 DRIFT = 2
 CONFLICTS = 0.25
@@ -56,6 +62,13 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks "
     "month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh"
 ).split()
+# Words that begin sentences and aren't names.
+OPENERS = (
+    "a an the this that these those what which who whom whose when where why how if is are was were do does did can could will would "
+    "shall should may might must has have had in on at by for from of to with without after before during under over about and or but "
+    "so then there here it he she we they you i my his her its our their your all any both each every some no not one find give let "
+    "solve compute calculate suppose consider given name list explain describe write choose select how many much while because as"
+).split()
 
 
 #: The start of a word that may be a name.
@@ -80,6 +93,7 @@ def canonical(tokens: Column) -> Column:
         inside = within(tokens, i)
         return (
             F.when(raw < ":", F.lit(NUMBER))
+            .when((raw >= "\u0080") & raw.rlike(r"^\p{Nd}"), F.lit(NUMBER))
             .when(low.isin(*NUMBER_WORDS), F.lit(NUMBER))
             .when(low.isin(*UNITS), F.lit(UNIT))
             .when(inside & (low != raw) & raw.rlike(CAPITAL), F.lit(NAME))
@@ -93,6 +107,11 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def may_be_name(token: Column) -> Column:
+    """Whether a word that begins a sentence may be a name."""
+    return token.rlike(CAPITAL) & ~bare(token).isin(*OPENERS)
+
+
 def run_starts(words: Column) -> Column:
     """Places in a non-empty array of words, without those that repeat the placeholder before them."""
 
@@ -119,10 +138,22 @@ def placed(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
 
 
-def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool) -> Column:
+def line_hashes(text: Column, lengths: list[int]) -> Column:
+    """array<struct<h, at>> of the lines of a text that have so many words."""
+
+    def of(line: Column, i: Column) -> Column:
+        words = lambda raw: [F.xxhash64(bare(F.get(raw, k))) for k in range(max(lengths))]
+        h = lambda raw: F.coalesce(*[F.when(F.size(raw) == n, hash_of(n, words(raw), True)) for n in lengths])
+        return F.struct(let(tokens_of(line), h).alias("h"), i.alias("at"))
+
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of), lambda x: x["h"].isNotNull())
+
+
+def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool, lines: list[int]) -> Column:
     """array<struct<h, at>> of a text: windows of every length, by other readings of their first word too.
 
     exact: the lengths of windows of lower-cased words. named: whether items have a name first.
+    lines: the lengths of items that are whole lines.
     """
     name = F.xxhash64(F.lit(NAME))
 
@@ -148,7 +179,7 @@ def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool)
 
         def as_names(n: int) -> Column:
             def begins(k: Column) -> Column:
-                first = ~within(raw, here(k)) & ~F.get(words, here(k)).startswith("<") & F.get(raw, here(k)).rlike(CAPITAL)
+                first = ~within(raw, here(k)) & ~F.get(words, here(k)).startswith("<") & may_be_name(F.get(raw, here(k)))
                 return (k + n <= F.size(hashes)) & first
 
             return F.transform(F.filter(runs, begins), lambda k: F.struct(hash_of(n, [name, *after(k, n)]).alias("h"), k.alias("at")))
@@ -168,7 +199,8 @@ def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool)
 
         return F.when(F.size(raw) > 0, let(canonical(raw), from_words))
 
-    return let(tokens_of(text), from_raw)
+    windows = let(tokens_of(text), from_raw)
+    return F.concat(F.coalesce(windows, F.expr("cast(array() as array<struct<h:bigint,at:int>>)")), line_hashes(text, lines)) if lines else windows
 
 
 def values_of(raw: Column, starts: Column) -> Column:
@@ -184,8 +216,8 @@ def values_of(raw: Column, starts: Column) -> Column:
 def item_views(benchmark: DataFrame) -> DataFrame:
     """The readings of every item, by a key v: words, values and sizes of runs, and windows.
 
-    There is the plain reading, one with the first word as a name if it is one further on,
-    and the exact one of items that have windows of too few plain words.
+    There is the plain reading, one with the first word as a name if it may be one, the exact
+    one of items that have windows of too few plain words, and alone that of short items.
     """
     items = (
         benchmark.select("item_id", tokens_of(F.col("text")).alias("raw"))
@@ -196,11 +228,13 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     )
     # Written first: the words are used many times below, and would be made anew each time.
     items = staged(items, "benchmark-words")
-    again = F.exists(F.arrays_zip("plain", "low"), lambda x: (x["plain"] == NAME) & (x["low"] == F.get("low", F.lit(0))))
-    first_named = ~F.get("plain", F.lit(0)).startswith("<") & F.get("raw", F.lit(0)).rlike(CAPITAL) & again
+    first_named = ~F.get("plain", F.lit(0)).startswith("<") & may_be_name(F.get("raw", F.lit(0)))
     named = F.concat(F.array(F.lit(NAME)), F.slice("plain", F.lit(2), F.col("n")))
     view = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.alias("c"))
-    views = F.array(view("plain", F.col("plain")), F.when(first_named, view("named", named)), view("exact", F.col("low")))
+    long = F.col("n") >= SHORT
+    views = F.array(
+        F.when(long, view("plain", F.col("plain"))), F.when(long & first_named, view("named", named)), F.when(long, view("exact", F.col("low"))).otherwise(view("line", F.col("low")))
+    )
     read = (
         items.select("item_id", "raw", "n", F.explode(F.filter(views, lambda x: x.isNotNull())).alias("view"))
         .select("item_id", "raw", "n", "view.kind", "view.c")
@@ -214,16 +248,18 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     )
     read = staged(read, "benchmark-readings")
     hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
-    exact = F.col("kind") == "exact"
+    exact = F.col("kind").isin("exact", "line")
     by_length = F.coalesce(
         *[F.when((F.col("length") == n) & (exact == e), let(hashes, partial(window_hashes, length=n, exact=e))) for n in range(1, WINDOW + 1) for e in (False, True)]
     )
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("length")), lambda w: ~w.startswith("<")))
     enough = F.least(F.lit(LEAST_WORDS), F.ceil(F.least(F.lit(WINDOW), F.col("n")) / 2))
-    marked = F.transform(by_length, lambda h, i: F.struct(h.alias("h"), i.alias("at"), (plain(i) >= enough).alias("good")))
+    telling = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("length")), lambda w: ~w.startswith("<") & ~w.isin(*OPENERS)))
+    good = lambda i: (F.col("kind") == "line") | (plain(i) >= enough) & ((F.col("kind") != "named") | (telling(i) >= TELLING))
+    marked = F.transform(by_length, lambda h, i: F.struct(h.alias("h"), i.alias("at"), good(i).alias("good")))
     read = read.withColumn("marked", marked)
     poor = read.where((F.col("kind") == "plain") & F.exists("marked", lambda x: ~x["good"])).select(F.col("item_id").alias("poor_id")).distinct()
-    told = read.where(~exact).unionByName(read.where(exact).join(poor, F.col("item_id").eqNullSafe(F.col("poor_id")), "left_semi"))
+    told = read.where("kind <> 'exact'").unionByName(read.where("kind = 'exact'").join(poor, F.col("item_id").eqNullSafe(F.col("poor_id")), "left_semi"))
     return told.withColumn("windows", F.filter("marked", lambda x: x["good"])).where(F.size("windows") > 0).drop("marked")
 
 
@@ -238,19 +274,21 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = windows.count() <= BROADCAST
     hint = F.broadcast if small else lambda df: df
     kinds = [(r["kind"], r["length"]) for r in windows.select("kind", "length").distinct().collect()]
-    lengths = sorted({n for kind, n in kinds if kind != "exact"}) or [WINDOW]
-    exact = sorted({n for kind, n in kinds if kind == "exact"})
+    lengths = sorted({n for kind, n in kinds if kind in ("plain", "named")}) or [WINDOW]
+    exact, lines = (sorted({n for kind, n in kinds if kind == wanted}) for wanted in ("exact", "line"))
     named = any(kind == "named" for kind, _ in kinds)
     wanted = windows.select("v", "h", "item_at")
 
     def found(rows: DataFrame, keep: list) -> DataFrame:
-        every = all_windows(F.col("text"), lengths, exact, named)
+        every = all_windows(F.col("text"), lengths, exact, named, lines)
         return rows.select(*keep, F.explode(every).alias("w")).select(*[c for c in keep], "w.h", F.col("w.at").alias("at"))
 
     touched = found(docs, ["doc_id"]).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
     some = docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
-    some = staged(some.withColumn("r", F.expr("uuid()")).withColumn("row", row_key(F.col("doc_id"), F.col("text"))), "touched-texts")
+    runs = let(tokens_of(F.col("text")), lambda raw: F.when(F.size(raw) > 0, let(let(canonical(raw), run_starts), lambda starts: values_of(raw, starts))))
+    keyed = some.withColumn("r", F.expr("uuid()")).withColumn("row", row_key(F.col("doc_id"), F.col("text"))).withColumn("runs", runs)
+    some = staged(keyed, "touched-texts")
     beside = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     hits = (
         found(some.select("r", "text"), ["r"])
@@ -269,7 +307,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = (
         hits.join(hint(items) if small else items, "v")
         .where((F.size("matched") >= F.size("windows")) | (F.size("matched") + hidden >= MATCHED))
-        .join(some, "r")
+        .join(some.select("r", "row", "doc_id", "runs"), "r")
     )
 
     def slot(p: Column, values: Column) -> Column:
@@ -282,9 +320,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def slots_by(values: Column) -> Column:
         return F.transform(F.filter(places, lambda p: F.get("words", p).startswith("<")), lambda p: slot(p, values))
 
-    runs = let(tokens_of(F.col("text")), lambda raw: let(let(canonical(raw), run_starts), lambda starts: values_of(raw, starts)))
     none = F.expr("cast(array() as array<struct<item string, doc string>>)")
-    slots = F.array_distinct(F.when(F.col("kind") == "exact", none).otherwise(let(runs, slots_by)))
+    slots = F.array_distinct(F.when(F.col("kind").isin("exact", "line"), none).otherwise(slots_by(F.col("runs"))))
     # Written, as the slots are used many times below.
     told = staged(pairs.select("row", "doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
     return (

@@ -206,6 +206,44 @@ def test_first_word_after_any_word(spark):
     assert set(leaking(spark, [*other, "Question: Paris is the capital of the country that borders France to the west?"], items)) == {(0, 3), (1, 3)}
 
 
+def test_questions_that_begin_with_their_name(spark):
+    items = ["Marta buys 12 apples and 30 pears.", "Tom has \u0663\u0664 stamps and gives away half of them.", "Yes", "No more rain"]
+    docs = [
+        "some words. Jonas buys 77 apples and 41 pears. And more", "He said yes to the plan. Yes", "first line\nYES.\nlast line", "There was no more rain here.",
+        "no more rain", "well. Ann has \u0661\u0669 stamps and gives away half of them. So", "Ann has 19 stamps and gives away half of them.", "The buys 77 apples and 41 pears.",
+    ]
+    assert set(leaking(spark, docs, items)) == {(0, 0), (2, 2), (4, 3), (5, 1), (6, 1)}
+
+
+def exchanged_questions(rng, n):
+    """(item, the same with other values, another of the same form with other plain words)."""
+    names, places, units = "Marta Jonas Nadia Oskar Priya Tomas".split(), "Lisbon Madrid Geneva Oslo Quito Lagos".split(), "kg miles hours euros".split()
+    out = []
+    for _ in range(n):
+        w = prose(rng, rng.randint(8, 20))
+        slots = sorted(rng.sample(range(len(w)), rng.randint(2, 4)))
+        first, second, decoy = list(w), list(w), list(w)
+        for k, at in enumerate(slots):
+            a, b = rng.sample([str(rng.randint(2, 999)) for _ in range(2)] if k % 2 else names if k % 4 else places, 2)
+            unit = rng.choice(units) if k % 2 else ""
+            first[at], second[at], decoy[at] = (f"{x} {unit}".strip() for x in (a, b, b))
+        for at in rng.sample([i for i in range(len(w)) if i not in slots], max(3, len(w) // 3)):
+            decoy[at] = prose(rng, 1)[0]
+        out.append(tuple(" ".join(x) + "." for x in (first, second, decoy)))
+    return out
+
+
+def test_recall_of_exchanged_questions(spark):
+    rng = random.Random(31)
+    made = exchanged_questions(rng, 120)
+    around = lambda t: " ".join(prose(rng, 25)).capitalize() + ". " + t[0].upper() + t[1:] + " " + " ".join(prose(rng, 25))
+    docs = [around(t) for _, t, _ in made] + [around(t) for t, _, _ in made] + [around(t) for _, _, t in made] + [" ".join(prose(rng, 60)) for _ in range(60)]
+    got = set(leaking(spark, docs, [t for t, _, _ in made]))
+    caught = [sum((i + part * 120, i) in got for i in range(120)) for part in range(3)]
+    assert caught[0] >= 108 and caught[1] == 120 and caught[2] <= 6
+    assert not [x for x in got if x[0] >= 360 or x[0] % 120 != x[1]]
+
+
 def test_values_of_other_numbers_of_words(spark):
     item = "when the old train left the city at noon Ann saw that nobody else had come along"
     longer = item.replace("Ann", "Mary Lee")
