@@ -89,16 +89,15 @@ def canonical(tokens: Column) -> Column:
     """Placeholders and lower-cased words for an array of TOKENs; runs are left."""
 
     def one(raw: Column, i: Column) -> Column:
-        low = bare(raw)
-        inside = within(tokens, i)
-        return (
-            F.when(raw < ":", F.lit(NUMBER))
-            .when((raw >= "\u0080") & raw.rlike(r"^\p{Nd}"), F.lit(NUMBER))
-            .when(low.isin(*NUMBER_WORDS), F.lit(NUMBER))
-            .when(low.isin(*UNITS), F.lit(UNIT))
-            .when(inside & (low != raw) & raw.rlike(CAPITAL), F.lit(NAME))
-            .otherwise(low)
-        )
+        def of(low: Column) -> Column:
+            return (
+                F.when((raw < ":") | (raw >= "\u0080") & raw.rlike(r"^\p{Nd}"), F.lit(NUMBER))
+                .when(low.isin(*NUMBER_WORDS, *UNITS), F.when(low.isin(*UNITS), F.lit(UNIT)).otherwise(F.lit(NUMBER)))
+                .when((low != raw) & within(tokens, i) & raw.rlike(CAPITAL), F.lit(NAME))
+                .otherwise(low)
+            )
+
+        return let(bare(raw), of)
 
     return F.transform(tokens, one)
 
@@ -149,13 +148,16 @@ def line_hashes(text: Column, lengths: list[int]) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of), lambda x: x["h"].isNotNull())
 
 
-def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool, lines: list[int]) -> Column:
+def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool, lines: list[int], places: bool = True) -> Column:
     """array<struct<h, at>> of a text: windows of every length, by other readings of their first word too.
 
+    Without places it is an array of h alone.
     exact: the lengths of windows of lower-cased words. named: whether items have a name first.
     lines: the lengths of items that are whole lines.
     """
     name = F.xxhash64(F.lit(NAME))
+    whole = placed if places else lambda hashes: hashes
+    some = (lambda found: found) if places else lambda found: F.transform(found, lambda x: x["h"])
 
     def of(raw: Column, words: Column, starts: Column, hashes: Column) -> Column:
         runs = F.sequence(F.lit(0), F.size(hashes) - 1)
@@ -184,10 +186,10 @@ def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool,
 
             return F.transform(F.filter(runs, begins), lambda k: F.struct(hash_of(n, [name, *after(k, n)]).alias("h"), k.alias("at")))
 
-        parts = [part for n in lengths for part in (placed(window_hashes(hashes, n)), plainly(n), *([as_names(n)] if named else []))]
+        parts = [part for n in lengths for part in (whole(window_hashes(hashes, n)), some(plainly(n)), *([some(as_names(n))] if named else []))]
         if exact:
             plain = F.transform(raw, lambda t: F.xxhash64(bare(t)))
-            parts.append(let(plain, lambda p: F.concat(*[placed(window_hashes(p, n, True)) for n in exact])))
+            parts.append(let(plain, lambda p: F.concat(*[whole(window_hashes(p, n, True)) for n in exact])))
         return F.concat(*parts)
 
     def from_raw(raw: Column) -> Column:
@@ -200,7 +202,8 @@ def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool,
         return F.when(F.size(raw) > 0, let(canonical(raw), from_words))
 
     windows = let(tokens_of(text), from_raw)
-    return F.concat(F.coalesce(windows, F.expr("cast(array() as array<struct<h:bigint,at:int>>)")), line_hashes(text, lines)) if lines else windows
+    none = F.expr(f"cast(array() as array<{'struct<h:bigint,at:int>' if places else 'bigint'}>)")
+    return F.concat(F.coalesce(windows, none), some(line_hashes(text, lines))) if lines else windows
 
 
 def values_of(raw: Column, starts: Column) -> Column:
@@ -279,11 +282,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = any(kind == "named" for kind, _ in kinds)
     wanted = windows.select("v", "h", "item_at")
 
-    def found(rows: DataFrame, keep: list) -> DataFrame:
-        every = all_windows(F.col("text"), lengths, exact, named, lines)
-        return rows.select(*keep, F.explode(every).alias("w")).select(*[c for c in keep], "w.h", F.col("w.at").alias("at"))
+    def found(places: bool) -> Column:
+        return F.explode(all_windows(F.col("text"), lengths, exact, named, lines, places))
 
-    touched = found(docs, ["doc_id"]).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
+    touched = docs.select("doc_id", found(False).alias("h")).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
     some = docs.join(touched, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
     runs = let(tokens_of(F.col("text")), lambda raw: F.when(F.size(raw) > 0, let(let(canonical(raw), run_starts), lambda starts: values_of(raw, starts))))
@@ -291,7 +293,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     some = staged(keyed, "touched-texts")
     beside = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     hits = (
-        found(some.select("r", "text"), ["r"])
+        some.select("r", found(True).alias("w"))
+        .select("r", "w.h", F.col("w.at").alias("at"))
         .join(hint(wanted), "h")
         .select("r", "v", "item_at", (F.col("at") - F.col("item_at")).alias("at_shift"), beside.alias("off"))
         .groupBy("r", "v", (F.col("at_shift") + F.col("off")).alias("shift"))
