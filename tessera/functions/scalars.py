@@ -174,15 +174,28 @@ def pack_code(signs: Column, low_first: bool = False) -> Column:
 
 # --- texts -----------------------------------------------------------------------------
 
+#: White space of any kind.
+WHITE = r"[\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def stripped(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def single_blanks(x: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.btrim(F.regexp_replace(x, f"{WHITE}+", " "))
+
 
 def finding_text(x: Column) -> Column:
     """Trimmed, lower-case, single blanks, without blanks and .;:, at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " "), F.lit(" .;:,"))
+    return F.btrim(single_blanks(F.lower(x)), F.lit(" .;:,"))
 
 
 def plain_text(x: Column) -> Column:
     """Single blanks, trimmed, without blanks and dots at the end."""
-    return F.rtrim(F.btrim(F.regexp_replace(x, r"\s+", " ")), F.lit(" ."))
+    return F.rtrim(single_blanks(x), F.lit(" ."))
 
 
 def text_hash(x: Column) -> Column:
@@ -194,15 +207,23 @@ def target_text(region: Column, finding: Column) -> Column:
 
 
 def first_filled(*xs: Column) -> Column:
-    """The first that isn't null or blank."""
-    return F.coalesce(*[F.when(F.btrim(x) != "", x) for x in xs])
+    """The first that isn't null or blank, without white space at its ends."""
+    return F.coalesce(*[F.when(stripped(x) != "", stripped(x)) for x in xs])
 
 
 def after(x: Column, mark: str) -> Column:
-    """What follows the last mark; the whole text without one."""
-    return F.btrim(F.substring_index(x, mark, -1))
+    """What follows the first mark, as it stands; the whole stripped text without one."""
+    x = stripped(x)
+    place = F.instr(x, mark)
+    return F.when(place > 0, F.substr(x, place + len(mark))).otherwise(x)
+
+
+def pair_finding(raw_text: Column, finding: Column, label: Column, text: Column) -> Column:
+    """The finding that a row names, or else what follows "Finding:" in its text; never null."""
+    return F.coalesce(first_filled(raw_text, finding, label), after(text, "Finding:"), F.lit(""))
 
 
+#: Texts that say there is no finding.
 NORMAL = ("no finding", "no findings")
 
 
@@ -221,7 +242,7 @@ def joined_sections(*xs: Column) -> Column:
 
 
 def says_yes(x: Column) -> Column:
-    return F.lower(F.btrim(x)).startswith("yes")
+    return F.lower(stripped(x)).startswith("yes")
 
 
 def first_words(x: Column, n: int = 300) -> Column:
@@ -253,6 +274,41 @@ def cell(n: Column, sd: Column) -> Column:
     return F.when((n >= 3) & sd.isNotNull(), "FIN").when(sd.isNotNull(), "PROV").otherwise("NUM")
 
 
+def cell_text(mean: Column, sd: Column, n: Column, digits: int = 3) -> Column:
+    """A table's cell: the tag with the mean, and the deviation where there is one; null without a mean."""
+    shown = lambda x: F.format_string(f"%.{digits}f", x)
+    body = F.when(sd.isNull(), shown(mean)).otherwise(F.concat(shown(mean), F.lit("+-"), shown(sd)))
+    return F.when(mean.isNotNull(), F.concat(cell(n, sd), F.lit("{"), body, F.lit("}")))
+
+
+def leaf_paths(blob: Column) -> Column:
+    """array<struct<path, value>> of the leaves of a JSON object, by dotted path; lists are leaves.
+
+    Each turn replaces the objects of the array by their members, as deep as they go: the
+    depth of an object is that of its braces.
+    """
+    entry = lambda p, v: F.struct(p.alias("path"), v.alias("value"))
+    members = lambda x: F.transform(
+        F.map_entries(F.from_json(x["value"], "map<string,string>")), lambda e: entry(F.concat(x["path"], F.when(x["path"] == "", "").otherwise("."), e["key"]), e["value"])
+    )
+
+    def turn(found: Column, _: Column) -> Column:
+        return F.flatten(F.transform(found, lambda x: F.when(_is_object(x["value"]), members(x)).otherwise(F.array(entry(x["path"], x["value"])))))
+
+    depth = F.length(F.regexp_replace(blob, r"[^{]", ""))
+    start = F.array(entry(F.lit(""), blob))
+    return F.when(_is_object(blob), F.aggregate(F.sequence(F.lit(1), depth), start, turn))
+
+
+def _is_object(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"^\s*\{[\s\S]*[^\s{][\s\S]*\}\s*$"), F.lit(False))
+
+
+def summary_values(blob: Column, names: dict[str, str]) -> list[Column]:
+    """Columns named as names says, from paths of a JSON blob; null where there is no number."""
+    return [F.get_json_object(blob, f"$.{path}").try_cast("double").alias(name) for path, name in names.items()]
+
+
 def prompt(system: str, question: Column) -> Column:
     return F.concat(F.lit(f"{system} USER: <image>\n"), question, F.lit(" ASSISTANT:"))
 
@@ -262,17 +318,37 @@ ERROR_LETTERS = ("a", "b", "c", "d", "e", "f")
 
 
 def judged_section(x: Column, name: str) -> Column:
-    """The text of a section of a judgement, up to the next empty line."""
-    return F.regexp_extract(x, rf"\[{name}\]:\s*([\s\S]*?)(?:\n\s*\n|$)", 1)
+    """The text of a section of a judgement, up to the next empty line; null if there is none."""
+    found = F.regexp_extract_all(x, F.lit(rf"\[{name}\]:\s*([\s\S]*?)(?:\n\s*\n|$(?![\s\S]))"), F.lit(1))
+    return F.get(found, 0)
+
+
+def judged_lines(section: Column) -> Column:
+    """The lines of a section that name a category by letter or, if none does so, by number; in order.
+
+    A section that begins with "No" has none.
+    """
+    of = lambda marks: F.array_sort(F.regexp_extract_all(section, F.lit(rf"\([{marks}]\) [^\n]*"), F.lit(0)))
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(section.isNull() | section.startswith("No"), none).when(F.size(of("a-f")) > 0, of("a-f")).otherwise(of("1-6"))
 
 
 def judged_count(section: Column, letter: str) -> Column:
-    """The number after ": " of a category of a section, by letter or else by number."""
-    number = str(ERROR_LETTERS.index(letter) + 1)
-    found = [F.regexp_extract(section, rf"\({mark}\)[^\n]*?: (\d+)\.", 1) for mark in (letter, number)]
-    return F.coalesce(*[F.when(f != "", f.cast("int")) for f in found], F.lit(0))
+    """The number between ": " and "." of the last line of a category that has one, or 0."""
+    number = ERROR_LETTERS.index(letter) + 1
+    own = F.filter(judged_lines(section), lambda x: x.startswith(f"({letter}) ") | x.startswith(f"({number}) "))
+    counts = F.filter(F.transform(own, lambda x: F.regexp_extract(x, r": (\d+)\.", 1)), lambda x: x != "")
+    return F.when(F.size(counts) > 0, F.element_at(counts, -1).cast("int")).otherwise(0)
+
+
+def judged_matches(section: Column) -> Column:
+    """The number that a section of matched findings begins with, or 0."""
+    return F.when(section.startswith("No"), 0).otherwise(F.coalesce(F.regexp_extract(section, r"^(\d+)\.", 1).try_cast("int"), F.lit(0)))
 
 
-def judged_sentences(section: Column) -> Column:
-    """Sentences of a section, that semicolons part."""
-    return F.filter(F.transform(F.split(section, ";"), lambda s: F.btrim(s)), lambda s: s != "")
+def judged_sentences(line: Column, matched: bool = False) -> Column:
+    """Sentences that semicolons part: after the last colon and the first dot behind it (matched: the last)."""
+    tail = F.substring_index(line, ":", -1)
+    dot = F.instr(tail, ".")
+    body = F.substring_index(tail, ".", -1) if matched else F.when(dot > 0, F.substr(tail, dot + 1)).otherwise(tail)
+    return F.filter(F.transform(F.split(body, ";"), stripped), lambda s: s != "")

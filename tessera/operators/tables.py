@@ -15,6 +15,18 @@ def missing(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "left_anti")
 
 
+def usable_ids(ids: DataFrame, listed: DataFrame, bad: DataFrame, on: str, expected: int | None = None, limit: int = 0) -> DataFrame:
+    """ids that are listed, but for bad ones; a number of listed ids that isn't expected is an error.
+
+    The number is that before bad ids go. With a limit the first so many by id are kept.
+    """
+    there = ids.select(on).join(listed.select(on).distinct(), on, "left_semi")
+    if expected is not None and (n := there.count()) != expected:
+        raise ValueError(f"{n} ids are listed, {expected} were expected")
+    kept = there.join(bad.select(on), on, "left_anti")
+    return kept.orderBy(on).limit(limit) if limit else kept
+
+
 def require_all(left: DataFrame, right: DataFrame, on: Sequence[str]) -> None:
     """An error that names five of the left keys that the right side lacks."""
     some = missing(left, right, on).select(*on).distinct().orderBy(*on).limit(5).collect()
@@ -58,8 +70,8 @@ def deltas(base: DataFrame, other: DataFrame, on: str, columns: Sequence[str]) -
 
 
 def first_available(rows: DataFrame, by: Sequence[str], priority: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(priority)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row of each group with the lowest priority number, by partial aggregation."""
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), priority).alias("_one")).select("_one.*")
 
 
 def leaf_lookup(paths: DataFrame, path: str, keep: DataFrame, skip: DataFrame, fallback: str | None = None) -> DataFrame:
@@ -91,9 +103,13 @@ def coverage(requested: DataFrame, available: DataFrame, on: Sequence[str], by:
 
 
 def collapse(rows: DataFrame, key: Sequence[Column], order: str) -> DataFrame:
-    """The first row of each key, with how many it stands for."""
-    w = Window.partitionBy(*key)
-    return rows.withColumn("_r", F.row_number().over(w.orderBy(order))).withColumn("duplicate_count", F.count("*").over(w)).where("_r = 1").drop("_r")
+    """The first row of each key, with how many it stands for.
+
+    One partial aggregation: no task holds the rows of a key.
+    """
+    first = F.min_by(F.struct(*rows.columns), order).alias("_one")
+    made = rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(first, F.count("*").alias("duplicate_count"))
+    return made.select("_one.*", "duplicate_count")
 
 
 def stratified_first(rows: DataFrame, by: str, normal: Column, key: Column, most: int) -> DataFrame:
@@ -112,27 +128,78 @@ def shard(rows: DataFrame, order: str, n: int, k: int) -> DataFrame:
     return numbered.where(F.pmod(F.col("row"), F.lit(n)) == k)
 
 
-def numbered_rows(rows: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """rows with row: their place from 0 by a numeric column without ties."""
+def numbered_rows(rows: DataFrame, order: str, ranges: int = 0, row_col: str = "row", tie: str | None = None) -> DataFrame:
+    """rows with row: their place from 0 by a numeric column, whose ties a second one settles.
+
+    As many ranges of the order as there are shuffle partitions are numbered side by side.
+    """
+    ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
     part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
     ranged = rows.withColumn("_part", part)
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order, *([tie] if tie else []))) - 1)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row for each of at most `ranges` ranges.
+    # One row for each range.
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(before), "_part").withColumn("row", (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+    return inside.join(F.broadcast(before), "_part").withColumn(row_col, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+
+
+def seeded(seed: int, *keys: Column) -> Column:
+    """A key that puts rows into an order which a seed decides, the same on every engine."""
+    return F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(seed))))
 
 
 def hash_holdout(ids: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     """k ids in the order of a seeded hash, marked as held out; the rest not."""
-    held = ids.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(k).withColumn("held", F.lit(True))
+    held = ids.select(id_col).orderBy(seeded(seed, F.col(id_col)), id_col).limit(k).withColumn("held", F.lit(True))
     return ids.join(held, id_col, "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
-def batch_address(rows: int, ranks: int, size: int) -> dict[str, int]:
-    """Steps of an epoch when every rank takes `size` rows a step and the rest is dropped."""
-    return {"rows_per_step": ranks * size, "steps": rows // (ranks * size)}
+def steps_of_epoch(rows: int, ranks: int, size: int, drop_last: bool = True) -> int:
+    """Steps in which every rank takes `size` rows; no whole step is an error."""
+    if min(rows, ranks, size) <= 0:
+        raise ValueError(f"rows {rows}, ranks {ranks} and size {size} have to be positive")
+    steps = rows // (ranks * size) if drop_last else -(-rows // (ranks * size))
+    if not steps:
+        raise ValueError(f"{ranks} ranks of {size} rows are more than {rows} rows")
+    return steps
+
+
+def batches(
+    numbered: DataFrame, rows: int, ranks: int, size: int, first_step: int, last_step: int, drop_last: bool = True, seed: int | None = None, row: str = "row"
+) -> DataFrame:
+    """numbered (row from 0) with step, epoch, rank and slot: which rank takes a row at which step.
+
+    Steps count from 1 over all epochs, so that work which goes on later repeats nothing.
+    With a seed each epoch has an order of its own, by a hash of row, seed and epoch.
+    """
+    if last_step < first_step or first_step < 1:
+        raise ValueError(f"steps {first_step} to {last_step}")
+    steps = steps_of_epoch(rows, ranks, size, drop_last)
+    epochs = list(range((first_step - 1) // steps, (last_step - 1) // steps + 1))
+    each = numbered.withColumn("epoch", F.explode(F.array(*map(F.lit, epochs))))
+    if seed is None:
+        each = each.withColumn("_at", F.col(row))
+    else:
+        order = F.conv(F.substring(seeded(seed, F.col(row), F.col("epoch")), 1, 12), 16, 10).cast("long")
+        keyed = each.withColumn("_k", order.cast("double") * F.lit(1.0))
+        parts = [numbered_rows(keyed.where(F.col("epoch") == e), "_k", row_col="_at", tie=row).drop("_k") for e in epochs]
+        each = parts[0]
+        for p in parts[1:]:
+            each = each.unionByName(p)
+    step = F.col("epoch") * steps + F.floor(F.col("_at") / (ranks * size)) + 1
+    within = F.pmod(F.col("_at"), F.lit(ranks * size))
+    each = each.withColumn("step", step.cast("long")).withColumn("rank", F.floor(within / size).cast("int")).withColumn("slot", F.pmod(within, F.lit(size)).cast("int"))
+    kept = each.where(F.col("step").between(first_step, last_step) & (F.col("_at") < steps * ranks * size))
+    return kept.drop("_at")
+
+
+def length_grouped(rows: DataFrame, length: str, order: Column, mega: int) -> DataFrame:
+    """rows with place: shuffled by order into runs of `mega` rows, longest first within a run."""
+    keyed = rows.withColumn("_k", order.cast("double"))
+    at = numbered_rows(keyed, "_k", row_col="_at").withColumn("_run", F.floor(F.col("_at") / mega))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy(F.desc(length), "_at")) - 1
+    return at.withColumn("place", (F.col("_run") * mega + inside).cast("long")).drop("_k", "_at", "_run")
 
 
 def ordered_union(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:
@@ -142,8 +209,8 @@ def ordered_union(first: DataFrame, second: DataFrame, key: str, order: str) ->
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row of each key with the highest order, by partial aggregation."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_one")).select("_one.*")
 
 
 def patched(base: DataFrame, patch: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:

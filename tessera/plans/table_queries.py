@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
 from tessera.operators import tables as T
+from tessera.operators.metrics import first_by
 from tessera.plans.registry import query, table
 
 
@@ -36,9 +37,8 @@ def p3_image_ids(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark)")
 def p4_usable_ids(spark, sf_dir):
-    listed = table(spark, sf_dir, "labels").select("doc_id").distinct()
     bad = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(listed, "doc_id", "left_semi").join(bad, "doc_id", "left_anti")
+    return T.usable_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bad, "doc_id")
 
 
 @query("SELECT role, count(*) AS n_in, count_if(trim(text) = '')::BIGINT AS n_empty, count_if(text IS NULL)::BIGINT AS n_missing, count_if(role LIKE 'as%' AND trim(text) <> '')::BIGINT AS n_out FROM conversations GROUP BY role")
@@ -118,7 +118,9 @@ def j3_lenient_counts(spark, sf_dir):
 SELECT o_orderkey AS id, answer, o_orderstatus = answer AS hit FROM orders JOIN g ON o_orderkey = id""")
 def j4_gold_join(spark, sf_dir):
     """Of gold answers with one id the last one counts; each needs a prediction."""
-    gold = T.last_wins(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", F.col("l_linestatus").alias("answer")), "id", "l_linenumber")
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", F.col("l_linestatus").alias("answer"))
+    # Line numbers repeat in these tables: of equal ones the first in the file counts, as a sort keeps it.
+    gold = first_by(answers, ["id"], [F.desc("l_linenumber")])
     said = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
     return T.strict_join(gold, said, ["id"]).select("id", "answer", (F.col("o_orderstatus") == F.col("answer")).alias("hit"))
 
@@ -216,12 +218,12 @@ def j19_preflight(spark, sf_dir):
     return T.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark) ORDER BY md5(doc_id || ':7'), doc_id LIMIT 100")
 def j20_sample_of_the_rest(spark, sf_dir):
     """A seeded sample of 100 of the documents that neither list has."""
     lists = table(spark, sf_dir, "labels").select("doc_id").union(table(spark, sf_dir, "benchmark").select("item_id"))
     rest = table(spark, sf_dir, "documents").select("doc_id").join(lists, "doc_id", "left_anti")
-    return rest.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100)
+    return rest.orderBy(T.seeded(7, F.col("doc_id")), "doc_id").limit(100)
 
 
 @query("SELECT doc_id, g.grp, f.finding, (CASE f.finding WHEN 'quality' THEN quality ELSE toxic END * (g.grp <> 'heart' OR f.finding = 'quality')::INT)::INT AS y FROM labels, (VALUES ('lung'), ('heart')) g(grp), (VALUES ('quality'), ('toxic')) f(finding)")
@@ -248,7 +250,7 @@ def u2_intersect(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u3_except(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id")).distinct()
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels INTERSECT SELECT item_id FROM benchmark)) = 0 AS disjoint, count(*) AS covered FROM (SELECT doc_id FROM labels UNION SELECT item_id FROM benchmark)")
@@ -269,10 +271,12 @@ def u6_alias_closure(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     edges = n.select(F.concat(F.lit("region "), F.col("n_regionkey")).alias("alias"), F.col("n_nationkey").cast("string").alias("member"))
     top = spark.createDataFrame([("all", "region 0"), ("all", "region 2")], "alias string, member string")
-    edges.unionByName(top).createOrReplaceTempView("alias_edges")
-    leaves = spark.sql("""
-        WITH RECURSIVE reach(name, depth) AS (SELECT 'all', 0 UNION ALL SELECT e.member, r.depth + 1 FROM reach r JOIN alias_edges e ON e.alias = r.name WHERE r.depth < 20)
-        SELECT DISTINCT name FROM reach WHERE name NOT IN (SELECT alias FROM alias_edges)""")
+    # A circle runs into the engine's limit of recursion, which is an error.
+    leaves = spark.sql(
+        """WITH RECURSIVE reach(name) AS (SELECT 'all' UNION ALL SELECT e.member FROM reach r JOIN {edges} e ON e.alias = r.name)
+        SELECT DISTINCT name FROM reach WHERE name NOT IN (SELECT alias FROM {edges})""",
+        edges=edges.unionByName(top),
+    )
     return leaves.select(F.col("name").try_cast("long").alias("n_nationkey")).join(n, "n_nationkey").select(F.col("n_nationkey").alias("leaf"), F.col("n_name").alias("name"))
 
 
@@ -293,7 +297,18 @@ def t8_t10_shard(spark, sf_dir):
     return T.shard(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 3, 1)
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row, count(*) OVER () // 24 AS steps FROM labels),
+e AS (SELECT *, unnest([0, 1]) AS epoch FROM r), s AS (SELECT *, epoch * steps + row // 24 + 1 AS step FROM e WHERE row < steps * 24)
+SELECT doc_id, row, epoch::INT AS epoch, step, (row % 24 // 8)::INT AS rank, (row % 8)::INT AS slot FROM s WHERE step BETWEEN steps - 1 AND steps + 2""")
+def t10_batches(spark, sf_dir):
+    """Three ranks of eight rows, from the last two steps of the first epoch to the second of the next."""
+    rows = table(spark, sf_dir, "labels").select("doc_id")
+    n = rows.count()
+    steps = T.steps_of_epoch(n, 3, 8)
+    return T.batches(T.numbered_rows(rows, "doc_id"), n, 3, 8, max(1, steps - 1), steps + 2)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':2026'), doc_id) <= 50 AS held FROM documents")
 def t9_holdout(spark, sf_dir):
     return T.hash_holdout(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 2026)
 
@@ -311,10 +326,13 @@ def w4_w5_stratified(spark, sf_dir):
     return T.stratified_first(d, "source", F.coalesce("toxic", F.lit(0)) == 0, key, 10).select("source", "doc_id", "rank")
 
 
-@query("SELECT arg_min(doc_id, doc_id) AS doc_id, count(*) AS duplicate_count FROM documents GROUP BY lang, source, lower(trim(text))")
+@query("""WITH c AS (SELECT min(doc_id) AS doc_id, count(*) AS duplicate_count FROM documents GROUP BY lang, source, lower(trim(text)))
+SELECT doc_id, duplicate_count, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM c""")
 def a24_collapse(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("lang", "source", F.lower(F.trim("text")).alias("key"))
-    return rows.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("duplicate_count")).select("doc_id", "duplicate_count")
+    """Rows of one language, source and text as one, numbered by the first of them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.md5(F.lower(F.trim("text"))).alias("key"))
+    one = T.collapse(rows, [F.col("lang"), F.col("source"), F.col("key")], "doc_id").select("doc_id", "duplicate_count")
+    return T.numbered_rows(one, "doc_id")
 
 
 @query("""SELECT source, count(*) AS rows_requested, count(l.doc_id) AS rows_matched, count_if(l.doc_id IS NULL)::BIGINT AS rows_missing, count(DISTINCT d.doc_id) AS pairs_requested, count(DISTINCT l.doc_id) AS pairs_matched FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
@@ -333,13 +351,20 @@ def f1_f4_finding_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.finding_text(t).alias("finding"), S.plain_text(t).alias("plain"), S.text_hash(t).alias("hash"), target.alias("target"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'click' ELSE 'seen ' || event_id END AS finding, event_type IN ('click') AS normal, event_id % 2 = 0 AS yes FROM events""")
+_PAIRS = """CASE event_id % 4 WHEN 0 THEN '  ' || event_type || ' ' WHEN 1 THEN ' ' END AS raw,
+CASE event_id % 4 WHEN 1 THEN 'mass ' || event_id END AS finding,
+CASE event_id % 4 WHEN 2 THEN 'Region: x. Finding: seen ' || event_id || '. Finding: again' WHEN 3 THEN ' No  finding. ' ELSE '' END AS t"""
+
+
+@query(f"""WITH e AS (SELECT event_id, {_PAIRS} FROM events),
+f AS (SELECT event_id, CASE WHEN trim(raw) <> '' THEN trim(raw) WHEN trim(finding) <> '' THEN trim(finding) WHEN instr(trim(t), 'Finding:') > 0 THEN substr(trim(t), instr(trim(t), 'Finding:') + 8) ELSE trim(t) END AS finding FROM e)
+SELECT event_id, finding, trim(lower(regexp_replace(trim(finding), '\\s+', ' ', 'g')), ' .;:,') IN ('no finding', 'no findings') AS normal, finding LIKE 'click%' AS yes FROM f""")
 def f5_f6_f9_findings(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    blank = F.when(F.col("event_type") == "click", F.col("event_type")).otherwise("  ")
-    found = S.first_filled(blank, S.after(F.concat(F.lit("Region: x. Finding: seen "), F.col("event_id")), "Finding:"))
-    normal = S.is_normal(F.when(F.col("event_type") == "click", " No  finding. ").otherwise("mass"))
-    return e.select("event_id", found.alias("finding"), normal.alias("normal"), S.says_yes(F.when(F.col("event_id") % 2 == 0, " Yes, some").otherwise("no")).alias("yes"))
+    """A finding from the first filled of two columns, or the text after its first mark."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", *_PAIRS.split(",\n"))
+    f = e.select("event_id", S.pair_finding(F.col("raw"), F.col("finding"), F.lit(None).cast("string"), F.col("t")).alias("finding"))
+    yes = F.concat(F.lit(" \t"), F.replace(F.col("finding"), F.lit("click"), F.lit("Yes, click")))
+    return f.select("event_id", "finding", S.is_normal(F.col("finding")).alias("normal"), S.says_yes(yes).alias("yes"))
 
 
 @query("""SELECT conv_id, turn, len(regexp_extract_all(upper(text), '\\b([ABC])\\b', 1))::INT AS letters FROM conversations""")
@@ -365,17 +390,27 @@ def f11_reply_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.trim(S.cleaned_reply(raw, ["[/INST]"], ["</s>", "<unk>"])).alias("reply"))
 
 
-@query("SELECT p_partkey, (p_size % 5)::INT AS n_a, (p_size % 3)::INT AS n_b, CASE WHEN p_size % 4 = 0 THEN 0 ELSE (p_size % 4) / (p_size % 4 + p_size % 5 + p_size % 3) END AS green, 'one|two' AS said FROM part")
+_JUDGED = """CASE p_size % 5 WHEN 0 THEN '(a) False report: ' || n || '. x' || chr(10) || '(2) Missing: ' || m || '. y'
+WHEN 1 THEN 'No errors. (a) x: 4. y' WHEN 2 THEN '(1) False: ' || n || '. x' || chr(10) || '(2) Third: ' || m || '. y'
+WHEN 3 THEN '(b) Later: ' || n || '. x' || chr(10) || '(b) Again: ' || m || '. y' || chr(10) || '(a) First: 1. z' ELSE '(c) none' || chr(10) || '(a) x: ' || n || '; ' || m || '. w' END"""
+
+
+@query(f"""WITH q AS (SELECT p_partkey, p_size, p_size % 7 AS n, p_size % 3 AS m, p_size % 4 AS k FROM part), s AS (SELECT *, {_JUDGED} AS s FROM q),
+l AS (SELECT *, list_sort(regexp_extract_all(s, '\\([a-f]\\) [^\\n]*')) AS a, list_sort(regexp_extract_all(s, '\\([1-6]\\) [^\\n]*')) AS b FROM s),
+u AS (SELECT *, CASE WHEN s LIKE 'No%' THEN [] WHEN len(a) > 0 THEN a ELSE b END AS u FROM l),
+c AS (SELECT *, list_filter(list_transform(list_filter(u, lambda x: x[1:4] IN ('(a) ', '(1) ')), lambda x: regexp_extract(x, ': (\\d+)\\.', 1)), lambda x: x <> '') AS ca,
+list_filter(list_transform(list_filter(u, lambda x: x[1:4] IN ('(b) ', '(2) ')), lambda x: regexp_extract(x, ': (\\d+)\\.', 1)), lambda x: x <> '') AS cb FROM u),
+n AS (SELECT p_partkey, k, coalesce(ca[-1]::INT, 0) AS n_a, coalesce(cb[-1]::INT, 0) AS n_b FROM c)
+SELECT p_partkey, n_a, n_b, CASE WHEN k = 0 THEN 0 ELSE k / (k + n_a + n_b) END AS green, 'one|two' AS said FROM n""")
 def f12_f14_judgements(spark, sf_dir):
-    size = F.col("p_size")
-    text = F.format_string(
-        "[Clinically Significant Errors]:\n(a) False report: %d. x\n(2) Missing: %d. y\n\n[Matched Findings]: %d. one; two;", size % 5, size % 3, size % 4
-    )
-    section = S.judged_section(text, "Clinically Significant Errors")
+    """Categories by letter, by number, mixed, repeated, and a section that begins with No."""
+    q = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "p_size % 7 AS n", "p_size % 3 AS m", "p_size % 4 AS k")
+    body = F.expr(_JUDGED)
+    text = F.concat(F.lit("[Clinically Significant Errors]:\n"), body, F.lit("\n\n[Matched Findings]: "), F.col("k"), F.lit(". one; two;"))
+    section, found = S.judged_section(text, "Clinically Significant Errors"), S.judged_section(text, "Matched Findings")
     a, b = S.judged_count(section, "a"), S.judged_count(section, "b")
-    matched = F.regexp_extract(S.judged_section(text, "Matched Findings"), r"^(\d+)", 1).cast("int")
-    said = S.judged_sentences(F.lit("one; two;"))
-    return table(spark, sf_dir, "part").select("p_partkey", a.alias("n_a"), b.alias("n_b"), S.green_score(matched, [a, b]).alias("green"), F.array_join(said, "|").alias("said"))
+    said = F.array_join(S.judged_sentences(found, matched=True), "|")
+    return q.select("p_partkey", a.alias("n_a"), b.alias("n_b"), S.green_score(S.judged_matches(found), [a, b]).alias("green"), said.alias("said"))
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::DOUBLE AS k, CASE WHEN event_id % 2 = 0 THEN 'green' ELSE 'fast' END AS kind FROM events")
@@ -384,11 +419,23 @@ def f15_f17_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.first_json(F.col("props"), "$.metrics.k", "$.k").alias("k"), S.source_kind(blob).alias("kind"))
 
 
-@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
-def f16_f18_flat_json(spark, sf_dir):
-    """Leaves of a JSON object with their dotted paths."""
-    leaves = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
-    return leaves.select("event_id", "path", "value")
+_BLOB = """CASE event_id % 3 WHEN 0 THEN '{"text": {"bleu_1": ' || event_id || ', "deep": {"x": "y"}}, "n": [1, 2], "e": {}}'
+WHEN 1 THEN '{"text": {"bleu_1": null}, "clinical": {"f1": 0.5, "confusion": {"TP": 3}}}' ELSE '{"clinical": {"f1": ' || event_id || '}}' END"""
+
+
+@query("""SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN [{'path': 'text.bleu_1', 'value': event_id::VARCHAR}, {'path': 'text.deep.x', 'value': 'y'}, {'path': 'n', 'value': '[1,2]'}, {'path': 'e', 'value': '{}'}]
+WHEN 1 THEN [{'path': 'text.bleu_1', 'value': NULL}, {'path': 'clinical.f1', 'value': '0.5'}, {'path': 'clinical.confusion.TP', 'value': '3'}] ELSE [{'path': 'clinical.f1', 'value': event_id::VARCHAR}] END, recursive := true) FROM events""")
+def f16_flat_json(spark, sf_dir):
+    """Leaves of nested JSON objects with their dotted paths; an empty object is a leaf."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_BLOB).alias("blob"))
+    leaf = F.explode(S.leaf_paths(F.col("blob"))).alias("leaf")
+    return e.select("event_id", leaf).select("event_id", "leaf.path", "leaf.value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END::DOUBLE AS bleu_1, CASE event_id % 3 WHEN 1 THEN 0.5 WHEN 2 THEN event_id END::DOUBLE AS clinical_f1, CASE WHEN event_id % 3 = 1 THEN 3 END::DOUBLE AS clinical_tp FROM events""")
+def f18_summary_values(spark, sf_dir):
+    names = {"text.bleu_1": "bleu_1", "clinical.f1": "clinical_f1", "clinical.confusion.TP": "clinical_tp"}
+    return table(spark, sf_dir, "events").select("event_id", *S.summary_values(F.expr(_BLOB), names))
 
 
 @query("SELECT p_partkey, 'orca' AS method, (p_size * 4)::INT AS budget, p_size / 10 AS lam FROM part")
@@ -413,10 +460,10 @@ def f25_learned_table(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.get(entry, 0).alias("a"), F.get(entry, 1).alias("b"))
 
 
-@query("SELECT lang, ceil(count(*) / 16)::BIGINT AS steps, 2 * 28 * 4 * 128 * 2 * sum(n_chars)::BIGINT AS cache, CASE WHEN count(*) >= 3 THEN 'FIN' ELSE 'PROV' END AS cell FROM documents GROUP BY lang")
+@query("SELECT lang, ceil(count(*) / 16)::BIGINT AS steps, 2 * 28 * 4 * 128 * 2 * sum(n_chars)::BIGINT AS cache, CASE WHEN count(*) >= 3 THEN 'FIN' ELSE 'PROV' END || printf('{%.2f+-1.00}', avg(n_chars)) AS cell FROM documents GROUP BY lang")
 def f23_f29_run_sizes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("t"))
-    return d.select("lang", S.steps_per_epoch(F.col("n")).alias("steps"), S.cache_bytes(28, 4, 128, F.col("t")).alias("cache"), S.cell(F.col("n"), F.lit(1.0)).alias("cell"))
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("t"), F.avg("n_chars").alias("m"))
+    return d.select("lang", S.steps_per_epoch(F.col("n")).alias("steps"), S.cache_bytes(28, 4, 128, F.col("t")).alias("cache"), S.cell_text(F.col("m"), F.lit(1.0), F.col("n"), 2).alias("cell"))
 
 
 @query("SELECT item_id, 'Answer. USER: <image>' || chr(10) || text || ' ASSISTANT:' AS prompt FROM benchmark")
