@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,6 +44,18 @@ def token_label(r: Column, budget: Column) -> Column:
     return F.when(F.coalesce(r, F.lit(0)) != 0, F.concat(F.lit("r"), r.cast("string"))).otherwise(F.concat(F.lit("b"), budget.cast("string")))
 
 
+def token_size(budget: Column, r: Column, method: Column, shape: tuple[int, int, int], channels: int, kept: int, factors: list[int]) -> tuple[Column, Column]:
+    """Tokens and channels of a run on grids of a shape.
+
+    Without a budget there is a token for each block of r^3. Packing keeps all channels of
+    a block, cropping at most `kept` of them, other methods those of a cell.
+    """
+    table = F.create_map(*[F.lit(x) for f in factors for x in (f, math.prod(-(-n // f) for n in shape))])
+    packed = F.lit(channels) * r * r * r
+    dim = F.when(method == "pack", packed).when(method == "crop", F.least(F.lit(kept), packed)).otherwise(channels)
+    return F.coalesce(budget, F.try_element_at(table, r)).cast("long"), dim.cast("long")
+
+
 def step_number(path: Column) -> Column:
     """The number of the step_N folder of a path."""
     return F.regexp_extract(path, r"step_0*(\d+)", 1).try_cast("int")

@@ -7,12 +7,15 @@ arguments (t, h, w), as they are a property of the encoder, not of the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.scalars import uniform_mix
+from tessera.operators.tables import seeded
+
 Shape = tuple[int, int, int]
 AXES = ("t", "h", "w")
 
@@ -102,10 +105,15 @@ def cubic_factors(n: int) -> Shape:
 
 def trilinear(grid: DataFrame, shape: Shape, out: Shape) -> DataFrame:
     """Trilinear resampling with half-cell centres, as weights of two cells an axis."""
+    return _weighted(grid, shape, out, lambda i, size, n: max(0.0, (i + 0.5) * size / n - 0.5))
+
+
+def _weighted(grid: DataFrame, shape: Shape, out: Shape, place: Callable[[int, int, int], float]) -> DataFrame:
+    """Cells of out as weighted sums of two cells an axis, around the place that each has in the grid."""
     for axis, size, n in zip(AXES, shape, out):
         near: dict[int, list[tuple[int, float]]] = {x: [] for x in range(size)}
         for i in range(n):
-            at = max(0.0, (i + 0.5) * size / n - 0.5)
+            at = place(i, size, n)
             low = min(int(at), size - 1)
             high, part = min(low + 1, size - 1), at - low
             for x, weight in ((low, 1 - part), (high, part)):
@@ -128,6 +136,11 @@ def nearest(grid: DataFrame, shape: Shape, out: Shape) -> DataFrame:
     return grid
 
 
+def linear_zoom(grid: DataFrame, shape: Shape, out: Shape) -> DataFrame:
+    """Linear resampling on a lattice whose corners agree, as weights of two cells an axis."""
+    return _weighted(grid, shape, out, lambda i, size, n: i * (size - 1) / (n - 1) if n > 1 else 0.0)
+
+
 def centre_crop(grid: DataFrame, shape: Shape, out: Shape, fill: float = 0.0) -> DataFrame:
     """The middle of a grid; where out is larger, fill around it."""
     lattice = grid.select("vid", "c").distinct()
@@ -205,6 +218,17 @@ def group_bits(fractions: DataFrame, group_of: DataFrame, threshold: float) -> D
     return summed.groupBy("vid", "pos").agg(F.bit_or(bit).alias("mask"))
 
 
+def voxel_weights(weights: DataFrame, shape: Shape, full: Shape, share: float, step: int, taken: int) -> DataFrame:
+    """Weights of tokens mixed with a uniform share, upsampled to full, cropped by the step, to a mean of 1.
+
+    A mean below a millionth counts as one.
+    """
+    mixed = weights.withColumn("v", uniform_mix(F.col("v"), share))
+    cut = step_crop(trilinear(mixed, shape, full), step, full[0], taken)
+    mean = F.avg("v").over(Window.partitionBy("vid"))
+    return cut.withColumn("v", F.col("v") / F.greatest(mean, F.lit(1e-6)))
+
+
 # --- selection -------------------------------------------------------------------------
 
 
@@ -228,7 +252,7 @@ def strided_places(m: int, budget: int) -> list[int]:
 
 def hashed_sample(tokens: DataFrame, k: int, seed: int, by: str = "vid", place: str = "pos") -> DataFrame:
     """k tokens of each volume in the order of a seeded hash (not numpy's random order)."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(by, place, F.lit(seed)), place)
+    order = Window.partitionBy(by).orderBy(seeded(seed, F.col(by), F.col(place)), place)
     return tokens.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 

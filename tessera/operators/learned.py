@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def pooled_vectors(cells: DataFrame, channels: int) -> DataFrame:
@@ -36,17 +39,72 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("f", array_to_vector(F.transform("x", lambda v: v.cast("double"))))
 
 
-def attention_pool(cells: DataFrame, weights: list[list[float]]) -> DataFrame:
-    """(vid, pos, x) pooled by softmax scores of given heads: (vid, head, x)."""
-    heads = F.array(*[F.struct(F.lit(i).alias("head"), F.array(*map(F.lit, w)).alias("w")) for i, w in enumerate(weights)])
-    each = cells.withColumn("h", F.explode(heads))
-    z = F.aggregate(F.zip_with("x", "h.w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = each.select("vid", F.col("h.head").alias("head"), "x", F.exp(z).alias("k"))
-    parts = scored.select("vid", "head", "k", F.posexplode("x").alias("c", "v"))
+def _scored(cells: DataFrame, score) -> DataFrame:
+    """(vid, pos, head, z): score takes a matrix of cells by channels and gives cells by heads."""
+    kind = cells.schema["vid"].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            z = score(np.array(frame["x"].tolist(), float))
+            heads = z.shape[1]
+            yield pd.DataFrame({"vid": np.repeat(frame["vid"].to_numpy(), heads), "pos": np.repeat(frame["pos"].to_numpy(), heads), "head": np.tile(np.arange(heads), len(z)), "z": z.ravel()})
+
+    return cells.select("vid", "pos", "x").mapInPandas(run, f"vid {kind}, pos int, head int, z double")
+
+
+def attention_pool(cells: DataFrame, weights: list[list[float]], gate: tuple[list, list, list, list] | None = None, mask: str | None = None) -> DataFrame:
+    """(vid, pos, x) pooled by the softmax of each head's score: (vid, head, x).
+
+    weights: a row a head. gate: V, its bias, U, its bias, so that heads score
+    tanh(V x + v) * sigmoid(U x + u) instead of x. Cells whose mask isn't true have no part.
+    """
+    w = np.array(weights, float)
+
+    def score(x: np.ndarray) -> np.ndarray:
+        if gate is not None:
+            v, v0, u, u0 = (np.array(p, float) for p in gate)
+            x = np.tanh(x @ v.T + v0) / (1 + np.exp(-np.clip(x @ u.T + u0, -700, 700)))
+        return x @ w.T
+
+    if mask:
+        cells = cells.where(F.coalesce(F.col(mask).cast("boolean"), F.lit(False)))
+    top = F.max("z").over(Window.partitionBy("vid", "head"))
+    kept = _scored(cells, score).withColumn("k", F.exp(F.col("z") - top)).select("vid", "pos", "head", "k")
+    parts = kept.join(cells.select("vid", F.col("pos").cast("int").alias("pos"), "x"), ["vid", "pos"]).select("vid", "head", "k", F.posexplode("x").alias("c", "v"))
     sums = parts.groupBy("vid", "head", "c").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("v"))
     return sums.groupBy("vid", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("x"))
 
 
+def layer_normed(cells: DataFrame, eps: float = 1e-5) -> DataFrame:
+    """x of each cell with a mean of 0 and a variance of 1."""
+    n = F.size("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / n
+    centred = F.transform("x", lambda v: v - mean)
+    spread = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v) / n + eps)
+    return cells.withColumn("x", F.transform(centred, lambda v: v / spread))
+
+
+def token_scores(cells: DataFrame, first: list[list[float]], first_bias: list[float], last: list[float], last_bias: float = 0.0) -> DataFrame:
+    """(vid, pos, score): a network of one hidden layer with GELU, by given weights."""
+    a, a0, b = np.array(first, float), np.array(first_bias, float), np.array(last, float)
+    erf = np.vectorize(math.erf, otypes=[float])
+
+    def score(x: np.ndarray) -> np.ndarray:
+        h = x @ a.T + a0
+        return (0.5 * h * (1 + erf(h / math.sqrt(2))) @ b + last_bias)[:, None]
+
+    return _scored(cells, score).select("vid", "pos", F.col("z").alias("score"))
+
+
+def representative(clustered: DataFrame) -> DataFrame:
+    """Of (vid, cluster, cosine), the member of the largest cluster nearest its centre; the first cluster if equal."""
+    largest = clustered.groupBy("cluster").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "cluster").limit(1)
+    near = clustered.join(largest, "cluster")
+    return near.orderBy(F.desc("cosine"), "vid").limit(1)
+
+
 def clusters(vectors: DataFrame, low: int, high: int, seed: int = 7) -> tuple[int, DataFrame]:
     """k between low and high with a better silhouette than its half, by bisection; (vid, k, cosine)."""
     data = _vectors(vectors)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.operators.tables import running
 
 
 def _by(by: Sequence[str]) -> list[str]:
@@ -31,11 +33,10 @@ def distinct_scores(df: DataFrame, by: Sequence[str], label: str = "label", scor
 def auroc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Area under ROC by ranks with average ties; null with one class or one row.
 
-    Rows are summed to distinct scores before they are ordered.
+    Rows are summed to distinct scores, which are ranked by ranges of the score.
     """
-    each = distinct_scores(usable(df, label, score), by, label, score)
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.withColumn("r", below + (F.col("n") + 1) / 2)
+    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["n"])
+    ranked = each.withColumn("r", F.col("before_n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     area = (F.sum(F.col("r") * F.col("pos")) - p * (p + 1) / 2) / (p * (n - p))
     return ranked.groupBy(*by).agg(p.alias("positives"), n.alias("rows"), F.when((p > 0) & (p < n), area).alias("auroc"))
@@ -43,19 +44,16 @@ def auroc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: st
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Sum of precision times gained recall over distinct thresholds."""
-    each = distinct_scores(usable(df, label, score), by, label, score)
-    upto = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    curve = each.withColumn("precision", F.sum("pos").over(upto) / F.sum("n").over(upto))
+    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["pos", "n"], descending=True)
+    curve = each.withColumn("precision", (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n")))
     return curve.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(F.col("precision") * F.col("pos")) / F.sum("pos")).alias("ap"))
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """False and true positive rates by descending threshold."""
-    each = distinct_scores(usable(df, label, score), by, label, score)
-    upto = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    tp, total = F.sum("pos").over(upto), F.sum("pos").over(whole)
-    fp, rest = F.sum("n").over(upto) - tp, F.sum("n").over(whole) - total
+    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["pos", "n"], descending=True)
+    tp, total = F.col("before_pos") + F.col("pos"), F.col("total_pos")
+    fp, rest = F.col("before_n") + F.col("n") - tp, F.col("total_n") - total
     return each.select(*by, F.col(score).alias("threshold"), F.try_divide(fp, rest).alias("fpr"), F.try_divide(tp, total).alias("tpr"))
 
 
@@ -85,11 +83,11 @@ def weighted_scores(df: DataFrame, by: str) -> DataFrame:
 
 def r2(df: DataFrame, by: Sequence[str], truth: str = "y_true", said: str = "y_pred") -> DataFrame:
     """R2 of each target over finite rows, within -1 and 1; null below two rows."""
-    rows = usable(df, truth, said)
-    mean = F.avg(truth).over(Window.partitionBy(*by))
     t, p = F.col(truth), F.col(said)
-    sums = rows.withColumn("_m", mean).groupBy(*by).agg(F.count("*").alias("rows"), F.sum((t - p) * (t - p)).alias("sse"), F.sum((t - F.col("_m")) * (t - F.col("_m"))).alias("sst"))
-    return sums.select(*by, "rows", F.when(F.col("rows") >= 2, S.clip(1 - F.col("sse") / (F.col("sst") + 1e-9), -1, 1)).alias("r2"))
+    # The spread is merged from partial moments, so that one pass does and no task holds a target.
+    sums = usable(df, truth, said).groupBy(*by).agg(F.count("*").alias("rows"), F.sum((t - p) * (t - p)).alias("sse"), F.var_pop(t).alias("_v"))
+    sst = F.col("_v") * F.col("rows")
+    return sums.select(*by, "rows", F.when(F.col("rows") >= 2, S.clip(1 - F.col("sse") / (sst + 1e-9), -1, 1)).alias("r2"))
 
 
 def errors(df: DataFrame, by: Sequence[str], truth: str = "y_true", said: str = "y_pred") -> DataFrame:
@@ -170,9 +168,10 @@ def best_step(log: DataFrame, run: Sequence[str], score: str = "score") -> DataF
 
 def upper_median(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """The element at n div 2 of the sorted column."""
-    w = Window.partitionBy(*by)
-    placed = df.where(F.col(x).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(x)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where("_r = _n div 2").select(*by, F.col(x).alias("upper_median"))
+    each = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    at = F.floor(F.col("total_n") / 2)
+    placed = running(each, by, x, ["n"]).where((F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n")))
+    return placed.select(*by, F.col(x).alias("upper_median"))
 
 
 def scaled_to_range(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -203,21 +202,42 @@ def ngrams(x: Column, n: int) -> Column:
     return F.when(F.size(x) < n, F.expr("cast(array() as array<string>)")).otherwise(grams)
 
 
+def _words(c: Column) -> Column:
+    return F.array_join(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), " ")
+
+
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """Corpus BLEU-1 to BLEU-most of (id, generated, reference), one reference each."""
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    rows = pairs.select("id", split("generated").alias("g"), split("reference").alias("r"))
-    sizes = rows.agg(F.sum(F.size("g")).alias("g"), F.sum(F.size("r")).alias("r"))
-    found = None
-    for n in range(1, most + 1):
-        counted = lambda side, n=n: rows.select("id", F.explode(ngrams(F.col(side), n)).alias("x")).groupBy("id", "x").agg(F.count("*").alias(side))
-        hit = counted("g").join(counted("r"), ["id", "x"], "left").agg(F.sum(F.least("g", F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("g").alias("all"))
-        part = hit.select(F.lit(n).alias("n"), "hit", "all")
-        found = part if found is None else found.unionByName(part)
-    precision = found.withColumn("p", F.when(F.col("all") > 0, F.col("hit") / F.col("all")).otherwise(0.0))
-    upto = precision.alias("a").join(precision.alias("b"), F.col("b.n") <= F.col("a.n")).groupBy("a.n").agg(F.avg(F.log(F.when(F.col("b.p") > 0, F.col("b.p")))).alias("m"), F.min("b.p").alias("low"))
-    brevity = F.when(F.col("g") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("g")))
-    return upto.crossJoin(sizes).select("n", F.when(F.col("low") > 0, F.exp("m") * brevity).otherwise(0.0).alias("bleu"))
+    """Corpus BLEU-1 to BLEU-most of (id, generated, reference), one reference each.
+
+    Clipped counts are those of one row, so that only their sums leave it.
+    """
+    names = [f"{kind}_{n}" for n in range(1, most + 1) for kind in ("hit", "all")]
+
+    def run(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            made = []
+            for a, b in zip(frame["g"], frame["r"]):
+                x, y = (a or "").split(), (b or "").split()
+                row = [len(x), len(y)]
+                for n in range(1, most + 1):
+                    said, told = (Counter(zip(*[w[i:] for i in range(n)])) for w in (x, y))
+                    row += [sum(min(k, told[gram]) for gram, k in said.items() if gram in told), max(0, len(x) - n + 1)]
+                made.append(row)
+            yield pd.DataFrame(made, columns=["size_g", "size_r", *names]).sum().to_frame().T
+
+    texts = pairs.select(_words(F.col("generated")).alias("g"), _words(F.col("reference")).alias("r"))
+    parts = texts.mapInPandas(run, ", ".join(f"{c} long" for c in ("size_g", "size_r", *names)))
+    total = parts.agg(*[F.sum(c).alias(c) for c in ("size_g", "size_r", *names)])
+    share = lambda n: F.when(F.col(f"all_{n}") > 0, F.col(f"hit_{n}") / F.col(f"all_{n}")).otherwise(0.0)
+    brevity = F.when(F.col("size_g") >= F.col("size_r"), 1.0).otherwise(F.exp(1 - F.col("size_r") / F.col("size_g")))
+
+    def upto(n: int) -> Column:
+        logs = sum((F.log(F.when(share(k) > 0, share(k))) for k in range(1, n + 1)), F.lit(0.0))
+        return F.struct(F.lit(n).alias("n"), F.coalesce(F.exp(logs / n) * brevity, F.lit(0.0)).alias("bleu"))
+
+    return total.select(F.explode(F.array(*[upto(n) for n in range(1, most + 1)])).alias("x")).select("x.n", "x.bleu")
 
 
 def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
@@ -280,22 +300,22 @@ def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float
 def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
     """CIDEr of (id, generated, reference): cosine of TF-IDF n-grams, averaged over n, times 10.
 
-    Document frequencies are those of all references.
+    Document frequencies are those of all references. n-grams are compared by 64-bit hashes.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     rows = pairs.select("id", split("generated").alias("g"), split("reference").alias("r"))
-    total = pairs.count()
-    made = None
-    for n in range(1, most + 1):
-        counted = lambda side, n=n: rows.select("id", F.explode(ngrams(F.col(side), n)).alias("x")).groupBy("id", "x").agg(F.count("*").alias("k"))
-        df = counted("r").groupBy("x").agg(F.count("*").alias("df"))
-        weighed = lambda side: counted(side).join(df, "x", "left").select("id", "x", (F.col("k") * F.log(total / F.coalesce("df", F.lit(1)))).alias(side))
-        both = weighed("g").join(weighed("r"), ["id", "x"], "full")
-        g, r = F.coalesce("g", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-        size = F.sqrt(F.sum(g * g) * F.sum(r * r))
-        part = both.groupBy("id").agg(F.when(size > 0, F.sum(g * r) / size).otherwise(0.0).alias("s"))
-        made = part if made is None else made.unionByName(part)
-    return rows.select("id").join(made.groupBy("id").agg((F.sum("s") * 10 / most).alias("cider")), "id", "left").select("id", F.coalesce("cider", F.lit(0.0)).alias("cider"))
+    side = lambda x, n, g, r: F.transform(ngrams(F.col(x), n), lambda w: F.struct(F.lit(n).alias("n"), F.xxhash64(w).alias("x"), F.lit(g).alias("g"), F.lit(r).alias("r")))
+    grams = F.concat(*[side(*of) for n in range(1, most + 1) for of in (("g", n, 1, 0), ("r", n, 0, 1))])
+    counts = rows.select("id", F.explode(grams).alias("w")).groupBy("id", "w.n", "w.x").agg(F.sum("w.g").alias("g"), F.sum("w.r").alias("r"))
+    df = counts.where("r > 0").groupBy("n", "x").agg(F.count("*").alias("df"))
+    # One row: how many pairs there are.
+    total = rows.agg(F.count("*").alias("total"))
+    weight = F.log(F.col("total") / F.coalesce("df", F.lit(1)))
+    both = counts.join(df, ["n", "x"], "left").crossJoin(F.broadcast(total)).select("id", "n", (F.col("g") * weight).alias("g"), (F.col("r") * weight).alias("r"))
+    size = F.sqrt(F.sum(F.col("g") * F.col("g")) * F.sum(F.col("r") * F.col("r")))
+    each = both.groupBy("id", "n").agg(F.when(size > 0, F.sum(F.col("g") * F.col("r")) / size).otherwise(0.0).alias("s"))
+    made = each.groupBy("id").agg((F.sum("s") * 10 / most).alias("cider"))
+    return rows.select("id").join(made, "id", "left").select("id", F.coalesce("cider", F.lit(0.0)).alias("cider"))
 
 
 def masked_group_loss(cells: DataFrame, labels: DataFrame, weights: list[float]) -> DataFrame:
@@ -307,3 +327,42 @@ def masked_group_loss(cells: DataFrame, labels: DataFrame, weights: list[float])
     pooled = cells.groupBy("vid", "grp", "c").agg((F.sum(F.col("v") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-6))).alias("v"))
     scored = pooled.groupBy("vid", "grp").agg(F.sum(F.col("v") * F.get(w, F.col("c"))).alias("y_pred"))
     return masked_loss(scored.join(labels, ["vid", "grp"]).select("y_pred", F.col("y").cast("double").alias("y_true")), kind="bce")
+
+
+def split_reconstruction(df: DataFrame, span: float, by: Sequence[str] = (), a: str = "a", b: str = "b", inside: str = "inside") -> DataFrame:
+    """MSE, PSNR and cells of the cells inside and outside of a mask, and the ratio of the PSNRs.
+
+    A side without cells has NaN, one without error an infinite PSNR; the ratio is NaN then.
+    """
+    d2 = (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    nan, inf = F.lit(float("nan")), float("inf")
+    sides = {"in": F.coalesce(F.col(inside).cast("boolean"), F.lit(False)), "out": ~F.coalesce(F.col(inside).cast("boolean"), F.lit(False))}
+    made = df.groupBy(*by).agg(
+        *[F.count_if(on).alias(f"cells_{k}") for k, on in sides.items()], *[F.coalesce(F.avg(F.when(on, d2)), nan).alias(f"mse_{k}") for k, on in sides.items()]
+    )
+    made = made.withColumns({f"psnr_{k}": F.when(F.isnan(f"mse_{k}"), nan).otherwise(S.psnr(F.col(f"mse_{k}"), span)) for k in sides})
+    told = [~F.isnan(f"psnr_{k}") & (F.col(f"psnr_{k}") != inf) for k in sides]
+    return made.withColumn("ratio_psnr", F.when(told[0] & told[1], F.try_divide(F.col("psnr_in"), F.col("psnr_out"))).otherwise(nan))
+
+
+def contrastive_loss(left: DataFrame, right: DataFrame, temperature: float = 0.07, batch: str = "batch", i: str = "i", key: str = "k", x: str = "x") -> DataFrame:
+    """(batch, loss): symmetric contrastive loss with several positives, of rows (batch, i, k, x).
+
+    Rows of both sides with one i, or one k, are positives. A batch has a fixed size, so that
+    its pairs are bounded.
+    """
+    a = left.select(F.col(batch).alias("batch"), F.col(i).alias("i"), F.col(key).alias("k"), S.unit(F.col(x)).alias("x"))
+    b = right.select(F.col(batch).alias("batch"), F.col(i).alias("j"), F.col(key).alias("l"), S.unit(F.col(x)).alias("y"))
+    logit = S.dot(F.col("x"), F.col("y")) / max(temperature, 1e-6)
+    pairs = a.join(b, "batch").select("batch", "i", "j", ((F.col("k") == F.col("l")) | (F.col("i") == F.col("j"))).alias("same"), logit.alias("z"))
+
+    def one_way(side: str) -> DataFrame:
+        top = F.max("z").over(Window.partitionBy("batch", side))
+        shifted = pairs.withColumn("m", top)
+        same = F.coalesce(F.col("same"), F.lit(False))
+        each = shifted.groupBy("batch", side).agg(
+            (F.log(F.sum(F.exp(F.col("z") - F.col("m")))) + F.max("m")).alias("all"), F.coalesce(F.avg(F.when(same, F.col("z"))), F.lit(0.0)).alias("own"), F.count_if(same).alias("n")
+        )
+        return each.groupBy("batch").agg(F.avg(F.when(F.col("n") > 0, F.col("all") - F.col("own")).otherwise(0.0)).alias("loss"))
+
+    return one_way("i").unionByName(one_way("j")).groupBy("batch").agg(F.avg("loss").alias("loss"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,17 +129,50 @@ def shard(rows: DataFrame, order: str, n: int, k: int) -> DataFrame:
     return numbered.where(F.pmod(F.col("row"), F.lit(n)) == k)
 
 
-def numbered_rows(rows: DataFrame, order: str, ranges: int = 0, row_col: str = "row", tie: str | None = None) -> DataFrame:
-    """rows with row: their place from 0 by a numeric column, whose ties a second one settles.
+def ranged(rows: DataFrame, order: str, ranges: int = 0, part_col: str = "_part") -> DataFrame:
+    """rows with the number of their range: about equal ranges of a numeric column, in its order.
 
-    As many ranges of the order as there are shuffle partitions are numbered side by side.
+    As many as there are shuffle partitions, so that no task has to order all rows.
     """
     ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    ranged = rows.withColumn("_part", part)
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order, *([tie] if tie else []))) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
+    if not edges:
+        return rows.withColumn(part_col, F.lit(0))
+    inf = float("inf")
+    split = Bucketizer(splits=[-inf, *edges, inf], inputCol="_order", outputCol=part_col)
+    made = split.transform(rows.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    return made.withColumn(part_col, F.col(part_col).cast("int"))
+
+
+def running(rows: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """rows with before_x and total_x for x in sums: over those of the key that come earlier, and all.
+
+    Order is one within the key. Ranges of it are summed side by side and offset by the
+    ranges before, so that a hot key, or none, is not one task's work.
+    """
+    parted = ranged(rows, order)
+    way = F.desc(order) if descending else F.asc(order)
+    inside = Window.partitionBy(*by, "_part").orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    each = parted.withColumns({f"_in_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
+    totals = parted.groupBy(*by, "_part").agg(*[F.sum(x).alias(x) for x in sums])
+    # A row for each key and range.
+    key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = key.orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, "_part"])],
+        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"_off_{x}") for x in sums], *[F.sum(x).over(key).alias(f"total_{x}") for x in sums],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*by, "_part"])]
+    joined = each.join(offsets, same)
+    made = joined.withColumns({f"before_{x}": F.col(f"_in_{x}") + F.col(f"_off_{x}") for x in sums})
+    return made.select(*rows.columns, *[f"before_{x}" for x in sums], *[f"total_{x}" for x in sums])
+
+
+def numbered_rows(rows: DataFrame, order: str, ranges: int = 0, row_col: str = "row", tie: str | None = None) -> DataFrame:
+    """rows with row: their place from 0 by a numeric column, whose ties a second one settles."""
+    parted = ranged(rows, order, ranges)
+    inside = parted.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order, *([tie] if tie else []))) - 1)
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row for each range.
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return inside.join(F.broadcast(before), "_part").withColumn(row_col, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from typing import Any
 
 from pydantic import BaseModel, ConfigDict, model_validator
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
 from tessera.operators import grid as G
+from tessera.operators import learned as L
+from tessera.operators import region as R
 from tessera.plans.registry import Registry
 
 COMPRESSORS = Registry("compressor")
@@ -49,6 +53,36 @@ def regroup(df: DataFrame, shape: G.Shape, budget: int = 16, fine: int = -1) ->
     return G.regrouped(df, shape, budget, fine)
 
 
+@COMPRESSORS.register("avgpack_places")
+def avgpack_places(
+    df: DataFrame, shape: G.Shape, channels: int = 1, r: int = 2, centroid_scale: float = 1.0, centroid_encoding: str = "raw", centroid_freqs: int = 4
+) -> DataFrame:
+    """Block averages with the blocks' positions as further channels."""
+    return R.block_tokens(df, shape, channels, r, True, centroid_scale, centroid_encoding, centroid_freqs)
+
+
+@COMPRESSORS.register("agglo_merge")
+def agglo_merge(
+    df: DataFrame, shape: G.Shape, budget: int, channels: int = 1, standardize: bool = False, centroid: bool = False, centroid_scale: float = 1.0,
+    centroid_encoding: str = "raw", centroid_freqs: int = 4, extent: bool = False, connectivity: int | None = 6, linkage: str = "ward",
+) -> DataFrame:
+    """Means of the regions that adjacent cells are merged into."""
+    labels = R.region_labels(R.volumes_of(df, shape), shape, [budget], standardize=standardize, linkage=linkage, connectivity=connectivity)
+    return R.region_tokens(df, labels, shape, channels, centroid, centroid_scale, centroid_encoding, centroid_freqs, extent)
+
+
+@COMPRESSORS.register("agglo_organ")
+def agglo_organ(
+    df: DataFrame, shape: G.Shape, budget: int, channels: int = 1, organ: DataFrame | None = None, lam: float = 0.5, centroid: bool = False,
+    centroid_scale: float = 1.0, centroid_encoding: str = "raw", centroid_freqs: int = 4, extent: bool = False,
+) -> DataFrame:
+    """The same, guided by the organs of cells: organ (vid, t, h, w, grp, v) in long form."""
+    guided = organ is not None and lam > 0
+    volumes = R.volumes_of(df, shape, organ if guided else None)
+    labels = R.region_labels(volumes, shape, [budget], organ="organ" if guided else None, lam=lam)
+    return R.region_tokens(df, labels, shape, channels, centroid, centroid_scale, centroid_encoding, centroid_freqs, extent)
+
+
 @IMPORTANCE.register("uniform")
 def uniform(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.lit(1.0))
@@ -68,14 +102,34 @@ def mean_readout(df: DataFrame) -> DataFrame:
     return df.groupBy("vid", "c").agg(F.avg("v").alias("v"))
 
 
+@READOUTS.register("attention")
+def attention_readout(df: DataFrame, weights: list[float], gate: tuple[list, list, list, list], mask: str | None = None) -> DataFrame:
+    """One gated head over cells (vid, pos, x)."""
+    return L.attention_pool(df, [weights], gate, mask).select("vid", "x")
+
+
+@READOUTS.register("attention_multi")
+def multi_attention_readout(df: DataFrame, weights: list[list[float]], gate: tuple[list, list, list, list], mask: str | None = None) -> DataFrame:
+    """Several gated heads, one after the other in x."""
+    heads = L.attention_pool(df, weights, gate, mask).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("head", "x"))).alias("h"))
+    return heads.select("vid", F.flatten(F.transform("h", lambda h: h["x"])).alias("x"))
+
+
 @dataclass(frozen=True)
 class Family:
-    """A set of targets that one read-out predicts."""
+    """A set of targets that one read-out predicts; log_columns are the targets that are taken by log(1 + scale x)."""
 
     name: str
     kind: str
     targets: tuple[str, ...]
     log_scale: float | None = None
+    readout: str = "attention_multi"
+    role: str = "primary"
+    log_columns: tuple[int, ...] = ()
+
+    @property
+    def metric(self) -> str:
+        return "auroc" if self.kind == "classify" else "r2"
 
 
 FAMILIES: dict[str, Family] = {}
@@ -87,8 +141,23 @@ def register_family(family: Family) -> None:
     FAMILIES[family.name] = family
 
 
-register_family(Family("disease", "classify", ("quality", "toxic")))
+# What the families predict. Targets are named by the label tables' columns.
+for _where in ("", "_abdomen"):
+    register_family(Family(f"disease{_where}", "classify", ("quality", "toxic") if not _where else (), readout="attention"))
 register_family(Family("size", "regress", ("n_chars",), log_scale=1.0))
+register_family(Family("size_abdomen", "regress", ("spleen", "kidney", "aorta")))
+register_family(Family("density", "regress", ("aorta_calc", "vert_median", "lung_mean", "lung_high"), 1000.0, log_columns=(0, 3)))
+register_family(Family("density_abdomen", "regress", ("vert", "muscle", "liver_spleen")))
+register_family(Family("location", "regress", (), role="aux"))
+register_family(Family("location_abdomen", "regress", ("kidney_z", "kidney_lr_asym", "bladder_z")))
+register_family(Family("radiomics", "regress", (), 1.0, log_columns=(0, 1)))
+
+
+def transformed(family: Family, labels: DataFrame) -> DataFrame:
+    """labels with the targets that the family takes by their logarithm; null stays null."""
+    taken = [family.targets[i] for i in family.log_columns if i < len(family.targets)]
+    return labels.withColumns({t: S.log_scaled(F.col(t), family.log_scale or 1.0) for t in taken if t in labels.columns})
+
 
 #: Budgets of an encoder that differ from those of the method.
 BUDGETS: dict[tuple[str, str | None], list[int]] = {("avgpack", None): [8], ("uniform_pool", None): [8, 27], ("uniform_pool", "wide"): [1, 4]}
@@ -98,6 +167,79 @@ def budgets_for(method: str, encoder: str) -> list[int]:
     return BUDGETS.get((method, encoder)) or BUDGETS.get((method, None)) or []
 
 
+def catalogue(spark: SparkSession, arms: dict[str, dict[str, Any]], sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """(arm, method, budget, folder, grid, dim, bundle_set) of the token sets that are stored.
+
+    arms: by name, its method ("merge", "grid" for block averages), budgets, channels and,
+    for merges, freqs of the position block and the organ weight. Regions have no lattice;
+    block averages have a cube.
+    """
+    rows = []
+    for name, arm in arms.items():
+        for budget in arm["budgets"]:
+            merged = arm["method"] == "merge"
+            dim = arm["channels"] + (6 * arm.get("freqs", 4) if merged else 0)
+            edge = round(budget ** (1 / 3))
+            if not merged and edge**3 != budget:
+                raise ValueError(f"{name}: {budget} is no cube")
+            tail = f"_lam{str(arm['lam']).replace('.', 'p')}" if merged and "lam" in arm else ""
+            rows.append((name, arm["method"], budget, f"{name}_b{budget}_d{dim}{tail}", [budget, 1, 1] if merged else [edge] * 3, dim))
+    made = spark.createDataFrame(rows, "arm string, method string, budget int, folder string, grid array<int>, dim int")
+    named = [(s, a) for s, members in (sets or {"all": list(arms)}).items() for a in members]
+    return made.join(spark.createDataFrame(named, "bundle_set string, arm string"), "arm", "left")
+
+
+#: Session settings: whether tokens are kept, where, and a list of the volumes that lack them.
+NO_CACHE, CACHE_ROOT, UNCACHED_LIST = "spark.tessera.noCache", "spark.tessera.cacheRoot", "spark.tessera.uncachedList"
+
+
+def cache_root(spark: SparkSession) -> str | None:
+    """The folder of kept tokens, which driver and executors share; none where they aren't kept."""
+    if spark.conf.get(NO_CACHE, "false").lower() in ("1", "true"):
+        return None
+    return (spark.conf.get(CACHE_ROOT, "") or "").rstrip("/") or None
+
+
+def kept_ids(spark: SparkSession, path: str, vid: str = "vid") -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).select(vid).distinct()
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def compress_shard(spark: SparkSession, experiment: Experiment, volumes: DataFrame, vid: str, array: str, shards: int = 1, shard: int = 0, split: str = "both") -> int:
+    """Adds the tokens of one shard's volumes that aren't kept yet; how many volumes those were.
+
+    A volume's shard is that of its id's hash, so that shards need no common numbering.
+    volumes may have a column split ("train" or "valid").
+    """
+    root = cache_root(spark)
+    if not root:
+        raise ValueError(f"{CACHE_ROOT} has to name a shared folder")
+    if not 0 <= shard < shards:
+        raise ValueError(f"shard {shard} of {shards}")
+    added = 0
+    for part in ("train", "valid") if split == "both" else (split,):
+        mine = volumes.where(F.pmod(F.xxhash64(F.col(vid).cast("string")), F.lit(shards)) == shard)
+        if "split" in volumes.columns:
+            mine = mine.where(F.col("split") == part)
+        elif part == "valid" and split == "both":
+            continue
+        if listed := spark.conf.get(UNCACHED_LIST, ""):
+            ids = spark.read.text(listed).select(F.trim("value").alias("_id")).where("_id <> ''")
+            mine = mine.join(ids, F.col(vid).cast("string") == F.col("_id"), "left_semi")
+        path = f"{root}/{experiment.exp_id}/{part}"
+        done = kept_ids(spark, path)
+        if done is not None:
+            mine = mine.join(done.withColumnRenamed("vid", "_done"), F.col(vid) == F.col("_done"), "left_anti")
+        if n := mine.select(vid).distinct().count():
+            experiment.plan(G.from_arrays(mine, vid, array, experiment.shape, experiment.channels)).write.mode("append").parquet(path)
+            added += n
+    return added
+
+
 class Strict(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
@@ -111,7 +253,7 @@ class Compression(Strict):
     def known(self) -> Compression:
         if self.method not in COMPRESSORS.entries:
             raise ValueError(f"unknown method {self.method}")
-        names = COMPRESSORS.parameters(self.method) - {"df", "shape"}
+        names = COMPRESSORS.parameters(self.method) - {"df", "shape", "channels", "organ"}
         if lost := set(self.params) - names:
             raise ValueError(f"{self.method} has no parameters {sorted(lost)}")
         if "budget" in names and self.budget is None:
@@ -133,8 +275,10 @@ class Experiment(Strict):
             raise ValueError(f"unknown families {sorted(lost)}")
         return self
 
-    def plan(self, grid: DataFrame) -> DataFrame:
+    def plan(self, grid: DataFrame, organ: DataFrame | None = None) -> DataFrame:
         params = dict(self.compression.params)
+        names = COMPRESSORS.parameters(self.compression.method)
+        params |= {k: v for k, v in (("channels", self.channels), ("organ", organ)) if k in names}
         if self.compression.budget is not None and "budget" in COMPRESSORS.parameters(self.compression.method):
             params["budget"] = self.compression.budget
         return COMPRESSORS.apply(self.compression.method, grid, shape=self.shape, **params)
@@ -176,18 +320,31 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("config")
     parser.add_argument("--grids", required=True, help="Parquet with vid and a flat array")
-    parser.add_argument("--out", required=True)
+    parser.add_argument("--out", help="where the tokens go, unless they are only kept")
     parser.add_argument("--policy", choices=("error", "skip", "overwrite"), default="error")
     parser.add_argument("--vid", default="vec_id")
     parser.add_argument("--array", default="embedding")
+    parser.add_argument("--organ", help="Parquet with vid, t, h, w, grp and v")
+    parser.add_argument("--compress-only", action="store_true", help=f"keep the tokens of a shard below {CACHE_ROOT}")
+    parser.add_argument("--num-shards", type=int, default=1)
+    parser.add_argument("--shard-id", type=int, default=0)
+    parser.add_argument("--split", choices=("train", "valid", "both"), default="both")
     told = parser.parse_args(argv)
+    if not told.compress_only and not told.out:
+        parser.error("--out is needed")
     with open(told.config, encoding="utf-8") as file:
         experiment = Experiment.model_validate(yaml.safe_load(file))
     from tessera.sources.writers import write
 
     spark = SparkSession.builder.getOrCreate()
-    grid = G.from_arrays(spark.read.parquet(told.grids), told.vid, told.array, experiment.shape, experiment.channels)
-    write(experiment.plan(grid), told.out, told.policy)
+    volumes = spark.read.parquet(told.grids)
+    if told.compress_only:
+        compress_shard(spark, experiment, volumes, told.vid, told.array, told.num_shards, told.shard_id, told.split)
+        return 0
+    if "split" in volumes.columns and told.split != "both":
+        volumes = volumes.where(F.col("split") == told.split)
+    grid = G.from_arrays(volumes, told.vid, told.array, experiment.shape, experiment.channels)
+    write(experiment.plan(grid, spark.read.parquet(told.organ) if told.organ else None), told.out, told.policy)
     return 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import grid as G
+from tessera.operators import learned as L
 from tessera.operators import region as R
 from tessera.plans.registry import query, table
 
@@ -177,7 +178,8 @@ def a26_group_bitmask(spark, sf_dir):
     return G.group_bits(fractions, F.broadcast(bits), 0.25)
 
 
-@query(f"""WITH {GRID} SELECT g.vid, g.pos AS a, n.pos AS b FROM g JOIN g n ON g.vid = n.vid AND abs(g.t - n.t) + abs(g.h - n.h) + abs(g.w - n.w) = 1""")
+@query(f"""WITH {GRID}, d AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS d(dt, dh, dw)),
+m AS (SELECT vid, pos, t + dt AS t, h + dh AS h, w + dw AS w FROM g, d) SELECT m.vid, m.pos AS a, g.pos AS b FROM m JOIN g USING (vid, t, h, w)""")
 def j17_neighbours(spark, sf_dir):
     return G.neighbours(grid(spark, sf_dir), SHAPE)
 
@@ -223,7 +225,7 @@ def t4_strided(spark, sf_dir):
     return cells.where(F.col("pos").isin(*G.strided_places(64, 10)))
 
 
-@query()
+@query(f"""WITH {GRID} SELECT vid, pos, v FROM g QUALIFY row_number() OVER (PARTITION BY vid ORDER BY md5(vid || ':' || pos || ':2026'), pos) <= 8""")
 def t5_hashed_sample(spark, sf_dir):
     cells = grid(spark, sf_dir).select("vid", G.position(SHAPE).alias("pos"), "v")
     return G.hashed_sample(cells, 8, 2026)
@@ -283,6 +285,46 @@ def r4_block_centroid(spark, sf_dir):
     return rounded(means.join(R.region_places(labels, SHAPE).select("vid", "region", "t_mean"), ["vid", "region"]), "v", "t_mean")
 
 
+@query(f"""WITH {GRID}, a AS (SELECT unnest(range(6)) AS x),
+m AS (SELECT vid, (i.x // 3 * 4 + j.x // 3 * 2 + k.x // 3)::INT AS region, avg(v) AS v FROM g, a i, a j, a k WHERE g.t = least(i.x, 3) AND g.h = least(j.x, 3) AND g.w = least(k.x, 3) GROUP BY ALL),
+s AS (SELECT vid, (stddev_pop(v) + 1e-6) * 0.5 / (0.25 + 1e-6) AS s FROM g GROUP BY vid), d AS (SELECT unnest([4, 2, 1]) AS bit, unnest([1, 2, 3]) AS c)
+SELECT vid, region, 0 AS c, round(v, 6) AS v FROM m UNION ALL SELECT vid, region, c::INT, round((1 + 3 * (region // bit % 2)) / 6 * s, 6) FROM m JOIN s USING (vid), d""")
+def r4_block_tokens(spark, sf_dir):
+    """Blocks of 3^3 of a grid that is padded for them, with raw centroids in parts of the padded sizes."""
+    return rounded(R.block_tokens(grid(spark, sf_dir), SHAPE, 1, 3, centroid=True, scale=0.5).select("vid", "region", "c", "v"))
+
+
+_UNEVEN = "CASE WHEN t + h + w = 0 THEN 0 WHEN t < 2 AND h < 3 AND w < 2 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH {GRID}, l AS (SELECT *, {_UNEVEN} AS region FROM g), s AS (SELECT vid, (stddev_pop(v) + 1e-6) * 2 AS s FROM g GROUP BY vid),
+p AS (SELECT vid, region, avg(v) AS m, avg(t / 4) AS a, avg(h / 4) AS b, avg(w / 4) AS c, sqrt(greatest(avg(t / 4 * t / 4) - avg(t / 4) ** 2, 0)) AS d, sqrt(greatest(avg(h / 4 * h / 4) - avg(h / 4) ** 2, 0)) AS e, sqrt(greatest(avg(w / 4 * w / 4) - avg(w / 4) ** 2, 0)) AS f FROM l GROUP BY ALL),
+q AS (SELECT vid, region, unnest([1, 2, 3, 4, 5, 6]) AS c, unnest([a, b, c, d, e, f]) AS x FROM p), n AS (SELECT vid, region, c, x / greatest(stddev_pop(x) OVER (PARTITION BY vid, c) + 1e-6, CASE WHEN c < 4 THEN 0.1 ELSE 0 END) AS x FROM q)
+SELECT vid, region, 0 AS c, round(m, 5) AS v FROM p UNION ALL SELECT vid, region, c::INT, round(x * s, 5) FROM n JOIN s USING (vid)""")
+def r1_tokens_with_places(spark, sf_dir):
+    """Means of regions with raw centroids and extents as further channels."""
+    df = grid(spark, sf_dir)
+    labels = df.select("vid", G.position(SHAPE).alias("pos"), F.expr(_UNEVEN).alias("region"), F.lit(3).alias("budget")).distinct()
+    made = R.region_tokens(df, labels, SHAPE, 1, centroid=True, scale=2.0, extent=True)
+    return made.select("vid", "region", F.col("c").cast("int").alias("c"), F.round("v", 5).alias("v"))
+
+
+@query(f"""WITH {GRID}, k AS (SELECT * FROM (VALUES (0, 0, 1.0), (1, 1, 0.5), (1, 2, 0.5), (2, 3, 1.0)) AS k(i, x, q))
+SELECT vid, kt.i AS t, kh.i AS h, kw.i AS w, c, round(sum(v * kt.q * kh.q * kw.q), 6) AS v FROM g JOIN k kt ON g.t = kt.x JOIN k kh ON g.h = kh.x JOIN k kw ON g.w = kw.x GROUP BY ALL""")
+def g9_linear_zoom(spark, sf_dir):
+    return rounded(G.linear_zoom(grid(spark, sf_dir), SHAPE, (3, 3, 3)))
+
+
+@query(f"""WITH {GRID}, m AS (SELECT vid, t, h, w, 0.7 * abs(v) + 0.3 AS v FROM g), k AS (SELECT unnest(range(8)) AS i), e AS (SELECT i, greatest(0, (i + 0.5) / 2 - 0.5) AS y FROM k),
+q AS (SELECT i, floor(y)::INT AS x, 1 - (y - floor(y)) AS q FROM e UNION ALL SELECT i, least(floor(y)::INT + 1, 3), y - floor(y) FROM e),
+u AS (SELECT vid, a.i AS t, b.i AS h, c.i AS w, sum(v * a.q * b.q * c.q) AS v FROM m JOIN q a ON m.t = a.x JOIN q b ON m.h = b.x JOIN q c ON m.w = c.x GROUP BY ALL)
+SELECT vid, (t - 4)::INT AS t, h::INT AS h, w::INT AS w, round(v / avg(v) OVER (PARTITION BY vid), 6) AS v FROM u WHERE t BETWEEN 4 AND 6""")
+def g18_voxel_weights(spark, sf_dir):
+    """Mixed, upsampled to 8 x 8 x 8, three layers by the step, and scaled to a mean of 1."""
+    made = G.voxel_weights(grid(spark, sf_dir).withColumn("v", F.abs("v")), SHAPE, (8, 8, 8), 0.3, 2, 3)
+    return rounded(made.select("vid", F.col("t").cast("int").alias("t"), "h", "w", "v"))
+
+
 def _volumes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     organ = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array((i < 32).cast("double"), (i >= 48).cast("double")))
@@ -302,8 +344,8 @@ def r2_organ_merge(spark, sf_dir):
 
 @query()
 def r3_multi_budget(spark, sf_dir):
-    labels = R.region_labels(_volumes(spark, sf_dir), SHAPE, [27, 8, 4])
-    return labels.groupBy("vid", "budget").agg(F.countDistinct("region").alias("regions"))
+    """One tree for three budgets: the labels of each."""
+    return R.region_labels(_volumes(spark, sf_dir), SHAPE, [27, 8, 4])
 
 
 @query()
@@ -322,10 +364,40 @@ k AS (SELECT vid, pos, exp(z) / sum(exp(z)) OVER (PARTITION BY vid) AS k FROM a)
 SELECT vid, c, round(sum(v * k), 6) AS v FROM g JOIN k USING (vid, pos) GROUP BY ALL""")
 def m2_attention_pool(spark, sf_dir):
     """Softmax of a given linear score of each cell, as weights of a mean."""
-    df = wide(spark, sf_dir).withColumn("pos", G.position(WIDE))
-    z = df.groupBy("vid", "pos").agg(F.exp(F.sum(F.col("v") * (F.col("c") + 1) / 8)).alias("z"))
-    k = z.join(z.groupBy("vid").agg(F.sum("z").alias("s")), "vid").select("vid", "pos", (F.col("z") / F.col("s")).alias("k"))
-    return rounded(df.join(k, ["vid", "pos"]).groupBy("vid", "c").agg(F.sum(F.col("v") * F.col("k")).alias("v")))
+    made = L.attention_pool(_cells(spark, sf_dir), [[(c + 1) / 8 for c in range(8)]])
+    return rounded(made.select("vid", F.posexplode("x").alias("c", "v")))
+
+
+def _cells(spark, sf_dir):
+    """(vid, pos, x): 8 cells of 8 channels."""
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.transform("embedding", lambda v: v.cast("double")), i * 8 + 1, 8))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), F.posexplode(chunks).alias("pos", "x"))
+
+
+@query(f"""WITH {WIDE_GRID}, a AS (SELECT vid, pos, sum(v * (c + 1) / 8) + 0.1 AS p, sum(v * (c % 2)) - 0.2 AS q, sum(v * (c % 3)) + 0.3 AS r, sum(v * (7 - c) / 4) AS s FROM g WHERE pos < 6 GROUP BY ALL),
+u AS (SELECT vid, pos, tanh(p) / (1 + exp(-r)) AS a, tanh(q) / (1 + exp(-s)) AS b FROM a), z AS (SELECT vid, pos, 0 AS head, 2 * a - b AS z FROM u UNION ALL SELECT vid, pos, 1, 900 * a + 3 * b FROM u),
+k AS (SELECT vid, pos, head, exp(z - max(z) OVER (PARTITION BY vid, head)) AS k FROM z)
+SELECT vid, head, c, round(sum(v * k) / sum(k), 6) AS v FROM g JOIN k USING (vid, pos) GROUP BY ALL""")
+def m2_gated_attention(spark, sf_dir):
+    """Two gated heads over the first six cells; one head's scores run into the hundreds."""
+    channel = range(8)
+    gate = ([[(c + 1) / 8 for c in channel], [c % 2 for c in channel]], [0.1, -0.2], [[c % 3 for c in channel], [(7 - c) / 4 for c in channel]], [0.3, 0.0])
+    made = L.attention_pool(_cells(spark, sf_dir).withColumn("real", F.col("pos") < 6), [[2.0, -1.0], [900.0, 3.0]], gate, mask="real")
+    return rounded(made.select("vid", "head", F.posexplode("x").alias("c", "v")))
+
+
+@query(f"""WITH {GRID}, m AS (SELECT vid, t < 2 AS inside, v, avg(v) OVER (PARTITION BY vid, t // 2, h // 2, w // 2) AS b FROM g),
+s AS (SELECT vid, count_if(inside)::BIGINT AS cells_in, count_if(NOT inside)::BIGINT AS cells_out, avg((v - b) ** 2) FILTER (inside) AS i, avg((v - b) ** 2) FILTER (NOT inside) AS o FROM m GROUP BY vid)
+SELECT vid, cells_in, cells_out, round(i, 8) AS mse_in, round(o, 8) AS mse_out, round(log10(4 / i) / log10(4 / o), 5) AS ratio_psnr FROM s""")
+def a33_split_reconstruction(spark, sf_dir):
+    """Error of blocks replaced by their means, in the upper half of a grid and in the lower."""
+    from tessera.operators import metrics as M
+
+    cells = grid(spark, sf_dir).select("*", *[F.expr(f"{a} div 2").alias(f"b{a}") for a in "thw"])
+    mean = cells.groupBy("vid", "bt", "bh", "bw").agg(F.avg("v").alias("b"))
+    rows = cells.withColumnRenamed("v", "a").join(mean, ["vid", "bt", "bh", "bw"]).withColumn("inside", F.col("t") < 2)
+    made = M.split_reconstruction(rows, 2.0, ["vid"])
+    return made.select("vid", "cells_in", "cells_out", F.round("mse_in", 8).alias("mse_in"), F.round("mse_out", 8).alias("mse_out"), F.round("ratio_psnr", 5).alias("ratio_psnr"))
 
 
 @query(f"""WITH {GRID} SELECT vid, round(sum(v * greatest(v, 0)) / greatest(sum(greatest(v, 0)), 1e-6), 6) AS v FROM g GROUP BY vid""")
@@ -363,10 +435,10 @@ def f24_f26_norm_and_projection(spark, sf_dir):
 @query(f"""WITH {GRID}, s AS (SELECT vid, pos, avg(v) OVER (PARTITION BY pos) AS m, stddev_pop(v) OVER (PARTITION BY pos) + 1e-6 AS s, v FROM g)
 SELECT vid, pos, round((v - m) / s, 6) AS z FROM s""")
 def p10_standardise(spark, sf_dir):
-    """By the figures of each place, joined back as a table of 64 rows."""
+    """By the figures of each place, joined back."""
     cells = grid(spark, sf_dir).select("vid", G.position(SHAPE).alias("pos"), "v")
     stats = cells.groupBy("pos").agg(F.avg("v").alias("m"), (F.stddev_pop("v") + 1e-6).alias("s"))
-    return rounded(cells.join(F.broadcast(stats), "pos").select("vid", "pos", ((F.col("v") - F.col("m")) / F.col("s")).alias("z")), "z")
+    return rounded(cells.join(stats, "pos").select("vid", "pos", ((F.col("v") - F.col("m")) / F.col("s")).alias("z")), "z")
 
 
 @query(f"""WITH {GRID} SELECT vid, count(*) AS cells, round(avg((v - m) ** 2), 8) AS mse, round(10 * log10(4 / avg((v - m) ** 2)), 5) AS psnr

@@ -341,18 +341,49 @@ def m9_bleu(spark, sf_dir):
     return rounded(M.bleu(pairs), "bleu")
 
 
-@query()
-def m9_rouge_l(spark, sf_dir):
+def neighbours(spark, sf_dir):
+    """Each benchmark item against the next one."""
     b = table(spark, sf_dir, "benchmark")
-    pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("generated")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
-    return M.rouge_l(pairs)
+    return b.select(F.col("item_id").alias("id"), F.col("text").alias("generated")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
+
+
+_NEXT = """p AS (SELECT a.item_id AS id, list_filter(regexp_split_to_array(lower(a.text), '\\s+'), lambda w: w <> '') AS g, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: w <> '') AS r
+  FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"""
+
+
+@query(f"""WITH {_NEXT}, d AS (SELECT id, g, r, list_reduce(g, lambda row, w: list_transform(range(1, len(r) + 1), lambda j:
+  list_max(list_transform(range(1, j + 1), lambda k: greatest(row_at(row, k), CASE WHEN r[k] = w THEN row_at(row, k - 1) + 1 ELSE 0 END)))), list_transform(r, lambda x: 0)) AS t FROM p),
+s AS (SELECT id, t[-1] / len(g) AS p, t[-1] / len(r) AS q FROM d)
+SELECT id, round(CASE WHEN p > 0 THEN 2.44 * p * q / (q + 1.44 * p) ELSE 0 END, 6) AS rouge_l FROM s""".replace("row_at(row, k - 1)", "coalesce(row[k - 1], 0)").replace("row_at(row, k)", "row[k]"))
+def m9_rouge_l(spark, sf_dir):
+    return rounded(M.rouge_l(neighbours(spark, sf_dir)), "rouge_l")
 
 
 @query()
-def m9_meteor_cider(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("generated")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("reference")), "id")
-    return rounded(M.meteor(pairs).join(M.cider(pairs), "id"), "meteor", "cider")
+def m9_meteor(spark, sf_dir):
+    return rounded(M.meteor(neighbours(spark, sf_dir)), "meteor")
+
+
+@query(f"""WITH {_NEXT}, n AS (SELECT unnest([1, 2, 3, 4]) AS n),
+g AS (SELECT id, n, x, count(*) AS g FROM (SELECT id, n, unnest(list_transform(range(1, len(g) - n + 2), lambda i: array_to_string(g[i:i + n - 1], ' '))) AS x FROM p, n) GROUP BY ALL),
+r AS (SELECT id, n, x, count(*) AS r FROM (SELECT id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS x FROM p, n) GROUP BY ALL),
+f AS (SELECT n, x, count(*) AS df FROM r GROUP BY ALL), b AS (SELECT coalesce(g.id, r.id) AS id, coalesce(g.n, r.n) AS n, coalesce(g.x, r.x) AS x, coalesce(g, 0) AS g, coalesce(r, 0) AS r FROM g FULL JOIN r ON g.id = r.id AND g.n = r.n AND g.x = r.x),
+w AS (SELECT id, n, g * ln((SELECT count(*) FROM p) / coalesce(df, 1)) AS g, r * ln((SELECT count(*) FROM p) / coalesce(df, 1)) AS r FROM b LEFT JOIN f USING (n, x)),
+s AS (SELECT id, n, CASE WHEN sum(g * g) * sum(r * r) > 0 THEN sum(g * r) / sqrt(sum(g * g) * sum(r * r)) ELSE 0 END AS s FROM w GROUP BY ALL)
+SELECT p.id, round(coalesce(sum(s) * 10 / 4, 0), 6) AS cider FROM p LEFT JOIN s USING (id) GROUP BY p.id""")
+def m9_cider(spark, sf_dir):
+    return rounded(M.cider(neighbours(spark, sf_dir)), "cider")
+
+
+@query("""WITH e AS (SELECT vec_id // 32 AS batch, vec_id AS i, label AS k, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_transform(list_reverse(embedding), lambda x: x::DOUBLE) AS y FROM embeddings),
+p AS (SELECT a.batch, a.i, b.i AS j, a.k = b.k AS same, list_dot_product(a.x, b.y) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.y, b.y)) / 0.07 AS z FROM e a JOIN e b ON a.batch = b.batch),
+v AS (SELECT batch, i, ln(sum(exp(z))) - avg(z) FILTER (same) AS l FROM p GROUP BY ALL), t AS (SELECT batch, j, ln(sum(exp(z))) - avg(z) FILTER (same) AS l FROM p GROUP BY ALL)
+SELECT batch, round((a + b) / 2, 5) AS loss FROM (SELECT batch, avg(l) AS a FROM v GROUP BY batch) JOIN (SELECT batch, avg(l) AS b FROM t GROUP BY batch) USING (batch)""")
+def m6_symmetric_loss(spark, sf_dir):
+    """Volumes against texts (their reversed vectors), both ways, in batches of 32."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 32").alias("batch"), F.col("vec_id").alias("i"), F.col("label").alias("k"), F.col("embedding").alias("x"))
+    made = M.contrastive_loss(e, e.withColumn("x", F.reverse("x")))
+    return made.select("batch", F.round("loss", 5).alias("loss"))
 
 
 @query("""WITH g AS (SELECT vec_id AS vid, (i // 32)::INT AS grp, greatest(embedding[i + 1], 0)::DOUBLE AS mask, embedding[i + 1]::DOUBLE AS v, label FROM embeddings, (SELECT unnest(range(64)) AS i)),

@@ -84,10 +84,15 @@ def p18_spacing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(S.first_number(text), 6).alias("spacing"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 18 * p_size * p_size * p_size ELSE least(64, 18 * p_size) END::BIGINT AS dim FROM part")
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 + 1 AS r, CASE WHEN p_size % 3 = 0 THEN p_size END AS budget, CASE WHEN p_size > 25 THEN 'pack' WHEN p_size > 10 THEN 'crop' ELSE 'mean' END AS method FROM part),
+t AS (SELECT * FROM (VALUES (1, 64), (2, 8), (3, 8), (4, 1)) AS t(r, n))
+SELECT p_partkey, coalesce(budget, n)::BIGINT AS tokens, CASE method WHEN 'pack' THEN 18 * r * r * r WHEN 'crop' THEN least(64, 18 * r * r * r) ELSE 18 END::BIGINT AS dim FROM p JOIN t USING (r)""")
 def p19_token_size(spark, sf_dir):
-    size = F.col("p_size").cast("long")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(size > 25, 18 * size * size * size).otherwise(F.least(F.lit(64).cast("long"), 18 * size)).alias("dim"))
+    """Tokens by the budget or else by the factor; channels by the method."""
+    size = F.col("p_size")
+    method = F.when(size > 25, "pack").when(size > 10, "crop").otherwise("mean")
+    tokens, dim = S.token_size(F.when(size % 3 == 0, size), (size % 4 + 1).cast("int"), method, (4, 4, 4), 18, 64, [1, 2, 3, 4])
+    return table(spark, sf_dir, "part").select("p_partkey", tokens.alias("tokens"), dim.alias("dim"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source <> 'src0'")
@@ -438,9 +443,9 @@ def f18_summary_values(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *S.summary_values(F.expr(_BLOB), names))
 
 
-@query("SELECT p_partkey, 'orca' AS method, (p_size * 4)::INT AS budget, p_size / 10 AS lam FROM part")
+@query("SELECT p_partkey, 'merge' AS method, (p_size * 4)::INT AS budget, p_size / 10 AS lam FROM part")
 def f19_exp_ids(spark, sf_dir):
-    exp = F.concat(F.lit("exp_1_orca_colipri_b"), F.col("p_size") * 4, F.lit("_lam"), (F.col("p_size") / 10).cast("string"))
+    exp = F.concat(F.lit("exp_1_merge_wide_b"), F.col("p_size") * 4, F.lit("_lam"), (F.col("p_size") / 10).cast("string"))
     x = table(spark, sf_dir, "part").select("p_partkey", exp.alias("e"))
     got = lambda p: F.regexp_extract("e", p, 1)
     return x.select("p_partkey", got(r"^exp_\d+_([a-z]+)_").alias("method"), got(r"_b(\d+)").cast("int").alias("budget"), got(r"_lam([\d.]+)").cast("double").alias("lam"))

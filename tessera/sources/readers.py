@@ -6,6 +6,7 @@ reach the files. Array files are decoded by Arrow-batched functions, a file at a
 
 from __future__ import annotations
 
+import gzip
 import io
 from collections.abc import Sequence
 
@@ -39,6 +40,42 @@ def npy_grids(spark: SparkSession, folder: str, transpose: Sequence[int] | None
     return named.mapInPandas(run, "vid string, shape array<int>, features array<float>")
 
 
+# NIfTI-1 data types by their code.
+NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+
+
+def nifti_array(content: bytes) -> np.ndarray:
+    """The array of a single-file NIfTI-1 image, gzipped or not, as float32 by its own slope and intercept."""
+    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    order = "<" if int.from_bytes(data[:4], "little") == 348 else ">"
+    field = lambda kind, at, n=1: np.frombuffer(data, order + kind, n, at)
+    if int(field("i4", 0)[0]) != 348 or data[344:347] not in (b"n+1", b"ni1"):
+        raise ValueError("not a NIfTI-1 image")
+    dims = field("i2", 40, 8).tolist()
+    shape = [max(1, n) for n in dims[1 : 1 + dims[0]]]
+    code = int(field("i2", 70)[0])
+    if code not in NIFTI_TYPES:
+        raise ValueError(f"NIfTI data type {code} isn't read")
+    start, slope, shift = (float(field("f4", at)[0]) for at in (108, 112, 116))
+    made = field(NIFTI_TYPES[code], int(start) or 352, int(np.prod(shape))).astype(np.float32)
+    if slope and np.isfinite(slope) and (slope != 1 or shift):
+        made = made * np.float32(slope) + np.float32(shift)
+    return made.reshape(shape, order="F")
+
+
+def nifti_grids(spark: SparkSession, folder: str) -> DataFrame:
+    """(vid, shape, features) of the .nii and .nii.gz images of a folder, row-major."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{nii,nii.gz}").load(folder)
+
+    def run(frames):
+        for frame in frames:
+            for vid, content in zip(frame["vid"], frame["content"]):
+                grid = nifti_array(bytes(content))
+                yield pd.DataFrame({"vid": [vid], "shape": [list(grid.shape)], "features": [grid.ravel()]})
+
+    return files.select(S.volume_id(F.col("path")).alias("vid"), "content").mapInPandas(run, "vid string, shape array<int>, features array<float>")
+
+
 def codebook_grids(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     """(vid, pos, code) with the codebook's (code, entry)."""
     return codes.join(codebook, "code")

@@ -126,3 +126,20 @@ def test_reports(spark, tmp_path):
     buffer = io.BytesIO()
     np.save(buffer, np.zeros(1))
     assert buffer.tell()
+
+
+@pytest.mark.parametrize("order,packed", [("<", True), (">", False)])
+def test_nifti(spark, tmp_path, order, packed):
+    import gzip
+
+    x = np.arange(24, dtype=np.int16).reshape(2, 3, 4)
+    head = bytearray(352)
+    put = lambda at, kind, *v: head.__setitem__(slice(at, at + np.dtype(kind).itemsize * len(v)), np.array(v, order + kind).tobytes())
+    put(0, "i4", 348), put(40, "i2", 3, 2, 3, 4, 1, 1, 1, 1), put(70, "i2", 4), put(108, "f4", 352), put(112, "f4", 2), put(116, "f4", -1000)
+    head[344:348] = b"n+1\0"
+    raw = bytes(head) + x.astype(order + "i2").tobytes(order="F")
+    (tmp_path / ("img_train_1_a_1.nii" + ".gz" * packed)).write_bytes(gzip.compress(raw) if packed else raw)
+    got = R.nifti_grids(spark, str(tmp_path)).collect()
+    assert [(r["vid"], r["shape"]) for r in got] == [("train_1_a_1", [2, 3, 4])] and got[0]["features"] == (x * 2.0 - 1000).ravel().tolist()
+    with pytest.raises(ValueError):
+        R.nifti_array(b"\0" * 400)
