@@ -35,7 +35,8 @@ def auroc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: st
 
     Rows are summed to distinct scores, which are ranked by ranges of the score.
     """
-    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["n"])
+    rows = usable(df, label, score)
+    each = running(distinct_scores(rows, by, label, score), by, score, ["n"], spread=rows)
     ranked = each.withColumn("r", F.col("before_n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     area = (F.sum(F.col("r") * F.col("pos")) - p * (p + 1) / 2) / (p * (n - p))
@@ -44,14 +45,16 @@ def auroc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: st
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Sum of precision times gained recall over distinct thresholds."""
-    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["pos", "n"], descending=True)
+    rows = usable(df, label, score)
+    each = running(distinct_scores(rows, by, label, score), by, score, ["pos", "n"], descending=True, spread=rows)
     curve = each.withColumn("precision", (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n")))
     return curve.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(F.col("precision") * F.col("pos")) / F.sum("pos")).alias("ap"))
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """False and true positive rates by descending threshold."""
-    each = running(distinct_scores(usable(df, label, score), by, label, score), by, score, ["pos", "n"], descending=True)
+    rows = usable(df, label, score)
+    each = running(distinct_scores(rows, by, label, score), by, score, ["pos", "n"], descending=True, spread=rows)
     tp, total = F.col("before_pos") + F.col("pos"), F.col("total_pos")
     fp, rest = F.col("before_n") + F.col("n") - tp, F.col("total_n") - total
     return each.select(*by, F.col(score).alias("threshold"), F.try_divide(fp, rest).alias("fpr"), F.try_divide(tp, total).alias("tpr"))
@@ -170,7 +173,7 @@ def upper_median(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """The element at n div 2 of the sorted column."""
     each = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
     at = F.floor(F.col("total_n") / 2)
-    placed = running(each, by, x, ["n"]).where((F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n")))
+    placed = running(each, by, x, ["n"], spread=df).where((F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n")))
     return placed.select(*by, F.col(x).alias("upper_median"))
 
 

@@ -129,13 +129,13 @@ def shard(rows: DataFrame, order: str, n: int, k: int) -> DataFrame:
     return numbered.where(F.pmod(F.col("row"), F.lit(n)) == k)
 
 
-def ranged(rows: DataFrame, order: str, ranges: int = 0, part_col: str = "_part") -> DataFrame:
+def ranged(rows: DataFrame, order: str, ranges: int = 0, part_col: str = "_part", spread: DataFrame | None = None) -> DataFrame:
     """rows with the number of their range: about equal ranges of a numeric column, in its order.
 
     As many as there are shuffle partitions, so that no task has to order all rows.
     """
     ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
+    edges = sorted(set((rows if spread is None else spread).approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
     if not edges:
         return rows.withColumn(part_col, F.lit(0))
     inf = float("inf")
@@ -144,7 +144,7 @@ def ranged(rows: DataFrame, order: str, ranges: int = 0, part_col: str = "_part"
     return made.withColumn(part_col, F.col(part_col).cast("int"))
 
 
-def running(rows: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+def running(rows: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False, spread: DataFrame | None = None) -> DataFrame:
     """rows with before_x and total_x for x in sums: over those of the key that come earlier, and all.
 
     Order is one within the key. Ranges of it are summed side by side and offset by the
