@@ -12,15 +12,16 @@ RADIUS = 1 - threshold of each other.
    point reaches over so many of its rarest pivots, and it is replicated to their regions.
    Two points that link share a region.
 3. A region of at most SMALL points is joined as a whole. In a larger one a point becomes
-   pivot. The points within RADIUS of it are linked with it, and hence with each other.
-   By the triangle inequality, a point at distance d can link only with points whose
-   distance is within RADIUS of d; so the region of the points further out gets, of those
-   inside, the ones at the boundary, and is joined in the same way, ROUNDS times; points
-   that links have brought together by then aren't compared. What
-   remains is dealt out by distance in shells of RADIUS, each joined with itself and the
-   next one in blocks of BLOCK points, by the differences from the pivot's set.
-4. Candidates are dropped by their sizes and by the shingles that nobody shares, and then
-   compared by their whole sets. Links are collapsed to components.
+   pivot. The points within RADIUS of it are linked with it, and hence with each other: the
+   region's main component. By the triangle inequality, a point at distance d can link only
+   with points whose distance is within RADIUS of d; so the region goes on with the points
+   of other components and those that are within RADIUS of one by their distances, with a
+   pivot that the main component doesn't have, ROUNDS times. Points that links have brought
+   together by then aren't compared. What remains is dealt out by distance in shells of
+   RADIUS; the points of other components meet all points of their shell and the next one,
+   in blocks of BLOCK, by the differences from the pivot's set.
+4. Candidates are dropped by their sizes, by the shingles that nobody shares and by the
+   number of shingles that each has from the pivot on, and then compared by their whole sets. Links are collapsed to components.
 
 Links within a region that its pivot implies aren't listed, but no link between
 different texts is lost to the components.
@@ -165,21 +166,34 @@ def unresolved(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def regions_of(sets: DataFrame, percent: int) -> DataFrame:
-    """pivot (a shingle), point, n and own (shingles that no other point has) of all regions."""
+    """pivot (a shingle), point, n, own (shingles that no other point has) and rest of all regions.
+
+    rest is the number of the point's shingles from the pivot on, the rarest first.
+    """
     each = sets.select("point", "n", F.explode("shingles").alias("pivot"))
     # Written, so that in the join below a shingle of very many points can be split.
     held = staged(each.groupBy("pivot").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     shared = each.join(held, "pivot").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "pivot"))).alias("shared"))
     window = shared.withColumn("own", F.col("n") - F.size("shared")).withColumn("reach", (_spared(F.col("n"), percent) - F.col("own")).cast("int"))
-    near = window.where("reach > 0").select("point", "n", "own", F.explode(F.slice("shared", 1, F.col("reach"))).alias("s"))
-    return near.select(F.col("s.pivot").alias("pivot"), "point", "n", "own")
+    near = window.where("reach > 0").select("point", "n", "own", F.posexplode(F.slice("shared", 1, F.col("reach"))).alias("k", "s"))
+    return near.select(F.col("s.pivot").alias("pivot"), "point", "n", "own", (F.col("n") - F.col("own") - F.col("k")).alias("rest"))
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes and shingles of their own let two points be in RADIUS."""
+    """Whether sizes, shingles of their own and those from the pivot on let two points be in RADIUS.
+
+    In the region of the rarest shingle that two points share, they share none before it.
+    """
     least, most = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    apart = (100 + percent) * (a["own"] + b["own"]) <= (100 - percent) * (a["n"] + b["n"])
-    return (100 * least >= percent * most) & apart
+    both = a["n"] + b["n"]
+    apart = (100 + percent) * (a["own"] + b["own"]) <= (100 - percent) * both
+    return (100 * least >= percent * most) & apart & ((100 + percent) * F.least(a["rest"], b["rest"]) >= percent * both)
+
+
+def _has_partner(percent: int, smallest: str) -> Column:
+    """Whether the shingles from the pivot on are enough for a partner of a size that the region has."""
+    least = F.greatest(F.col(smallest), F.expr(f"({percent} * n + 99) div 100"))
+    return (100 + percent) * F.col("rest") >= percent * (F.col("n") + least)
 
 
 def _pairs(members: Column, percent: int) -> Column:
@@ -193,7 +207,7 @@ def _pairs(members: Column, percent: int) -> Column:
 
 
 def _members() -> Column:
-    return F.struct("point", "n", "own", "root")
+    return F.struct("point", "n", "own", "rest", "root")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,11 +234,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links whose components are those of all links."""
     # Distances are compared with a little room, so that rounding drops no candidate.
     radius = 1 - percent / 100 + 1e-9
-    rest = staged(regions_of(sets, percent).withColumn("root", F.col("point")).withColumn("at", F.lit(0.0)).withColumn("centre", F.lit(None).cast("binary")), "regions")
+    first = staged(regions_of(sets, percent), "all-regions")
+    smallest = staged(first.groupBy("pivot").agg(F.min("n").alias("smallest")), "region-least")
+    first = first.join(smallest, "pivot").where(_has_partner(percent, "smallest")).drop("smallest")
+    rest = staged(first.withColumn("root", F.col("point")).withColumns({"at": F.lit(0.0), "centre": F.lit(None).cast("binary"), "main": F.lit(None).cast("binary")}), "regions")
     found = None
     for turn in range(ROUNDS + 1):
         # Points that earlier rounds have linked needn't be compared; nor do regions of one component.
-        centre = F.min(F.struct("own", "point", "root")).alias("centre")
+        # The pivot is one that the first pivots' component doesn't have.
+        centre = F.min(F.struct(F.col("root").eqNullSafe(F.col("main")).alias("known"), "own", "point", "root")).alias("centre")
         size = rest.groupBy("pivot").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), centre)
         size = staged(size.where("lo <> hi"), "region-sizes")
         small = rest.join(size.where(f"size <= {SMALL}").select("pivot"), "pivot").groupBy("pivot").agg(F.collect_list(_members()).alias("m"))
@@ -234,51 +252,61 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         star = None
         asked = pairs
         if not last:
-            star = rest.drop("centre").join(large.select("pivot", F.col("centre.point").alias("centre"), F.col("centre.root").alias("main")), "pivot").where("point <> centre")
+            star = rest.drop("centre").join(large.select("pivot", F.col("centre.point").alias("centre"), F.col("centre.root").alias("centre_root")), "pivot").where("point <> centre")
+            star = star.withColumn("main", F.coalesce("main", "centre_root")).drop("centre_root")
             star = star.withColumn("a", F.least("point", "centre")).withColumn("b", F.greatest("point", "centre"))
             asked = pairs.unionByName(star.select("a", "b"))
         told = staged(compared(asked.distinct(), sets).withColumn("linked", _linked(percent)).withColumn("d", _distance()), "compared")
         new = told.where("linked").select("a", "b")
         if turn == ROUNDS and not large.isEmpty():
-            new = new.unionByName(_shells(rest.join(large.select("pivot", "size"), "pivot"), sets, radius, percent))
+            new = new.unionByName(_shells(rest.join(large.select("pivot"), "pivot"), sets, radius, percent))
         found = new if found is None else staged(found.unionByName(new), "links")
         if last:
             return found
         roots = components(found).withColumnRenamed("root", "new_root")
         # Regions with one centre go on as one: its points are at the same distances in each.
-        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).select(F.xxhash64("centre").alias("pivot"), "centre", "point", "n", "own", "root", "main", "d").distinct()
+        placed = star.join(told.select("a", "b", "d"), ["a", "b"]).withColumn("pivot", F.xxhash64("centre"))
+        placed = placed.groupBy("pivot", "centre", "point", "n", "own", "root", "d").agg(F.max("rest").alias("rest"), F.min("main").alias("main"))
         placed = placed.join(roots, "point", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        # One component a region, as regions with one centre may have come from several.
+        one = placed.groupBy("pivot").agg(F.min("main").alias("main"))
+        placed = placed.drop("main").join(one, "pivot")
         main = roots.select(F.col("point").alias("main"), "new_root")
         placed = staged(placed.join(main, "main", "left").withColumn("main", F.coalesce("new_root", "main")).drop("new_root"), "placed")
         other = placed.where("root <> main").groupBy("pivot").agg(F.min("d").alias("nearest"), F.max("d").alias("furthest"))
         near = (F.col("root") != F.col("main")) | (F.col("d") >= F.col("nearest") - radius) & (F.col("d") <= F.col("furthest") + radius)
-        rest = staged(placed.join(other, "pivot").where(near).select("pivot", "centre", "point", "n", "own", "root", F.col("d").alias("at")), "regions")
+        rest = staged(placed.join(other, "pivot").where(near).select("pivot", "centre", "point", "n", "own", "rest", "root", "main", F.col("d").alias("at")), "regions")
     return found
 
 
 def _shells(rows: DataFrame, sets: DataFrame, radius: float, percent: int) -> DataFrame:
     """Links of large regions, as pairs of roots: shells by distance from the pivot, in blocks.
 
-    A point is in its shell, and replicated to the one before. Blocks i <= j of a shell
-    meet in a task of their own. Points come with their differences from the pivot's set:
-    two points differ in what one of their differences has and the other lacks, so that
-    they are compared without their whole sets, and only links leave the task.
+    A point is in its shell, and replicated to the one before. The points that aren't in the
+    region's main component meet all others, a block of the ones and a block of the others
+    in a task of their own. Points come with their differences from the pivot's set: two
+    points differ in what one of their differences has and the other lacks, so that they
+    are compared without their whole sets, and only links leave the task.
     """
     own_set = sets.select("point", "shingles")
     centre_set = sets.select(F.col("point").alias("centre"), F.col("shingles").alias("middle"))
     with_sets = rows.join(own_set, "point").join(centre_set, "centre", "left")
     middle = F.coalesce("middle", F.expr("cast(array() as array<bigint>)"))
-    rows = with_sets.withColumn("apart", F.concat(F.array_except("shingles", middle), F.array_except(middle, F.col("shingles")))).drop("shingles", "middle", "centre")
+    apart = F.concat(F.array_except("shingles", middle), F.array_except(middle, F.col("shingles")))
+    open_ = ~F.col("root").eqNullSafe(F.col("main"))
+    rows = with_sets.withColumn("apart", apart).withColumn("open", open_).drop("shingles", "middle", "centre", "main")
+    sizes = rows.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if("open").alias("n_open")).where("n_open > 0")
+    rows = rows.join(staged(sizes, "shell-sizes"), "pivot")
     shell = F.floor(F.col("at") / radius)
     dealt = rows.withColumn("shell", shell).withColumn("home", F.lit(True)).unionByName(rows.withColumn("shell", shell - 1).withColumn("home", F.lit(False)))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("point"), blocks).cast("int")
-    grid = F.transform(
-        F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))
-    )
-    spread = dealt.withColumn("block", block).withColumn("cell", F.explode(grid))
-    member = F.struct("point", "n", "own", "root", "home", "block", "apart")
-    met = spread.groupBy("pivot", "shell", "cell").agg(F.collect_list(member).alias("m"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("point"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    asking = dealt.where("open").withColumn("i", block("n_open")).withColumn("j", each("size")).withColumn("asks", F.lit(True))
+    asked = dealt.withColumn("j", block("size")).withColumn("i", each("n_open")).withColumn("asks", F.lit(False))
+    member = F.struct("point", "n", "own", "rest", "root", "home", "open", "asks", "apart")
+    met = asking.unionByName(asked).groupBy("pivot", "shell", "i", "j").agg(F.collect_list(member).alias("m"))
+    met = met.withColumn("asking", F.filter("m", lambda x: x["asks"])).withColumn("asked", F.filter("m", lambda x: ~x["asks"])).drop("m")
 
     def of(x: Column) -> Column:
         def linked(y: Column) -> Column:
@@ -286,12 +314,12 @@ def _shells(rows: DataFrame, sets: DataFrame, radius: float, percent: int) -> Da
             far = F.size(x["apart"]) + F.size(y["apart"]) - 2 * F.size(F.array_intersect(x["apart"], y["apart"]))
             return 100 * (both - far) >= percent * (both + far)
 
-        met_once = lambda y: (x["block"] != y["block"]) | (F.col("cell.i") == F.col("cell.j"))
-        due = lambda y: (x["point"] < y["point"]) & (x["root"] != y["root"]) & (x["home"] | y["home"]) & met_once(y) & _may_link(x, y, percent)
-        fits = F.filter(F.filter("m", due), linked)
+        once = lambda y: ~y["open"] | (x["point"] < y["point"])
+        due = lambda y: once(y) & (x["root"] != y["root"]) & (x["home"] | y["home"]) & _may_link(x, y, percent)
+        fits = F.filter(F.filter("asked", due), linked)
         return F.transform(fits, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    return met.select(F.explode(F.array_distinct(F.flatten(F.transform("m", of)))).alias("p")).select("p.a", "p.b").distinct()
+    return met.select(F.explode(F.array_distinct(F.flatten(F.transform("asking", of)))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

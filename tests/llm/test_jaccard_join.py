@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join as J
 
@@ -101,3 +102,43 @@ def test_a_very_long_text(spark):
     got = {r["doc_id"]: r for r in J.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
     assert [got[i]["n_shingles"] for i in (1, 2, 3)] == [len(shingles(t, 3)) for _, t in rows]
+
+
+def family(n, words=120, edits=3, seed=1):
+    """Copies of one text with some words exchanged, many of which link through others only."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [rng.choice(vocabulary) for _ in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, edits)):
+            w[rng.randrange(words)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("small,rounds", [(24, 3), (8, 1), (8, 0)])
+def test_a_family_whose_links_run_through_others(spark, monkeypatch, small, rounds):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "BLOCK", small)
+    rows = family(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.op3(docs).collect()), key=repr) == brute(rows, 3, 90)
+
+
+def test_rows_dealt_to_blocks_are_in_proportion(spark, monkeypatch):
+    dealt = []
+    real = J._shells
+
+    def counted(rows, *rest):
+        at = F.col("root").eqNullSafe(F.col("main"))
+        for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(~at).alias("u")).collect():
+            dealt.append(2 * (r["u"] * -(-r["n"] // J.BLOCK) + r["n"] * -(-r["u"] // J.BLOCK)))
+        return real(rows, *rest)
+
+    monkeypatch.setattr(J, "_shells", counted)
+    n = 4000
+    J.op3(spark.createDataFrame(family(n), "doc_id long, text string")).collect()
+    assert sum(dealt) <= 20 * n
