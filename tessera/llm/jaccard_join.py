@@ -263,7 +263,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         found = new if found is None else staged(found.unionByName(new), "links")
         if last:
             return found
-        roots = components(found).withColumnRenamed("root", "new_root")
+        # Two turns do: equal roots tell that points are linked, others only cost comparisons.
+        roots = components(found, 2).withColumnRenamed("root", "new_root")
         # Regions with one centre go on as one: its points are at the same distances in each.
         placed = star.join(told.select("a", "b", "d"), ["a", "b"]).withColumn("pivot", F.xxhash64("centre"))
         placed = placed.groupBy("pivot", "centre", "point", "n", "own", "root", "d").agg(F.max("rest").alias("rest"), F.min("main").alias("main"))
@@ -322,20 +323,23 @@ def _shells(rows: DataFrame, sets: DataFrame, radius: float, percent: int) -> Da
     return met.select(F.explode(F.array_distinct(F.flatten(F.transform("asking", of)))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, turns: int | None = None) -> DataFrame:
     """point and root (the smallest point that links reach), of the points with links.
 
     Each turn a point takes the smallest root among its neighbours, then its root's root.
+    After so many turns a root is a point that links reach, but maybe not the smallest.
     """
     both = staged(edges.select(F.col("a").alias("point"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("point"), F.col("a").alias("next"))), "edges")
     roots = staged(both.groupBy("point").agg(F.least(F.col("point"), F.min("next")).alias("root")), "roots")
+    done = 0
     while True:
+        done += 1
         seen = both.join(roots.select(F.col("point").alias("next"), "root"), "next").groupBy("point").agg(F.min("root").alias("seen"))
         lower = roots.join(seen, "point").select("point", "root", F.least("root", "seen").alias("low"))
         jump = roots.select(F.col("point").alias("low"), F.col("root").alias("top"))
         new = staged(lower.join(jump, "low").select("point", F.least("low", "top").alias("root"), (F.col("root") != F.least("low", "top")).alias("moved")), "roots")
         roots = new.drop("moved")
-        if new.where("moved").isEmpty():
+        if done == turns or new.where("moved").isEmpty():
             return roots
 
 
