@@ -263,8 +263,9 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         found = new if found is None else staged(found.unionByName(new), "links")
         if last:
             return found
-        # Two turns do: equal roots tell that points are linked, others only cost comparisons.
-        roots = components(found, 2).withColumnRenamed("root", "new_root")
+        # Before the last round all that is linked is told; until then two turns do, as equal
+        # roots tell that points are linked, and others only cost comparisons.
+        roots = components(found, None if turn + 1 == ROUNDS else 2).withColumnRenamed("root", "new_root")
         # Regions with one centre go on as one: its points are at the same distances in each.
         placed = star.join(told.select("a", "b", "d"), ["a", "b"]).withColumn("pivot", F.xxhash64("centre"))
         placed = placed.groupBy("pivot", "centre", "point", "n", "own", "root", "d").agg(F.max("rest").alias("rest"), F.min("main").alias("main"))
