@@ -35,6 +35,11 @@ def require_all(left: DataFrame, right: DataFrame, on: Sequence[str]) -> None:
         raise ValueError(f"{', '.join(on)} without a match: {[tuple(r) for r in some]}")
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, to be broadcast if it was counted and found to have at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def strict_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     require_all(left, right.select(*on), on)
     return left.join(right, list(on))

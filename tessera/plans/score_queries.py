@@ -148,7 +148,7 @@ def a14_token_loss(spark, sf_dir):
     return rounded(M.token_loss(rows, ["run"]), "loss", "ppl")
 
 
-_BEST = """c AS (SELECT run, seed, epoch, avg(score) AS m FROM log WHERE q > 45 GROUP BY ALL), s AS (SELECT run, count(DISTINCT seed) AS n_seed FROM log WHERE q > 45 GROUP BY run),
+_BEST = """c AS (SELECT run, seed, epoch, avg(score) AS m FROM log GROUP BY ALL), s AS (SELECT run, count(DISTINCT seed) AS n_seed FROM log GROUP BY run),
 e AS (SELECT run, epoch, avg(m) AS mean, stddev_samp(m) AS sd, count(*) AS k FROM c GROUP BY ALL),
 b AS (SELECT e.run, epoch, mean, sd, n_seed, row_number() OVER (PARTITION BY e.run ORDER BY round(mean, 12) DESC, epoch) AS r FROM e JOIN s ON e.run = s.run AND k = n_seed)
 SELECT run, epoch, round(mean, 6) AS mean, round(sd, 6) AS sd, n_seed FROM b WHERE r = 1"""
@@ -156,7 +156,7 @@ SELECT run, epoch, round(mean, 6) AS mean, round(sd, 6) AS sd, n_seed FROM b WHE
 
 @query(f"WITH {LOG}, {_BEST}")
 def w1_best_epoch(spark, sf_dir):
-    return rounded(M.best_epoch(log(spark, sf_dir).where("q > 45"), ["run"]), "mean", "sd")
+    return rounded(M.best_epoch(log(spark, sf_dir), ["run"]), "mean", "sd")
 
 
 @query(f"""WITH {LOG}, c AS (SELECT run, target, seed, epoch, avg(score) AS m FROM log GROUP BY ALL),
@@ -215,9 +215,9 @@ def a16_best_row(spark, sf_dir):
     return rounded(M.first_by(e, ["run"], [F.desc(F.round("score", 12)), F.desc("epoch")]).select("run", "epoch", "score"), "score")
 
 
-@query(f"""WITH {LOG}, w AS (SELECT run, epoch, target, avg(score) AS s FROM log WHERE q > 48 GROUP BY ALL) SELECT run, epoch, round(avg(s), 6) AS mean FROM w GROUP BY ALL HAVING count(DISTINCT target) = 2""")
+@query(f"""WITH {LOG}, w AS (SELECT run, epoch, target, avg(score) AS s FROM log GROUP BY ALL) SELECT run, epoch, round(avg(s), 6) AS mean FROM w GROUP BY ALL HAVING count(DISTINCT target) = 2""")
 def a17_aligned_mean(spark, sf_dir):
-    w = log(spark, sf_dir).where("q > 48").groupBy("run", "epoch", "target").agg(F.avg("score").alias("score"))
+    w = log(spark, sf_dir).groupBy("run", "epoch", "target").agg(F.avg("score").alias("score"))
     return rounded(M.aligned_mean(w, ["run"], ["F", "O"]), "mean")
 
 
@@ -228,11 +228,11 @@ def a18_range_scaled(spark, sf_dir):
     return rounded(M.scaled_to_range(s, ["enc"], "x").select("enc", "method", "scaled"), "scaled")
 
 
-@query(f"""WITH {LOG}, c AS (SELECT run, epoch, seed, avg(score) AS m FROM log WHERE q > 49 GROUP BY ALL)
+@query(f"""WITH {LOG}, c AS (SELECT run, epoch, seed, avg(score) AS m FROM log GROUP BY ALL)
 SELECT run, epoch, {', '.join(f'round(max(m) FILTER (seed = {i}), 6) AS s{i}' for i in range(1, 8))} FROM c GROUP BY ALL HAVING count(*) = 7""")
 def a15_pivot_of_seeds(spark, sf_dir):
     """Seeds as columns; epochs that lack a seed are dropped."""
-    c = log(spark, sf_dir).where("q > 49").groupBy("run", "epoch").pivot("seed", list(range(1, 8))).agg(F.round(F.avg("score"), 6))
+    c = log(spark, sf_dir).groupBy("run", "epoch").pivot("seed", list(range(1, 8))).agg(F.round(F.avg("score"), 6))
     return c.na.drop().toDF("run", "epoch", *[f"s{i}" for i in range(1, 8)])
 
 
@@ -282,13 +282,14 @@ def a34_a36_a39_step_log(spark, sf_dir):
     )
 
 
-@query("""SELECT n_name, p_brand, count(*) AS positives FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY ALL""")
+@query("""SELECT n_name, p_brand, count_if(l_quantity > 45)::BIGINT AS positives FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def a37_positives_by_group(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey")
+    """A line is positive above a quantity of 45; groups without positives have 0."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = line.join(place, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy("n_name", "p_brand").agg(F.count("*").alias("positives"))
+    return rows.groupBy("n_name", "p_brand").agg(F.count_if(F.col("l_quantity") > 45).alias("positives"))
 
 
 @query("""WITH g AS (SELECT l_linenumber AS matched, l_suppkey % 3 AS a, l_suppkey % 2 AS b FROM lineitem), s AS (SELECT *, CASE WHEN matched = 0 THEN 0 ELSE matched / (matched + a + b) END AS green FROM g)

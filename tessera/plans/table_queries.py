@@ -206,8 +206,8 @@ def j16_similarity(spark, sf_dir):
     kinds = table(spark, sf_dir, "embeddings").select("label").distinct()
     texts = kinds.select(F.col("label").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % (F.col("label") + 2)).cast("double")).alias("y"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("x"))
-    # A vector for each of the classes, which are fixed.
-    pairs = rows.join(F.broadcast(texts.withColumn("y", S.unit(F.col("y")))), F.lit(True))
+    # Every row meets every text: a query against all rows, whose size is counted.
+    pairs = rows.join(T.small(texts.withColumn("y", S.unit(F.col("y")))), F.lit(True))
     return pairs.select("vec_id", "k", F.round(S.dot(F.col("x"), F.col("y")) / 0.07, 4).alias("logit"))
 
 
