@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +84,17 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]]
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """batch in runs of rows of about most bytes, a row at least."""
+    """batch in runs of rows of at most `most` bytes, by the length of each row's texts; a row at least."""
     rows = batch.num_rows
-    step = max(1, int(rows * most / max(batch.nbytes, 1)))
-    for start in range(0, rows, step):
-        yield batch.slice(start, step)
+    sizes = np.ones(rows)
+    for column in batch.columns if rows else ():
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        else:
+            sizes += column.nbytes / rows
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < rows:
+        stop = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -171,3 +171,17 @@ def test_a_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_folder(Session())
+
+
+def test_slices_are_cut_by_the_bytes_of_their_rows():
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    texts = ["x" * 10] * 500 + ["y" * 3000] * 20 + [None, ""] + ["z" * 100_000] + ["x"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    parts = list(common.slices(batch, 20_000))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    sizes = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
+    assert all(n <= 20_000 for n, p in zip(sizes, parts) if p.num_rows > 1) and max(sizes) == 100_000
+    assert list(common.slices(batch.slice(0, 0))) == []
