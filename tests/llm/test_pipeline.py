@@ -77,3 +77,19 @@ def test_run_is_the_chain_of_stages(spark, folder):
     for name, stage in P.STAGES:
         docs = P.staged(stage(spark, docs, path), name)
     assert P.run(spark, path).exceptAll(docs).isEmpty() and len(P.STAGES) == 5
+
+
+def test_stages_pass_on_columns_of_any_name_and_empty_tables(spark, folder):
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 20 or doc_id is null or doc_id > 499")
+    extra = ("row", "spans", "root", "point", "toxicity", "h", "at", "id", "text_2", "runs", "slots", "linked", "minimizer")
+    more = docs
+    for i, name in enumerate(extra):
+        more = more.withColumn(name, P.F.concat(P.F.lit(f"{name}-"), P.F.coalesce(P.F.col("doc_id").cast("string"), P.F.lit("none"))))
+    for name, stage in P.STAGES[:-1]:
+        made = P.staged(stage(spark, more, path), "t")
+        assert made.columns == more.columns, name
+        for r in made.collect():
+            assert [r[c] for c in extra] == [f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in extra], name
+        assert stage(spark, more.limit(0), path).collect() == []
+    assert P.encode(spark, more.limit(0), path).collect() == []
