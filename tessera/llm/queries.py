@@ -13,6 +13,7 @@ from tessera.llm import (
     gam_quality,
     html_extract,
     jaccard_join,
+    periodic_runs,
     quality_rules,
     repeat_index,
     token_counts,
@@ -61,11 +62,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op11(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_html_extraction, op5_suffix_array_dedup, op6_chat_formatting,
-        op7_benchmark_decontamination, op8_quality_classifier, op9_bpe, op10_token_counts,
+        op7_benchmark_decontamination, op8_quality_classifier, op9_bpe, op10_token_counts, op11_periodic_runs,
     )
 }
 
