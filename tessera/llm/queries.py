@@ -18,6 +18,7 @@ from tessera.llm import (
     repeat_index,
     token_counts,
     toxicity,
+    vector_dedup,
     whitening,
 )
 from tessera.llm.common import table
@@ -71,12 +72,16 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op12(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_html_extraction, op5_suffix_array_dedup, op6_chat_formatting,
         op7_benchmark_decontamination, op8_quality_classifier, op9_bpe, op10_token_counts, op11_periodic_runs,
-        op12_embedding_whitening,
+        op12_embedding_whitening, op13_embedding_near_dedup,
     )
 }
 
