@@ -4,9 +4,14 @@ Equal vectors are one point with a weight first. Centroids are fitted by pyspark
 with cosine distance on a hashed sample of about SAMPLE points (documented bound); those
 near an earlier one are left out, so that a dense group isn't cut up. Each point lives in
 the cell of its nearest centroid, and is a guest of each other cell whose border plane is
-no further from it than half the chord of the limit. Two points within the chord lie on
-either side of the plane between their cells' centroids, so that one of them is that near
-to it: residents meet residents and guests, and no pair is lost, whatever the centroids.
+near to it; residents meet residents and guests. Two linked points of different cells lie
+on either side of the plane between the centroids, and one of them within half of what
+their difference has across it. That is half the chord of the limit at most, and nearly
+always far less: a difference of D dimensions has a share of about 1/sqrt(D) in a given
+direction. The border taken is `sigmas` such shares (4 by default: a pair at the very limit
+is lost with a chance of 6 in 100,000, one that is nearer with less), D being the effective
+number of dimensions of the points; with 16 or fewer, or sigmas of None, the half chord
+itself, so that no pair is lost whatever the data. README has the recall that was measured.
 
 Cells are dealt out in blocks of BLOCK residents and BLOCK guests, a pair of blocks in a
 task's group of its own, and compared by matrix products in double precision. A pair that
@@ -20,8 +25,7 @@ rows link with each other. A null id is no smallest id unless a group has no oth
 component is null, and its row is kept. An empty table gives an empty one. Only the two
 named columns are read, so that others may have any name.
 
-Time: pairs within cells and their guests, which for vectors without any structure are a
-share of all pairs that falls slowly with the number of cells (see README).
+Time: pairs of residents with residents and guests of about sqrt(n) cells (see README).
 """
 
 from __future__ import annotations
@@ -42,7 +46,11 @@ from tessera.llm.jaccard_join import components
 
 LIMIT = 0.95
 #: Points that the centroids are fitted on, about; most cells; nearest cosine of two centroids.
-SAMPLE, CELLS, APART = 65_536, 2_048, 0.8
+SAMPLE, CELLS, APART = 262_144, 16_384, 0.8
+#: Bytes of all centroids, which are broadcast; points whose effective dimensions are told.
+CENTROID_BYTES, SOME = 64 << 20, 1_024
+#: Width of borders (see above).
+SIGMAS = 4.0
 #: Residents, or guests, of a cell that one group holds.
 BLOCK = 4_096
 #: Numbers of a matrix product at a time.
@@ -87,37 +95,60 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray | None]:
 
 
 def fit_centroids(points: DataFrame, many: int) -> np.ndarray:
-    """Unit centroids of cells, as rows: about sqrt(many) / 2 of them, CELLS at most."""
-    k = min(CELLS, math.ceil(math.sqrt(many) / 2))
+    """Unit centroids of cells, as rows: about sqrt(many) of them, CELLS at most."""
+    first = points.first()["vector"]
+    k = min(CELLS, CENTROID_BYTES // (8 * len(first)), math.ceil(math.sqrt(many)))
     if k < 2:
-        return _units(np.array([points.first()["vector"]]))
-    part = points.where(F.pmod(F.xxhash64("point"), F.lit(math.ceil(many / SAMPLE))) == 0)
-    rows = part.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+        return _units(np.array([first]))
+    rows = hashed_part(points, many, SAMPLE).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     centres = KMeans(k=k, distanceMeasure="cosine", initMode="random", maxIter=8, seed=13).fit(rows).clusterCenters()
-    centres = np.array([c for c in centres if np.isfinite(c).all() and np.abs(c).max() > 0])
-    made: list[np.ndarray] = []
-    for c in _units(centres):
-        if not made or (np.array(made) @ c).max() < APART:
-            made.append(c)
-    return np.array(made)
-
-
-def assigned(points: DataFrame, centroids: np.ndarray, limit: float) -> DataFrame:
+    centres = _units(np.array([c for c in centres if np.isfinite(c).all() and np.abs(c).max() > 0]))
+    made, kept = np.empty_like(centres), 0
+    for c in centres:
+        if not kept or (made[:kept] @ c).max() < APART:
+            made[kept], kept = c, kept + 1
+    return made[:kept]
+
+
+def hashed_part(points: DataFrame, many: int, most: int) -> DataFrame:
+    """About `most` of the points, by a hash; all if they are no more."""
+    return points.where(F.pmod(F.xxhash64("point"), F.lit(math.ceil(many / most))) == 0)
+
+
+def border(points: DataFrame, many: int, limit: float, sigmas: float | None) -> float:
+    """How near the plane between two cells a point is a guest beyond it."""
+    half = math.sqrt(max(0.0, 2 - 2 * limit)) / 2
+    if sigmas is None:
+        return half + 1e-7
+    some = hashed_part(points, many, SOME).limit(2 * SOME).collect()
+    if len(some) < 2:
+        return half + 1e-7
+    z = _units(np.array([r["vector"] for r in some]))
+    z -= z.mean(0)
+    products = z @ z.T
+    own = np.diag(products).copy()
+    np.fill_diagonal(products, 0.0)
+    n = len(z)
+    # The square of the trace of the covariance over the trace of its square.
+    effective = own.mean() ** 2 / max((products**2).sum() / (n * (n - 1)), 1e-30)
+    return half * min(1.0, sigmas / math.sqrt(max(1.0, effective))) + 1e-7
+
+
+def assigned(points: DataFrame, centroids: np.ndarray, width: float) -> DataFrame:
     """point, weight, vector, home (its cell) and guest (the cells that it is a guest of)."""
-    half = math.sqrt(max(0.0, 2 - 2 * limit)) / 2 + 1e-7
     shared = points.sparkSession.sparkContext.broadcast(centroids)
     kind = points.schema["vector"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-30))
         step = max(1, STRIP // len(centres))
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
                 near = _units(_matrix(part.column("vector"))) @ centres.T
                 home = near.argmax(axis=1)
-                guest = near[np.arange(len(near)), home][:, None] - near <= half * apart[home]
+                apart = np.sqrt(np.maximum(2 - 2 * (centres[home] @ centres.T), 0.0))
+                guest = near[np.arange(len(near)), home][:, None] - near <= width * apart
                 guest[np.arange(len(near)), home] = False
                 row, cell = np.nonzero(guest)
                 offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(near)))).astype(np.int32)
@@ -196,21 +227,21 @@ def _linked(table: pa.Table, limit: float) -> pa.Table:
     return pa.table({"point": point.take(pa.array(told)), "other": other, "links": links[told]})
 
 
-def linked(points: DataFrame, limit: float = LIMIT) -> DataFrame:
+def linked(points: DataFrame, limit: float = LIMIT, sigmas: float | None = SIGMAS) -> DataFrame:
     """point, other, links (see _linked) of points of one length, each a vector of its own."""
-    centroids = fit_centroids(points, points.count())
-    members = staged(assigned(points, centroids, limit), "cells")
+    many = points.count()
+    members = staged(assigned(points, fit_centroids(points, many), border(points, many, limit, sigmas)), "cells")
     return dealt(members).groupBy("cell", "lo", "hi").applyInArrow(lambda t: _linked(t, limit), "point binary, other binary, links long")
 
 
-def near_duplicates(df: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, n_links, component_id and kept of every row."""
+def near_duplicates(df: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding", sigmas: float | None = SIGMAS) -> DataFrame:
+    """id, n_links, component_id and kept of every row; with sigmas of None exact, at the cost of wider borders."""
     rows = keyed(df, id_col, vector_col)
     equal = rows.where("point IS NOT NULL").groupBy("point").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.any_value("vector").alias("vector"))
     points = staged(equal.withColumn("length", F.size("vector")), "points")
     met = None
     for (length,) in points.select("length").distinct().orderBy("length").collect():
-        made = linked(points.where(F.col("length") == length), limit)
+        made = linked(points.where(F.col("length") == length), limit, sigmas)
         met = made if met is None else met.unionByName(made)
     if met is None:
         told = points.select("point", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))

@@ -70,3 +70,28 @@ def test_small_and_empty_tables(spark):
     assert run(spark, [(4, None)]) == [(4, 0, 4, True)]
     assert run(spark, [(4, [1.0, 0.0])]) == [(4, 0, 4, True)]
     assert run(spark, [(4, [1e-30, 0.0]), (2, [1e30, 0.0])], "double") == [(2, 1, 2, True), (4, 1, 2, False)]
+
+
+@pytest.mark.parametrize("sigmas", [None, 4.0])
+def test_recall_in_many_dimensions(spark, sigmas):
+    """With borders of half a chord nothing is lost; with narrow ones next to nothing, and nothing is linked that isn't."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((700, 64))
+    near = np.concatenate([base[:300] + rng.standard_normal((300, 64)) * s for s in (0.15, 0.25, 0.32)])
+    rows = [(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, V.near_duplicates(df, sigmas=sigmas).collect()), key=repr)
+    want = brute(rows)
+    if sigmas is None:
+        assert got == want
+    found, there = sum(r[1] for r in got), sum(r[1] for r in want)
+    assert 0.999 * there <= found <= there and there > 1000
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_borders_of_few_dimensions_are_exact(spark):
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(bytes([i]), rng.standard_normal(8).tolist()) for i in range(200)], "point binary, vector array<double>")
+    half = np.sqrt(0.1) / 2
+    assert V.border(points, 200, 0.95, 4.0) == pytest.approx(half, abs=1e-6) == pytest.approx(V.border(points, 200, 0.95, None), abs=1e-6)
+    assert V.border(points, 200, 0.95, 1.0) < 0.5 * half
