@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.repeat_index import row_key
 
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 by 3; false for a null id."""
@@ -14,8 +15,10 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """text and label (0 or 1) of at most `most` labelled rows of each class, none held out.
 
-    The rows of a class with the smallest hashes of their ids are taken. Their ids are
-    the only thing that is broadcast, and `most` bounds them.
+    The ids of a class with the smallest hashes are taken, each once, however often it is
+    labelled. They are the only thing that is broadcast, and `most` bounds them. Of the
+    documents of an id the one with the smallest row key is taken, so that `most` bounds
+    the rows too.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     taken = None
@@ -23,11 +26,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         part = (
             usable.where(F.col(label) == value)
             .select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))
+            .distinct()
             .orderBy(F.xxhash64("label_id"), "label_id")
             .limit(most)
         )
         taken = part if taken is None else taken.unionByName(part)
-    return docs.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    found = docs.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    one = F.min_by("text", row_key(F.col("doc_id"), F.col("text"))).alias("text")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", "text", "label")
 
 
 def class_sizes(labels: DataFrame, label: str) -> list[int]:
