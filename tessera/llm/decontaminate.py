@@ -15,9 +15,10 @@ item has none, so that names of documents are read as plain words too where a wi
 starts, and a capitalised first word of an item or sentence as a name too, unless it is
 one of the OPENERS.
 
-An item with windows of too few plain words is also joined by its lower-cased words as they
-stand, so that exact copies are found, of numbers and names too. An item of fewer than
-SHORT words says too little to be found inside a text: it is looked for as a whole line.
+Every item is also joined by its lower-cased words as they stand, so that whole copies are
+found in letters of any case, where names can't be told by their capitals; an item with
+windows of too few plain words also by MATCHED of them, so that copies of numbers and
+names are found. An item of fewer than SHORT words says too little to be found inside a text: it is looked for as a whole line.
 
 Null and empty texts match nothing, nor do items without a word. A null doc_id or
 item_id is an id like any other. Repeated rows give one row a pair. Empty tables give an
@@ -219,8 +220,9 @@ def values_of(raw: Column, starts: Column) -> Column:
 def item_views(benchmark: DataFrame) -> DataFrame:
     """The readings of every item, by a key v: words, values and sizes of runs, and windows.
 
-    There is the plain reading, one with the first word as a name if it may be one, the exact
-    one of items that have windows of too few plain words, and alone that of short items.
+    There is the plain reading, one with the first word as a name if it may be one, and that
+    in lower case: exact for items that have windows of too few plain words, else only to
+    be matched whole; of short items a line alone.
     """
     items = (
         benchmark.select("item_id", tokens_of(F.col("text")).alias("raw"))
@@ -262,8 +264,9 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     marked = F.transform(by_length, lambda h, i: F.struct(h.alias("h"), i.alias("at"), good(i).alias("good")))
     read = read.withColumn("marked", marked)
     poor = read.where((F.col("kind") == "plain") & F.exists("marked", lambda x: ~x["good"])).select(F.col("item_id").alias("poor_id")).distinct()
-    told = read.where("kind <> 'exact'").unionByName(read.where("kind = 'exact'").join(poor, F.col("item_id").eqNullSafe(F.col("poor_id")), "left_semi"))
-    return told.withColumn("windows", F.filter("marked", lambda x: x["good"])).where(F.size("windows") > 0).drop("marked")
+    whole = read.join(poor.withColumn("poor", F.lit(True)), F.col("item_id").eqNullSafe(F.col("poor_id")), "left")
+    read = whole.withColumn("kind", F.when((F.col("kind") == "exact") & F.col("poor").isNull(), "whole").otherwise(F.col("kind"))).drop("poor_id", "poor")
+    return read.withColumn("windows", F.filter("marked", lambda x: x["good"])).where(F.size("windows") > 0).drop("marked")
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -278,7 +281,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hint = F.broadcast if small else lambda df: df
     kinds = [(r["kind"], r["length"]) for r in windows.select("kind", "length").distinct().collect()]
     lengths = sorted({n for kind, n in kinds if kind in ("plain", "named")}) or [WINDOW]
-    exact, lines = (sorted({n for kind, n in kinds if kind == wanted}) for wanted in ("exact", "line"))
+    exact, lines = (sorted({n for kind, n in kinds if kind in wanted}) for wanted in (("exact", "whole"), ("line",)))
     named = any(kind == "named" for kind, _ in kinds)
     wanted = windows.select("v", "h", "item_at")
 
@@ -309,7 +312,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hidden = F.aggregate(places, F.lit(0), lambda n, p: n + F.get("sizes", p) - 1)
     pairs = (
         hits.join(hint(items) if small else items, "v")
-        .where((F.size("matched") >= F.size("windows")) | (F.size("matched") + hidden >= MATCHED))
+        .where((F.size("matched") >= F.size("windows")) | (F.col("kind") != "whole") & (F.size("matched") + hidden >= MATCHED))
         .join(some.select("r", "row", "doc_id", "runs"), "r")
     )
 
@@ -324,7 +327,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.transform(F.filter(places, lambda p: F.get("words", p).startswith("<")), lambda p: slot(p, values))
 
     none = F.expr("cast(array() as array<struct<item string, doc string>>)")
-    slots = F.array_distinct(F.when(F.col("kind").isin("exact", "line"), none).otherwise(slots_by(F.col("runs"))))
+    slots = F.array_distinct(F.when(F.col("kind").isin("exact", "whole", "line"), none).otherwise(slots_by(F.col("runs"))))
     # Written, as the slots are used many times below.
     told = staged(pairs.select("row", "doc_id", "item_id", "matched", "windows", slots.alias("slots")), "slots")
     return (

@@ -133,6 +133,30 @@ def test_training_rows_leave_the_held_out(spark):
     assert len(rows) == 80 and not any(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(500)] + [(i, "t") for i in range(100, 160)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(7, 1)] * 20 + [(i, 1) for i in range(100, 160)] + [(8, 0)], "doc_id long, toxic int")
+    every = samples.training_rows(docs, labels, "toxic", 1000).collect()
+    ids = [r["doc_id"] for r in every]
+    assert len(ids) == len(set(ids)) and 7 in ids
+    assert samples.training_rows(docs, labels, "toxic", 10).count() == 10
+    only = samples.training_rows(docs.where("doc_id = 7"), labels.where("doc_id = 7"), "toxic", 10)
+    assert only.count() == 1 and only.collect() == only.collect()
+
+
+def test_very_long_texts_give_a_window_to_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONGEST", 2_000)
+    rows = toxic_corpus()
+    rows = [(i, t * 60 if y == 0 and i % 5 == 0 else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(texts) or real(texts, y))
+    toxicity.train(docs, labels)
+    assert max(map(len, seen[0])) == 2_000 and len(seen[0]) > 300
+
+
 def leak_cases(rng):
     item = "If Marta buys 12 apples and 30 pears in Lisbon for 5 euros each then how much does Marta pay for all 12 apples when every basket also holds a plum"
     again = item.replace("Marta", "Jonas").replace("12", "77").replace("30", "41").replace("Lisbon", "Madrid").replace("5 euros", "9 dollars")
@@ -215,6 +239,32 @@ def test_questions_that_begin_with_their_name(spark):
     assert set(leaking(spark, docs, items)) == {(0, 0), (2, 2), (4, 3), (5, 1), (6, 1)}
 
 
+COPIES = [
+    "Tom has 5 red apples and gives 2 to Ann. How many apples are left?",
+    "the treaty was signed by anna lind in stockholm and came into force two years later after all members had agreed",
+    "The treaty was signed by Anna Lind in Stockholm and came into force two years later after all members had agreed.",
+    "What is the capital of the country that borders France to the west?",
+]
+
+
+@pytest.mark.parametrize("way", [str, str.lower, str.upper, lambda t: t.replace(" ", "\n"), str.title])
+def test_exact_copies_in_any_case(spark, way):
+    docs = [f"some words come first. {way(t)} And others go on from there." for t in COPIES]
+    docs += [f"other words about apples and treaties, {way(t)[: len(t) // 3]} and then something else" for t in COPIES]
+    got = set(leaking(spark, docs, COPIES))
+    assert {(k, k) for k in range(len(COPIES))} <= got and not {d for d, _ in got if d >= len(COPIES)}
+
+
+@pytest.mark.parametrize("way", [str.lower, str.upper])
+def test_recall_and_false_hits_of_copies_in_one_case(spark, way):
+    rng = random.Random(31)
+    made = exchanged_questions(rng, 120)
+    around = lambda t: " ".join(prose(rng, 25)) + ". " + way(t) + " " + " ".join(prose(rng, 25))
+    got = set(leaking(spark, [around(t) for t, _, _ in made] + [around(t) for _, _, t in made], [t for t, _, _ in made]))
+    assert sum((i, i) in got for i in range(120)) == 120
+    assert len({d for d, _ in got if d >= 120}) <= 6
+
+
 def exchanged_questions(rng, n):
     """(item, the same with other values, another of the same form with other plain words)."""
     names, places, units = "Marta Jonas Nadia Oskar Priya Tomas".split(), "Lisbon Madrid Geneva Oslo Quito Lagos".split(), "kg miles hours euros".split()
