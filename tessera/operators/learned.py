@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.numeric import gelu
+
 
 def pooled_vectors(cells: DataFrame, channels: int) -> DataFrame:
     """(vid, x): the mean of each channel over the cells of a volume."""
@@ -89,11 +89,9 @@ def layer_normed(cells: DataFrame, eps: float = 1e-5) -> DataFrame:
 def token_scores(cells: DataFrame, first: list[list[float]], first_bias: list[float], last: list[float], last_bias: float = 0.0) -> DataFrame:
     """(vid, pos, score): a network of one hidden layer with GELU, by given weights."""
     a, a0, b = np.array(first, float), np.array(first_bias, float), np.array(last, float)
-    erf = np.vectorize(math.erf, otypes=[float])
 
     def score(x: np.ndarray) -> np.ndarray:
-        h = x @ a.T + a0
-        return (0.5 * h * (1 + erf(h / math.sqrt(2))) @ b + last_bias)[:, None]
+        return (gelu(x @ a.T + a0) @ b + last_bias)[:, None]
 
     return _scored(cells, score).select("vid", "pos", F.col("z").alias("score"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,16 +139,20 @@ def shard(rows: DataFrame, order: str, n: int, k: int) -> DataFrame:
 def ranged(rows: DataFrame, order: str, ranges: int = 0, part_col: str = "_part", spread: DataFrame | None = None) -> DataFrame:
     """rows with the number of their range: about equal ranges of a numeric column, in its order.
 
-    As many as there are shuffle partitions, so that no task has to order all rows.
+    As many as there are shuffle partitions, so that no task has to order all rows. Null
+    and NaN have a range of their own, before and after all others. spread: rows of the
+    same values that the ranges are made by, where those are at less cost.
     """
     ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     edges = sorted(set((rows if spread is None else spread).approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))))
-    if not edges:
-        return rows.withColumn(part_col, F.lit(0))
+    value = F.col(order).cast("double")
     inf = float("inf")
-    split = Bucketizer(splits=[-inf, *edges, inf], inputCol="_order", outputCol=part_col)
-    made = split.transform(rows.withColumn("_order", F.col(order).cast("double"))).drop("_order")
-    return made.withColumn(part_col, F.col(part_col).cast("int"))
+    if edges:
+        split = Bucketizer(splits=[-inf, *edges, inf], inputCol="_order", outputCol=part_col)
+        made = split.transform(rows.withColumn("_order", F.when(value.isNull() | F.isnan(value), 0.0).otherwise(value))).drop("_order")
+    else:
+        made = rows.withColumn(part_col, F.lit(0))
+    return made.withColumn(part_col, F.when(value.isNull(), -1).when(F.isnan(value), len(edges) + 1).otherwise(F.col(part_col)).cast("int"))
 
 
 def running(rows: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False, spread: DataFrame | None = None) -> DataFrame:
@@ -155,7 +161,7 @@ def running(rows: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
     Order is one within the key. Ranges of it are summed side by side and offset by the
     ranges before, so that a hot key, or none, is not one task's work.
     """
-    parted = ranged(rows, order)
+    parted = ranged(rows, order, spread=spread)
     way = F.desc(order) if descending else F.asc(order)
     inside = Window.partitionBy(*by, "_part").orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
     each = parted.withColumns({f"_in_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
@@ -241,6 +247,80 @@ def length_grouped(rows: DataFrame, length: str, order: Column, mega: int) -> Da
     return at.withColumn("place", (F.col("_run") * mega + inside).cast("long")).drop("_k", "_at", "_run")
 
 
+def even_ranks(lengths: Sequence[int], ranks: int) -> list[int]:
+    """The rank of each row: that of the smallest sum so far, until it has its share; in turns where shares aren't even."""
+    if len(lengths) % ranks:
+        return [i % ranks for i in range(len(lengths))]
+    share = len(lengths) // ranks
+    open_ = [(0, r) for r in range(ranks)]
+    taken, made = [0] * ranks, []
+    for length in lengths:
+        total, rank = heapq.heappop(open_)
+        made.append(rank)
+        taken[rank] += 1
+        if taken[rank] < share:
+            heapq.heappush(open_, (total + length, rank))
+    return made
+
+
+def length_grouped_ranks(rows: DataFrame, row: str, length: str, ranks: int, size: int, seed: int) -> DataFrame:
+    """rows dealt to ranks in runs of ranks * size rows of one modality: run, rank, slot, and place among all.
+
+    row is a whole number that orders and tells rows apart; a positive length is of one modality, a
+    negative one of the other, and 0 or null an error. Each modality is shuffled by the seed
+    and cut into runs. Within a run the longest rows come first and go to the rank with the
+    smallest sum that has room, so that ranks have equally many rows of about equal length.
+    Runs of both modalities are shuffled; the last of each are the last run, in order of row,
+    dealt in turns. One modality alone keeps its runs in order, the last one maybe short.
+    A run is one group, of ranks * size rows at most.
+    """
+    mega = ranks * size
+    if min(ranks, size) < 1:
+        raise ValueError(f"ranks {ranks} and size {size} have to be positive")
+    number = lambda *keys: F.conv(F.substring(seeded(seed, *keys), 1, 12), 16, 10).cast("long").cast("double")
+    good = F.when(F.coalesce(F.col(length), F.lit(0)) == 0, F.raise_error(F.lit("a row has no length")).cast("boolean")).otherwise(F.col(length) > 0)
+    keyed = rows.withColumn("_one", good).withColumn("_k", number(F.col(row)))
+    counts = {r["_one"]: r["n"] for r in keyed.groupBy("_one").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.select("*", *[F.lit(0).cast(k).alias(c) for c, k in (("run", "long"), ("rank", "int"), ("slot", "int"), ("place", "long"))])
+    parts = [numbered_rows(keyed.where(F.col("_one") == one), "_k", row_col="_at", tie=row) for one in counts]
+    numbered = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    numbered = numbered.withColumn("_run", F.floor(F.col("_at") / mega))
+    last = F.lit(False)
+    if len(counts) == 2:
+        ends = {one: -(-n // mega) - 1 for one, n in counts.items()}
+        last = F.col("_run") == F.when(F.col("_one"), ends[True]).otherwise(ends[False])
+        each = rows.sparkSession.range(ends[True]).select(F.lit(True).alias("_one"), F.col("id").alias("_run"))
+        each = each.unionByName(rows.sparkSession.range(ends[False]).select(F.lit(False).alias("_one"), F.col("id").alias("_run")))
+        shuffled = numbered_rows(each.withColumn("_m", number(F.col("_one").cast("int"), F.col("_run"))).withColumn("_tie", F.col("_run") * 2 + F.col("_one").cast("int")), "_m", row_col="run", tie="_tie")
+        numbered = numbered.join(shuffled.select("_one", "_run", "run"), ["_one", "_run"], "left").withColumn("run", F.coalesce("run", F.lit(ends[True] + ends[False]).cast("long")))
+    else:
+        numbered = numbered.withColumn("run", F.col("_run").cast("long"))
+    numbered = numbered.withColumn("_last", last)
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows_, sizes, at = (table.column(c).to_pylist() for c in ("_row", "_length", "_at"))
+        if table.column("_last")[0].as_py():
+            order = sorted(range(len(rows_)), key=lambda i: rows_[i])
+            dealt = [i % ranks for i in range(len(order))]
+        else:
+            order = sorted(range(len(rows_)), key=lambda i: (-sizes[i], at[i]))
+            dealt = even_ranks([sizes[i] for i in order], ranks)
+        slots, n = [], [0] * ranks
+        for rank in dealt:
+            slots.append(n[rank])
+            n[rank] += 1
+        before = [sum(n[:k]) for k in range(ranks)]
+        inside = list(range(len(order))) if table.column("_last")[0].as_py() else [before[k] + s for k, s in zip(dealt, slots, strict=True)]
+        return pa.table({"_row": [rows_[i] for i in order], "rank": pa.array(dealt, pa.int32()), "slot": pa.array(slots, pa.int32()), "_in": pa.array(inside, pa.int64())})
+
+    # Only what dealing needs goes to the groups; the last run of two modalities holds at most 2 * mega rows.
+    asked = numbered.select("run", F.col(row).cast("long").alias("_row"), F.abs(F.col(length)).cast("long").alias("_length"), "_at", "_last")
+    made = asked.groupBy("run").applyInArrow(deal, "_row long, rank int, slot int, _in long")
+    told = numbered.join(made, F.col(row).cast("long") == F.col("_row"))
+    return told.withColumn("place", (F.col("run") * mega + F.col("_in")).cast("long")).select(*rows.columns, "run", "rank", "slot", "place")
+
+
 def ordered_union(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys in the order in which they are first seen, the first table before."""
     both = first.select(key, F.col(order), F.lit(0).alias("src")).unionByName(second.select(key, F.col(order), F.lit(1).alias("src")))

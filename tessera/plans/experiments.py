@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import grid as G
+from tessera.operators import importance as I
 from tessera.operators import learned as L
 from tessera.operators import region as R
 from tessera.plans.registry import Registry
@@ -97,6 +98,18 @@ def by_findings(df: DataFrame, share: float = 0.0) -> DataFrame:
     return scaled.withColumn("weight", uniform_mix(F.col("weight"), share))
 
 
+@IMPORTANCE.register("organ_soft")
+def by_organs(df: DataFrame, findings: DataFrame, shape: G.Shape, out: G.Shape, share: float = 0.0) -> DataFrame:
+    """Findings of the organs of masks (vid, t, h, w, class_id), averaged over tokens."""
+    return I.finished(I.pooled(I.organ_counts(df, findings), shape, out), share)
+
+
+@IMPORTANCE.register("attention")
+def by_attention(df: DataFrame, shape: G.Shape, out: G.Shape, share: float = 0.0) -> DataFrame:
+    """Attention (vid, t, h, w, v), averaged over tokens."""
+    return I.finished(I.pooled(df, shape, out), share)
+
+
 @READOUTS.register("mean")
 def mean_readout(df: DataFrame) -> DataFrame:
     return df.groupBy("vid", "c").agg(F.avg("v").alias("v"))
@@ -117,11 +130,10 @@ def multi_attention_readout(df: DataFrame, weights: list[list[float]], gate: tup
 
 @dataclass(frozen=True)
 class Family:
-    """A set of targets that one read-out predicts; log_columns are the targets that are taken by log(1 + scale x)."""
+    """Targets that one read-out predicts, named by the header of their label files; log_columns are taken by log(1 + scale x)."""
 
     name: str
     kind: str
-    targets: tuple[str, ...]
     log_scale: float | None = None
     readout: str = "attention_multi"
     role: str = "primary"
@@ -141,22 +153,23 @@ def register_family(family: Family) -> None:
     FAMILIES[family.name] = family
 
 
-# What the families predict. Targets are named by the label tables' columns.
-for _where in ("", "_abdomen"):
-    register_family(Family(f"disease{_where}", "classify", ("quality", "toxic") if not _where else (), readout="attention"))
-register_family(Family("size", "regress", ("n_chars",), log_scale=1.0))
-register_family(Family("size_abdomen", "regress", ("spleen", "kidney", "aorta")))
-register_family(Family("density", "regress", ("aorta_calc", "vert_median", "lung_mean", "lung_high"), 1000.0, log_columns=(0, 3)))
-register_family(Family("density_abdomen", "regress", ("vert", "muscle", "liver_spleen")))
-register_family(Family("location", "regress", (), role="aux"))
-register_family(Family("location_abdomen", "regress", ("kidney_z", "kidney_lr_asym", "bladder_z")))
-register_family(Family("radiomics", "regress", (), 1.0, log_columns=(0, 1)))
+# Kinds, scales and places of logarithms, and read-outs of the families.
+register_family(Family("disease", "classify", readout="attention"))
+register_family(Family("disease_abdomen", "classify", readout="attention"))
+register_family(Family("size", "regress"))
+register_family(Family("size_abdomen", "regress"))
+register_family(Family("density", "regress", 1000.0, log_columns=(0, 3)))
+register_family(Family("density_abdomen", "regress"))
+register_family(Family("location", "regress", role="aux"))
+register_family(Family("location_abdomen", "regress"))
+register_family(Family("radiomics", "regress", 1.0, log_columns=(0, 1)))
 
 
-def transformed(family: Family, labels: DataFrame) -> DataFrame:
-    """labels with the targets that the family takes by their logarithm; null stays null."""
-    taken = [family.targets[i] for i in family.log_columns if i < len(family.targets)]
-    return labels.withColumns({t: S.log_scaled(F.col(t), family.log_scale or 1.0) for t in taken if t in labels.columns})
+def transformed(family: Family, labels: DataFrame, id_col: str = "vid") -> DataFrame:
+    """labels with the targets that the family takes by their logarithm, by place; null stays null."""
+    names = [c for c in labels.columns if c != id_col]
+    taken = [names[i] for i in family.log_columns if i < len(names)]
+    return labels.withColumns({t: S.log_scaled(F.col(f"`{t}`"), family.log_scale or 1.0) for t in taken})
 
 
 #: Budgets of an encoder that differ from those of the method.
@@ -261,6 +274,33 @@ class Compression(Strict):
         return self
 
 
+class Probe(Strict):
+    """How read-outs are trained: seeds, epochs, and the parameters of tessera.operators.heads.MaskedHead."""
+
+    seeds: list[int] = [0]
+    epochs: int = 10
+    readout: str | None = None
+    hidden: int = 256
+    heads: int = 4
+    steps: int = 1
+    rate: float = 1e-3
+    decay: float = 1e-2
+    clip: float = 1.0
+    plain: bool = False
+    scale: float = 1.0
+
+    @model_validator(mode="after")
+    def known(self) -> Probe:
+        if not self.seeds or len(set(self.seeds)) != len(self.seeds) or self.epochs < 1 or self.steps < 1:
+            raise ValueError("seeds have to differ, epochs and steps to be 1 at least")
+        return self
+
+
+class LabelFiles(Strict):
+    train: str
+    valid: str
+
+
 class Experiment(Strict):
     exp_id: str
     encoder: str
@@ -268,11 +308,15 @@ class Experiment(Strict):
     channels: int = 1
     compression: Compression
     families: list[str] = []
+    probe: Probe = Probe()
+    labels: dict[str, LabelFiles] = {}
 
     @model_validator(mode="after")
     def known(self) -> Experiment:
         if lost := set(self.families) - set(FAMILIES):
             raise ValueError(f"unknown families {sorted(lost)}")
+        if lost := set(self.labels) - set(self.families):
+            raise ValueError(f"labels of families {sorted(lost)}, which aren't run")
         return self
 
     def plan(self, grid: DataFrame, organ: DataFrame | None = None) -> DataFrame:
@@ -314,7 +358,7 @@ def ordered_commands(commands: dict[str, list[str]]) -> list[str]:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Compresses the grids of a Parquet table by a YAML configuration."""
+    """Compresses the grids of a Parquet table by a YAML configuration, or runs its families from end to end."""
     import yaml
 
     parser = argparse.ArgumentParser(description=main.__doc__)
@@ -325,6 +369,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--vid", default="vec_id")
     parser.add_argument("--array", default="embedding")
     parser.add_argument("--organ", help="Parquet with vid, t, h, w, grp and v")
+    parser.add_argument("--run", action="store_true", help="train and score the configuration's families; --grids has a column split, or --valid-grids is given")
+    parser.add_argument("--valid-grids", help="Parquet of the validation split")
     parser.add_argument("--compress-only", action="store_true", help=f"keep the tokens of a shard below {CACHE_ROOT}")
     parser.add_argument("--num-shards", type=int, default=1)
     parser.add_argument("--shard-id", type=int, default=0)
@@ -341,6 +387,15 @@ def main(argv: list[str] | None = None) -> int:
     if told.compress_only:
         compress_shard(spark, experiment, volumes, told.vid, told.array, told.num_shards, told.shard_id, told.split)
         return 0
+    if told.run:
+        from tessera.plans import family_run
+
+        if not told.valid_grids and "split" not in volumes.columns:
+            parser.error("--run needs --valid-grids, or grids with a column split")
+        both = (volumes, spark.read.parquet(told.valid_grids)) if told.valid_grids else [volumes.where(F.col("split") == s) for s in ("train", "valid")]
+        grids = [G.from_arrays(v, told.vid, told.array, experiment.shape, experiment.channels) for v in both]
+        family_run.run(spark, experiment, FAMILIES, *grids, told.out, spark.read.parquet(told.organ) if told.organ else None)
+        return 0
     if "split" in volumes.columns and told.split != "both":
         volumes = volumes.where(F.col("split") == told.split)
     grid = G.from_arrays(volumes, told.vid, told.array, experiment.shape, experiment.channels)

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import html
+import io
 import json
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 POLICIES = {"error": "errorifexists", "skip": "ignore", "overwrite": "overwrite", "append": "append"}
 
 
@@ -18,9 +23,19 @@ def write(df: DataFrame, path: str, policy: str = "error", by: Sequence[str] = (
     df.write.mode(POLICIES[policy]).partitionBy(*by).parquet(path)
 
 
-def append_epoch(df: DataFrame, path: str) -> None:
-    """Metric rows, by seed and epoch; what other seeds wrote stays."""
-    df.write.mode("append").partitionBy("seed", "epoch").parquet(path)
+def append_epoch(df: DataFrame, path: str, anew: bool = False) -> None:
+    """Metric rows, by seed and epoch: those of a seed and epoch take the place of what a former run wrote there.
+
+    anew, for the first epoch of the first seed, starts the log from nothing; otherwise what
+    other seeds and epochs wrote stays. A write that fails leaves the log as it was.
+    """
+    if anew:
+        # Computed before anything is deleted.
+        first = f"{path.rstrip('/')}.first"
+        df.write.mode("overwrite").parquet(first)
+        df.sparkSession.read.schema(df.schema).parquet(first).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("seed", "epoch").parquet(path)
+        return
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed", "epoch").parquet(path)
 
 
 def matrix(rows: DataFrame, cells: int) -> DataFrame:
@@ -34,6 +49,28 @@ def jsonl(df: DataFrame, path: str, policy: str = "error") -> None:
     df.write.mode(POLICIES[policy]).json(path)
 
 
+def npy_files(grids: DataFrame, folder: str) -> DataFrame:
+    """Writes (vid, shape, features) as folder/vid.npy, a float32 array a volume; gives (vid, path).
+
+    The table is lazy: files are written when it is read, and a task that is tried again
+    writes the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for vid, shape, features in zip(batch.column("vid").to_pylist(), batch.column("shape").to_pylist(), batch.column("features"), strict=True):
+                if not vid or "/" in vid:
+                    raise ValueError(f"{vid!r} can't name a file")
+                buffer = io.BytesIO()
+                np.save(buffer, features.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(shape))
+                paths.append(f"{folder.rstrip('/')}/{vid}.npy")
+                files.write_bytes(paths[-1], buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(paths, pa.string())], ["vid", "path"])
+
+    return grids.select("vid", "shape", F.col("features").cast("array<float>").alias("features")).mapInArrow(run, "vid string, path string")
+
+
 def enriched(df: DataFrame, **constants: object) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})
 
