@@ -15,9 +15,12 @@ item has none, so that names of documents are read as plain words too where a wi
 starts, and a capitalised first word of an item or sentence as a name too, unless it is
 one of the OPENERS.
 
-Every item is also joined by its lower-cased words as they stand, so that whole copies are
-found in letters of any case, where names can't be told by their capitals; an item with
-windows of too few plain words also by MATCHED of them, so that copies of numbers and
+Names can't be told by their capitals in a copy that is all lower case or all capitals: an
+item is also read with its names as plain words, as such texts are, and found if it is there
+in whole. A copy with a capital
+on each word reads as long runs of names; in texts with a run of HIDDEN words items are
+also looked for whole by their lower-cased words as they stand. So are, in all texts, items
+with windows of too few plain words, and by MATCHED of them, so that copies of numbers and
 names are found. An item of fewer than SHORT words says too little to be found inside a text: it is looked for as a whole line.
 
 Null and empty texts match nothing, nor do items without a word. A null doc_id or
@@ -41,6 +44,8 @@ WINDOW = 8
 LEAST_WORDS = 4
 #: Where the first word is taken for a name, a window needs so many words that aren't OPENERS.
 TELLING = 2
+#: Texts with so many words in a run are also read without placeholders.
+HIDDEN = 3
 #: Items of fewer words are looked for as whole lines.
 SHORT = 4
 MATCHED = 6
@@ -149,11 +154,12 @@ def line_hashes(text: Column, lengths: list[int]) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of), lambda x: x["h"].isNotNull())
 
 
-def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool, lines: list[int], places: bool = True) -> Column:
+def all_windows(text: Column, lengths: list[int], exact: list[int], hidden: list[int], named: bool, lines: list[int], places: bool = True) -> Column:
     """array<struct<h, at>> of a text: windows of every length, by other readings of their first word too.
 
     Without places it is an array of h alone.
-    exact: the lengths of windows of lower-cased words. named: whether items have a name first.
+    exact: the lengths of windows of lower-cased words; hidden: the same, for texts in which
+    a run of one placeholder hides HIDDEN words. named: whether items have a name first.
     lines: the lengths of items that are whole lines.
     """
     name = F.xxhash64(F.lit(NAME))
@@ -191,6 +197,11 @@ def all_windows(text: Column, lengths: list[int], exact: list[int], named: bool,
         if exact:
             plain = F.transform(raw, lambda t: F.xxhash64(bare(t)))
             parts.append(let(plain, lambda p: F.concat(*[whole(window_hashes(p, n, True)) for n in exact])))
+        if rest := [n for n in hidden if n not in exact]:
+            plain = F.transform(raw, lambda t: F.xxhash64(bare(t)))
+            long_run = F.exists(runs, lambda k: F.coalesce(here(k + 1), F.size(raw)) - here(k) >= HIDDEN)
+            windows = let(plain, lambda p: F.concat(*[whole(window_hashes(p, n, True)) for n in rest]))
+            parts.append(F.when(long_run, windows).otherwise(F.expr(f"cast(array() as array<{'struct<h:bigint,at:int>' if places else 'bigint'}>)")))
         return F.concat(*parts)
 
     def from_raw(raw: Column) -> Column:
@@ -220,9 +231,9 @@ def values_of(raw: Column, starts: Column) -> Column:
 def item_views(benchmark: DataFrame) -> DataFrame:
     """The readings of every item, by a key v: words, values and sizes of runs, and windows.
 
-    There is the plain reading, one with the first word as a name if it may be one, and that
-    in lower case: exact for items that have windows of too few plain words, else only to
-    be matched whole; of short items a line alone.
+    There is the plain reading, one with the first word as a name if it may be one, one with
+    names as plain words (flat), and the lower-cased words: exact for items that have windows
+    of too few plain words, else only to be matched whole; of short items a line alone.
     """
     items = (
         benchmark.select("item_id", tokens_of(F.col("text")).alias("raw"))
@@ -235,10 +246,11 @@ def item_views(benchmark: DataFrame) -> DataFrame:
     items = staged(items, "benchmark-words")
     first_named = ~F.get("plain", F.lit(0)).startswith("<") & may_be_name(F.get("raw", F.lit(0)))
     named = F.concat(F.array(F.lit(NAME)), F.slice("plain", F.lit(2), F.col("n")))
+    flat = canonical(F.transform("raw", F.lower))
     view = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.alias("c"))
     long = F.col("n") >= SHORT
     views = F.array(
-        F.when(long, view("plain", F.col("plain"))), F.when(long & first_named, view("named", named)), F.when(long, view("exact", F.col("low"))).otherwise(view("line", F.col("low")))
+        F.when(long, view("plain", F.col("plain"))), F.when(long & first_named, view("named", named)), F.when(long & (flat != F.col("plain")), view("flat", flat)), F.when(long, view("exact", F.col("low"))).otherwise(view("line", F.col("low")))
     )
     read = (
         items.select("item_id", "raw", "n", F.explode(F.filter(views, lambda x: x.isNotNull())).alias("view"))
@@ -280,13 +292,13 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = windows.count() <= BROADCAST
     hint = F.broadcast if small else lambda df: df
     kinds = [(r["kind"], r["length"]) for r in windows.select("kind", "length").distinct().collect()]
-    lengths = sorted({n for kind, n in kinds if kind in ("plain", "named")}) or [WINDOW]
-    exact, lines = (sorted({n for kind, n in kinds if kind in wanted}) for wanted in (("exact", "whole"), ("line",)))
+    lengths = sorted({n for kind, n in kinds if kind in ("plain", "named", "flat")}) or [WINDOW]
+    exact, whole, lines = (sorted({n for kind, n in kinds if kind == wanted}) for wanted in ("exact", "whole", "line"))
     named = any(kind == "named" for kind, _ in kinds)
     wanted = windows.select("v", "h", "item_at")
 
     def found(places: bool) -> Column:
-        return F.explode(all_windows(F.col("text"), lengths, exact, named, lines, places))
+        return F.explode(all_windows(F.col("text"), lengths, exact, whole, named, lines, places))
 
     touched = docs.select("doc_id", found(False).alias("h")).join(hint(windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     touched = staged(touched.withColumnRenamed("doc_id", "touched_id"), "touched")
@@ -312,7 +324,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hidden = F.aggregate(places, F.lit(0), lambda n, p: n + F.get("sizes", p) - 1)
     pairs = (
         hits.join(hint(items) if small else items, "v")
-        .where((F.size("matched") >= F.size("windows")) | (F.col("kind") != "whole") & (F.size("matched") + hidden >= MATCHED))
+        .where((F.size("matched") >= F.size("windows")) | ~F.col("kind").isin("flat", "whole") & (F.size("matched") + hidden >= MATCHED))
         .join(some.select("r", "row", "doc_id", "runs"), "r")
     )
 
