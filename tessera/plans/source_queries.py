@@ -28,14 +28,14 @@ def weighted(column: str):
 
 
 @query("""SELECT vec_id::VARCHAR AS vid, CASE WHEN vec_id % 3 = 0 THEN 'valid' ELSE 'train' END AS split, len(embedding)::INT AS n,
-round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6) AS total FROM embeddings""")
+round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 5) AS total FROM embeddings""")
 def s3_stacked_scan(spark, sf_dir):
     manifest = f"{new_folder(spark, 'stacked')}/manifest.json"
     rows = vectors(spark, sf_dir)
     stacked.write_stacked(rows.where("vec_id % 3 <> 0"), manifest, (64, 1), "train", gridShape="4,4,4")
     stacked.write_stacked(rows.where("vec_id % 3 = 0"), manifest, (64, 1), "valid", gridShape="4,4,4")
     read = [stacked.stacked(spark, manifest, s).withColumn("split", F.lit(s)) for s in ("train", "valid")]
-    return read[0].unionByName(read[1]).select("vid", "split", F.size("features").alias("n"), F.round(weighted("features"), 6).alias("total"))
+    return read[0].unionByName(read[1]).select("vid", "split", F.size("features").alias("n"), F.round(weighted("features"), 5).alias("total"))
 
 
 CODES = "SELECT vec_id, unnest(embedding) AS x FROM embeddings"
@@ -53,20 +53,20 @@ def s2_codebook_scan(spark, sf_dir):
 
 
 @query("""SELECT vec_id::VARCHAR AS vid, [2, 2, 2, 8]::INT[] AS shape,
-round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((i - 1) % 8 * 8 + (i - 1) // 8 + 1))), 6) AS total FROM embeddings""")
+round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((i - 1) % 8 * 8 + (i - 1) // 8 + 1))), 5) AS total FROM embeddings""")
 def s4_token_shards(spark, sf_dir):
     """Tensors of [8, 2, 2, 2] in shards, read as [2, 2, 2, 8]."""
     folder = new_folder(spark, "shards")
     shards.write_token_shards(vectors(spark, sf_dir), folder, "train", (8, 2, 2, 2)).write.json(f"{folder}/index")
     read = shards.token_shards(shards.token_index(spark, f"{folder}/index"), folder, channels=8)
-    return read.select("vid", "shape", F.round(weighted("features"), 6).alias("total"))
+    return read.select("vid", "shape", F.round(weighted("features"), 5).alias("total"))
 
 
 BINS = "(VALUES (0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)) AS {0}(o{0}, i{0})"
 CELLS = "SELECT vec_id::VARCHAR AS vid, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings"
 MAPS = f"""pooled AS (SELECT kind, vid, ot AS t, oh AS h, ow AS w, avg(v) AS v FROM cells JOIN {BINS.format("t")} ON it = i // 16
 JOIN {BINS.format("h")} ON ih = i // 4 % 4 JOIN {BINS.format("w")} ON iw = i % 4 GROUP BY ALL)
-SELECT kind, vid, t::INT AS t, h::INT AS h, w::INT AS w, round(0.75 * v * count(*) OVER k / sum(v) OVER k + 0.25, 6) AS weight FROM pooled WINDOW k AS (PARTITION BY kind, vid)"""
+SELECT kind, vid, t::INT AS t, h::INT AS h, w::INT AS w, round(0.75 * v * count(*) OVER k / sum(v) OVER k + 0.25, 5) AS weight FROM pooled WINDOW k AS (PARTITION BY kind, vid)"""
 
 
 @query(f"WITH c AS ({CELLS}), cells AS (SELECT 'last' AS kind, vid, i, x * x AS v FROM c UNION ALL SELECT 'all', vid, i, abs(x) FROM c), {MAPS}")
@@ -75,7 +75,7 @@ def x8_attention_importance(spark, sf_dir):
     root, grids = new_folder(spark, "attention"), vectors(spark, sf_dir)
     made = None
     for kind, value in (("last", lambda x: x * x), ("all", lambda x: F.abs(x))):
-        maps = grids.select("vid", F.array(*map(F.lit, (4, 4, 4))).alias("shape"), F.transform("features", lambda x, f=value: f(x.cast("double"))).alias("features"))
+        maps = grids.select("vid", F.array(*map(F.lit, (4, 4, 4))).alias("shape"), F.transform(F.col("features").cast("array<double>"), value).alias("features"))
         writers.npy_files(maps, f"{root}/train/attn_received/{kind}").write.format("noop").mode("overwrite").save()
         before = spark.conf.get(I.ATTENTION_VARIANT, None)
         spark.conf.set(I.ATTENTION_VARIANT, kind)
@@ -85,7 +85,7 @@ def x8_attention_importance(spark, sf_dir):
             spark.conf.set(I.ATTENTION_VARIANT, before) if before else spark.conf.unset(I.ATTENTION_VARIANT)
         part = E.IMPORTANCE.apply("attention", scores, shape=(4, 4, 4), out=(3, 3, 3), share=0.25).withColumn("kind", F.lit(kind))
         made = part if made is None else made.unionByName(part)
-    return made.select("kind", "vid", "t", "h", "w", F.round("weight", 6).alias("weight"))
+    return made.select("kind", "vid", "t", "h", "w", F.round("weight", 5).alias("weight"))
 
 
 @query(f"""WITH c AS ({CELLS}), n AS (SELECT n_regionkey AS k, count(*) AS n FROM nation WHERE n_nationkey % 6 > 0 GROUP BY ALL),
@@ -99,4 +99,4 @@ def x4_organ_importance(spark, sf_dir):
     )
     findings = table(spark, sf_dir, "nation").where("n_nationkey % 6 > 0").select(F.col("n_nationkey").alias("finding"), F.col("n_regionkey").cast("int").alias("class_id"))
     made = E.IMPORTANCE.apply("organ_soft", cells, findings=findings, shape=(4, 4, 4), out=(3, 3, 3), share=0.25)
-    return made.select(F.lit("organ").alias("kind"), "vid", "t", "h", "w", F.round("weight", 6).alias("weight"))
+    return made.select(F.lit("organ").alias("kind"), "vid", "t", "h", "w", F.round("weight", 5).alias("weight"))

@@ -317,17 +317,17 @@ OPEN = "list_transform(sums, lambda s, j: CASE WHEN taken[j] < 4 THEN s ELSE 100
 
 
 @query(f"""WITH RECURSIVE k AS (SELECT doc_id, n_chars AS len, doc_id % 4 <> 0 AS one, ('0x' || substr(md5(doc_id || ':5'), 1, 12))::BIGINT AS h FROM documents),
-a AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY h, doc_id) - 1 AS at FROM k),
+a AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY h, doc_id) - 1 AS seq FROM k),
 n AS (SELECT one, (count(*) + 15) // 16 - 1 AS last FROM k GROUP BY one),
 m AS (SELECT one, unnest(range(last)) AS part FROM n),
 s AS (SELECT one, part, row_number() OVER (ORDER BY ('0x' || substr(md5(one::INT || ':' || part || ':5'), 1, 12))::BIGINT, part * 2 + one::INT) - 1 AS run FROM m),
-u AS (SELECT a.*, run FROM a JOIN s ON a.one = s.one AND at // 16 = part),
-o AS (SELECT doc_id, run, len, row_number() OVER (PARTITION BY run ORDER BY len DESC, at) AS i FROM u),
+u AS (SELECT a.doc_id, a.len, a.seq, run FROM a JOIN s ON a.one = s.one AND seq // 16 = part),
+o AS (SELECT doc_id, run, len, row_number() OVER (PARTITION BY run ORDER BY len DESC, seq) AS i FROM u),
 g AS (SELECT run, 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS sums, [0, 0, 0, 0]::BIGINT[] AS taken, NULL::BIGINT AS doc_id, NULL::BIGINT AS best FROM s
 UNION ALL SELECT run, i, list_transform(sums, lambda x, j: x + CASE WHEN j = best THEN len ELSE 0 END), list_transform(taken, lambda x, j: x + CASE WHEN j = best THEN 1 ELSE 0 END), doc_id, best
 FROM (SELECT g.run, o.i, o.doc_id, len, sums, taken, list_position({OPEN}, list_min({OPEN})) AS best FROM g JOIN o ON g.run = o.run AND o.i = g.i + 1)),
 z AS (SELECT doc_id, run, best - 1 AS rank, taken[best] - 1 AS slot FROM g WHERE i > 0),
-e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, (SELECT sum(last)::BIGINT FROM n) AS run FROM a JOIN n USING (one) WHERE at // 16 = last)
+e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, (SELECT sum(last)::BIGINT FROM n) AS run FROM a JOIN n USING (one) WHERE seq // 16 = last)
 SELECT doc_id, run, rank::INT AS rank, slot::INT AS slot, run * 16 + rank * 4 + slot AS place FROM z
 UNION ALL SELECT doc_id, run, (i % 4)::INT, (i // 4)::INT, run * 16 + i FROM e""")
 def t11_length_groups(spark, sf_dir):
