@@ -15,10 +15,12 @@ points, or, without those, most of the points (a form: and two paragraphs of pro
 comments: only a <main>), nor if nothing would be left. Plain sections of an article and
 inline elements are cut by few and whole names.
 
+Names of comments, of paragraphs and of sections of an article count only as a whole.
+
 A null or empty page, and a page without text, gives the empty text. Markup may be
 unclosed, cut off or nested wrongly. Rows are independent, so repeated rows give repeated
 results; only the three named columns are read, and an empty table gives an empty one. A page is held by one task at a time, in
-memory that is linear in its length; nothing of a page is capped.
+memory and time that are linear in its length; nothing of a page is capped.
 """
 
 from __future__ import annotations
@@ -57,15 +59,22 @@ CUT_ROLES = frozenset(
 CUT_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|notice\w*|"
     r"popup|modal|overlay|newsletter|subscri\w*|signup|sidebar\w*|side|aside|menu\w*|nav\w*|breadcrumb\w*|"
-    r"footer\w*|foot|masthead|comments?\w*|disqus\w*|respond|replies|reply|discussion|social\w*|shar(?:e|ing)\w*|"
+    r"footer\w*|foot|masthead|social\w*|shar(?:e|ing)\w*|"
     r"related\w*|recommend\w*|pagination|pager|toolbar|skip\w*|login|search\w*|widget\w*|tags?|hidden|"
     r"site-header|page-header|header)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 #: Class names that say what stands beside an element, or how it flows.
 MODIFIER = re.compile(r"(?:has|no|with|without|overflow)[_-].*|.*[_-](?:has|no|with|without)[_-].*", re.IGNORECASE)
-#: Words that name readers' comments: no element of such a name is the page for its points.
-COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?\w*|disqus\w*|respond|replies|reply|discussion)(?:$|[\s_-])", re.IGNORECASE)
+#: Whole names of readers' comments: no element of such a name is the page for its points.
+COMMENT_NAMES = re.compile(
+    r"(?:(?:post|article|page|entry|blog|site|user|reader|guest|fb|facebook|the|all)[_-])?"
+    r"(?:comments?|comment-?lists?|disqus\w*|respond|replies|reply|discussion)"
+    r"(?:[_-]?(?:section|area|lists?|threads?|wrapper|wrap|container|box|form|block|body|content|items?|feed|inner|title|header|text|author|meta|\d+))*",
+    re.IGNORECASE,
+)
+#: Names that stand for parts of a text inside an article.
+OWN_PARTS = re.compile(r"discussion|related[_-](?:work|works|research|stud(?:y|ies)|literature|concepts?|topics?)", re.IGNORECASE)
 #: Whole names by which a <section> of an article is cut.
 SECTION_NAMES = re.compile(
     r"(?:comments?|disqus|respond|replies|ads?|advert\w*|adsense|sponsor(?:s|ed)?|promo|cookies?|gdpr|popup|modal|newsletter|"
@@ -73,6 +82,12 @@ SECTION_NAMES = re.compile(
     r"(?:related|recommended)[_-](?:posts?|articles?|links?|stories|content))(?:[_-](?:section|area|list|wrapper|container|box|bar))?",
     re.IGNORECASE,
 )
+#: Whole names by which a paragraph is cut.
+PARAGRAPH_NAMES = re.compile(
+    r"notice|menu|tags?|hidden|(?:cookies?|consent|privacy|gdpr|site|ads?|advert\w*|sponsor\w*|promo\w*|newsletter|subscri\w*|skip|share|social|login|search|footer)"
+    r"[_-](?:notice|banner|bar|box|message|text|label|note|links?|info|line|nav|to[_-]content|to[_-]main|disclaimer)",
+    re.IGNORECASE,
+)
 MOST_OF_POINTS = 0.5
 KEEP = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -130,12 +145,17 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
     if tag in HEADINGS or tag in ("a", "b", "i", "em", "strong"):
         return 0
     names = told.get("class", "") if tag == "p" else f"{told.get('class', '')} {told.get('id', '')}"
-    names = " ".join(x for x in names.split() if not MODIFIER.fullmatch(x))
+    each = [x for x in names.split() if not MODIFIER.fullmatch(x) and not (in_article and OWN_PARTS.fullmatch(x))]
     if tag in INLINE or tag == "section" and in_article:
-        return BY_NAME if any(SECTION_NAMES.fullmatch(x) for x in names.split()) else 0
-    if not CUT_WORDS.search(names) or tag != "p" and in_article and re.search(r"(?:^|[\s_-])header", names) and "site" not in names:
+        return BY_NAME if any(map(SECTION_NAMES.fullmatch, each)) else 0
+    if any(map(COMMENT_NAMES.fullmatch, each)):
+        return COMMENTS
+    if tag == "p":
+        return BY_NAME if any(SECTION_NAMES.fullmatch(x) or PARAGRAPH_NAMES.fullmatch(x) for x in each) else 0
+    names = " ".join(each)
+    if not CUT_WORDS.search(names) or in_article and re.search(r"(?:^|[\s_-])header", names) and "site" not in names:
         return 0
-    return COMMENTS if COMMENT_WORDS.search(names) else BY_NAME
+    return BY_NAME
 
 
 def _points(text: str, links: int) -> float:
@@ -151,12 +171,16 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
         # Comments first: their <article>s aren't the page's.
+        every = self.blocks
         for why in (COMMENTS, FORM, BY_NAME):
-            if why in self.named:
-                self._cut_by_name(why)
-
-    def _cut_by_name(self, why: int) -> None:
-        """Drops the blocks of elements that are cut by name, but for those that hold the page."""
+            if why in self.named and not self._cut_by_name(why) and why == BY_NAME and len(every) > len(self.blocks):
+                # What is named after comments or a form rather than a footer or a menu.
+                rest, self.blocks = self.blocks, every
+                if not self._cut_by_name(why):
+                    self.blocks = rest
+
+    def _cut_by_name(self, why: int) -> bool:
+        """Whether anything is left but for what is named, or why is another than BY_NAME. Drops the blocks of elements that are cut by name, but for those that hold the page."""
         parent, tag, n = self.parent, self.tag, len(self.parent)
         points, filled, mains, articles, prose = [0.0] * n, [False] * n, [0] * n, [0] * n, [0] * n
         for x, text, links in self.blocks:
@@ -183,32 +207,41 @@ class Page:
         left = [b for b in self.blocks if not gone[b[0]]]
         if left or why != BY_NAME:
             self.blocks = left
+            return True
+        return False
 
     def _read(self, html: str) -> None:
         stack, parts, links = [0], [], 0
+        # By depth: the nearest element that holds text of its own, and its depth. By name: the depths of what is open.
+        holders, depths, opened = [0], [0], {}
         parent, tag, cut = self.parent, self.tag, self.cut
         in_link, articles, at, end = 0, 0, 0, len(html)
 
-        def holder() -> int:
-            for x in reversed(stack):
-                if tag[x] not in INLINE:
-                    return x
-            return 0
-
         def flush() -> None:
             nonlocal parts, links
             if parts:
                 text = " ".join(unescape("".join(parts)).split())
                 if text:
-                    self.blocks.append((holder(), text, links))
+                    self.blocks.append((holders[-1], text, links))
                 parts, links = [], 0
 
         def pop() -> None:
             nonlocal in_link, articles
             x = stack.pop()
+            holders.pop()
+            depths.pop()
+            opened[tag[x]].pop()
             in_link -= tag[x] == "a"
             articles -= tag[x] in ("article", "main")
 
+        def depth_of(name: str) -> int:
+            """Of the innermost open element of the name, 0 if there is none."""
+            return opened[name][-1] if opened.get(name) else 0
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                pop()
+
         while at < end:
             m = MARKUP.search(html, at)
             text = html[at : m.start()] if m else html[at:]
@@ -230,24 +263,17 @@ class Page:
             if m[1] or m[4]:
                 if name in VOID:
                     continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] == name:
-                        while len(stack) > depth:
-                            pop()
-                        break
-                    if inline and tag[stack[depth]] not in INLINE:
-                        break
+                # An inline element is closed only within the block that it is in.
+                depth = depth_of(name)
+                if depth > (depths[-1] if inline else 0):
+                    close(depth)
                 continue
             for closed in CLOSES.get(name, ()):
-                walls = WALLS.get(name, ANY_WALL if closed == "p" else ())
-                for depth in range(len(stack) - 1, 0, -1):
-                    x = tag[stack[depth]]
-                    if x == closed:
-                        while len(stack) > depth:
-                            pop()
-                        break
-                    if x in walls or closed == "p" and x in ANY_WALL:
-                        break
+                depth = depth_of(closed)
+                if depth:
+                    walls = WALLS.get(name, ())
+                    if depth > max(map(depth_of, (*walls, *ANY_WALL) if closed == "p" else walls), default=0):
+                        close(depth)
             if name in VOID:
                 continue
             attributes = m[3] or m[6] or ""
@@ -258,12 +284,15 @@ class Page:
             cut.append(cut[stack[-1]] or why == CERTAIN or why > 0 and inline)
             self.named.append(0 if cut[-1] else why)
             if name in RAW:
-                close = re.compile(f"</{name}\\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = close.end() if close else end
+                last = re.compile(f"</{name}\\b[^>]*>", re.IGNORECASE).search(html, at)
+                at = last.end() if last else end
                 continue
             if attributes.rstrip().endswith("/") and name in ("svg", "path"):
                 continue
             stack.append(len(parent) - 1)
+            opened.setdefault(name, []).append(len(stack) - 1)
+            holders.append(holders[-1] if inline else stack[-1])
+            depths.append(depths[-1] if inline else len(stack) - 1)
             in_link += name == "a"
             articles += name in ("article", "main")
         flush()
@@ -299,7 +328,8 @@ class Page:
         if y >= 0:
             best = y
         elif tag[best] not in ("body", "html", "#root"):
-            best, far = self._climbed(best, score, lambda x: linked[x] / size[x] < PROSE_LINKS)
+            prose = {parent[x] for x, t, _ in self.blocks if tag[x] == "p" and len(t) > LONG_PROSE}
+            best, far = self._climbed(best, score, lambda x: linked[x] / size[x] < PROSE_LINKS, prose)
             kept |= far
         kept.add(best)
         if tag[best] not in ("body", "html", "#root"):
@@ -317,7 +347,7 @@ class Page:
         return "\n".join(text for x, text, _ in self.blocks if inside[x])
 
 
-    def _climbed(self, best: int, score: Callable[[int], float], few: Callable[[int], bool]) -> tuple[int, set[int]]:
+    def _climbed(self, best: int, score: Callable[[int], float], few: Callable[[int], bool], prose: set[int]) -> tuple[int, set[int]]:
         """The highest element below the body that holds best and others nearly as good, and
         the children of body, html and root that hold more of those."""
         parent, tag, n = self.parent, self.tag, len(self.parent)
@@ -326,6 +356,8 @@ class Page:
             above.add(y)
             y = parent[y]
         top, far = best, set()
+        #: By element above best: the name of its child that holds best.
+        beside = {parent[x]: tag[x] for x in above if x}
         # By element: the nearest element around it that holds best, and the child of that it is in.
         meets, branch = list(range(n)), list(range(n))
         for x in range(1, n):
@@ -334,7 +366,9 @@ class Page:
             y = parent[x]
             meets[x], branch[x] = (y, x) if y in above else (meets[y], branch[y])
             at = meets[x]
-            if at < best and 0 < NEARLY * score(best) <= score(x) and few(x):
+            # A section beside the one that holds best is a part of the same text if it has prose, however short.
+            section = x in prose and tag[branch[x]] == "section" == beside.get(at)
+            if at < best and (0 < NEARLY * score(best) <= score(x) or section and score(x) > 0) and few(x):
                 if tag[at] in ("body", "html", "#root"):
                     far.add(branch[x])
                 else:

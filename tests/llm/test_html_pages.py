@@ -1,6 +1,7 @@
 """Varied pages whose main text is known: layouts, wrappers, noise and blocks are drawn by a seed."""
 
 import random
+import time
 from html import escape
 
 import pytest
@@ -114,3 +115,55 @@ def test_nothing_but_what_names_cut_is_kept():
 
 def test_an_empty_table(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string, n_chars int")).collect() == []
+
+
+LINE = "This paragraph has more than eighty characters, a comma or two, and says number %d of what the article has to say."
+
+
+@pytest.mark.parametrize("name", ["comments-closed", "post reply-style", "comment-status-open no-comments", "skip-me", "shared-desk"])
+def test_names_that_only_hold_a_word_of_what_is_cut(name):
+    body = "".join(f"<p>{LINE % k}</p>" for k in range(3))
+    html = f'<body><div class="{name}">{body}</div><div id="footer"><p>{LINE % 9}</p></div></body>'
+    assert H.main_text(html) == "\n".join(LINE % k for k in range(3))
+
+
+def test_parts_of_an_article_named_after_what_is_cut():
+    parts = '<div class="discussion"><h2>Discussion</h2><p>{0}</p></div><div id="related-work"><h2>Related work</h2><p>{1}</p></div>'
+    html = f'<body><article><p>{LINE % 0}</p>{parts.format(LINE % 1, LINE % 2)}<div class="comments"><p>{LINE % 8}</p></div></article></body>'
+    assert H.main_text(html) == "\n".join([LINE % 0, "Discussion", LINE % 1, "Related work", LINE % 2])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "commentlist", "disqus_thread", "discussion", "comment-17", "reader-comments section"])
+def test_comments_are_cut(name):
+    html = f'<body><main><p>{LINE % 0}</p></main><div class="{name}">' + "".join(f"<p>{LINE % k}</p>" for k in range(1, 6)) + "</div></body>"
+    assert H.main_text(html) == LINE % 0
+    plain = f'<body><div class="text"><p>{LINE % 0}</p><p>{LINE % 1}</p></div><div id="{name.split()[0]}"><p>{LINE % 3}</p></div></body>'
+    assert H.main_text(plain) == "\n".join([LINE % 0, LINE % 1])
+
+
+def test_short_sections_stay():
+    long_ = "<section>" + "".join(f"<p>{LINE % k}</p>" for k in range(12)) + "</section>"
+    html = f'<body><div id="content">{long_}<section><p>{LINE % 12}</p></section></div></body>'
+    assert H.main_text(html) == "\n".join(LINE % k for k in range(13))
+
+
+def test_paragraphs_of_other_names():
+    html = f'<body><article><p>{LINE % 0}</p><p class="note skip-me">{LINE % 1}</p><p class="cookie-notice">{LINE % 2}</p><p class="ad">{LINE % 3}</p></article></body>'
+    assert H.main_text(html) == "\n".join([LINE % 0, LINE % 1])
+
+
+@pytest.mark.parametrize("piece", ["<div>x</p>", '<a b="', "<a '\" ", "<b><div>x</div>", "<span><div>x", "<li><span>x", "</i><b>x", "<td>x</tr>", "<p><i>x</p>", "<!-- x", "<script>x"])
+def test_malformed_long_pages_take_linear_time(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        H.main_text(f"<body><p>{LINE % 1}</p>" + piece * n)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(32_000) < 40 * max(0.01, min(seconds(2_000) for _ in range(3)))
+
+
+def test_page_of_five_megabytes():
+    body = "".join(f"<p>{LINE % k}</p>\n" for k in range(42_000))
+    html = f"<html><body><nav>menu</nav><article>{body}</article><footer>end</footer></body></html>"
+    assert len(html) > 5_000_000 and H.main_text(html) == "\n".join(LINE % k for k in range(42_000))
