@@ -205,6 +205,14 @@ def mean_one(df: DataFrame, by: str = "vid", weight: str = "weight") -> DataFram
     return df.withColumn(weight, scaled)
 
 
+def masked_mean(cells: DataFrame, by: Sequence[str] = ("vid",), value: str = "v", mask: str = "mask", least: float = 1e-6) -> DataFrame:
+    """Mean of value weighted by mask, over `least` of weight at least; a mask that is empty throughout is an error."""
+    total = F.sum(F.coalesce(F.col(mask).cast("double"), F.lit(0.0)))
+    summed = cells.groupBy(*by).agg(F.sum(F.col(value) * F.col(mask)).alias("_s"), total.alias("_m"))
+    mean = F.when(F.col("_m") > 0, F.col("_s") / F.greatest("_m", F.lit(least))).otherwise(F.raise_error(F.lit("a mask is empty")))
+    return summed.select(*by, mean.alias(value))
+
+
 def class_fraction(cells: DataFrame, classes: Sequence[int], factor: Shape) -> DataFrame:
     """Share of each class among the cells of a block, zero included."""
     shares = [F.avg(F.when(F.col("class_id") == k, 1.0).otherwise(0.0)).alias(f"class_{k}") for k in classes]

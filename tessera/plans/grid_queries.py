@@ -184,6 +184,15 @@ def j17_neighbours(spark, sf_dir):
     return G.neighbours(grid(spark, sf_dir), SHAPE)
 
 
+@query("""WITH p AS (SELECT vec_id AS vid, unnest(range(64)) AS a FROM embeddings), d AS (SELECT *, unnest([-16, -4, -1, 1, 4, 16]) AS d FROM p)
+SELECT vid, a::INT AS a, string_agg((a + d)::VARCHAR, ',' ORDER BY a + d) AS near FROM d WHERE a + d BETWEEN 0 AND 63 AND abs(d) >= 16
+OR abs(d) = 4 AND a // 16 = (a + d + 64) // 16 - 4 OR abs(d) = 1 AND a // 4 = (a + d + 64) // 4 - 16 GROUP BY vid, a""")
+def j17_neighbour_lists(spark, sf_dir):
+    """The neighbours of each cell as one text, by places alone in SQL."""
+    near = G.neighbours(grid(spark, sf_dir), SHAPE).groupBy("vid", "a").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return near.select("vid", F.col("a").cast("int").alias("a"), F.array_join("b", ",").alias("near"))
+
+
 @query(f"WITH {GRID} SELECT vid, pos, round(abs(v) * 64 / sum(abs(v)) OVER (PARTITION BY vid), 6) AS weight FROM g")
 def a28_mean_one(spark, sf_dir):
     cells = grid(spark, sf_dir).select("vid", G.position(SHAPE).alias("pos"), F.abs("v").alias("weight"))
@@ -402,8 +411,7 @@ def a33_split_reconstruction(spark, sf_dir):
 
 @query(f"""WITH {GRID} SELECT vid, round(sum(v * greatest(v, 0)) / greatest(sum(greatest(v, 0)), 1e-6), 6) AS v FROM g GROUP BY vid""")
 def a29_mask_mean(spark, sf_dir):
-    m = F.greatest("v", F.lit(0.0))
-    return rounded(grid(spark, sf_dir).groupBy("vid").agg((F.sum(F.col("v") * m) / F.greatest(F.sum(m), F.lit(1e-6))).alias("v")))
+    return rounded(G.masked_mean(grid(spark, sf_dir).withColumn("mask", F.greatest("v", F.lit(0.0))), ["vid"]))
 
 
 @query(f"""WITH {GRID} SELECT vid, round(avg(v), 6) AS mean, arg_max(v, pos) AS last FROM g WHERE v > -0.05 GROUP BY vid""")

@@ -10,7 +10,7 @@ from tessera.operators import importance as I
 from tessera.plans import experiments as E
 from tessera.plans.registry import query, table
 from tessera.sources import readers as R
-from tessera.sources import shards, stacked, writers
+from tessera.sources import bundles, shards, stacked, writers
 from tessera.sources.files import shared_folder
 
 
@@ -69,7 +69,7 @@ JOIN {BINS.format("h")} ON ih = i // 4 % 4 JOIN {BINS.format("w")} ON iw = i % 4
 SELECT kind, vid, t::INT AS t, h::INT AS h, w::INT AS w, round(0.75 * v * count(*) OVER k / sum(v) OVER k + 0.25, 5) AS weight FROM pooled WINDOW k AS (PARTITION BY kind, vid)"""
 
 
-@query(f"WITH c AS ({CELLS}), cells AS (SELECT 'last' AS kind, vid, i, x * x AS v FROM c UNION ALL SELECT 'all', vid, i, abs(x) FROM c), {MAPS}")
+@query(f"WITH c AS ({CELLS}), cells AS (SELECT 'last' AS kind, vid, i, (x * x)::FLOAT::DOUBLE AS v FROM c UNION ALL SELECT 'all', vid, i, abs(x) FROM c), {MAPS}")
 def x8_attention_importance(spark, sf_dir):
     """Two kinds of attention maps in files, chosen by the session's setting; 4 x 4 x 4 cells to 3 x 3 x 3 tokens."""
     root, grids = new_folder(spark, "attention"), vectors(spark, sf_dir)
@@ -100,3 +100,28 @@ def x4_organ_importance(spark, sf_dir):
     findings = table(spark, sf_dir, "nation").where("n_nationkey % 6 > 0").select(F.col("n_nationkey").alias("finding"), F.col("n_regionkey").cast("int").alias("class_id"))
     made = E.IMPORTANCE.apply("organ_soft", cells, findings=findings, shape=(4, 4, 4), out=(3, 3, 3), share=0.25)
     return made.select(F.lit("organ").alias("kind"), "vid", "t", "h", "w", F.round("weight", 5).alias("weight"))
+
+
+LISTING = "'corpus/' || CASE WHEN doc_id % 2 = 0 THEN 'compressed/' ELSE 'whole/' END || lang || '/x_b' || [8, 27, 216][1 + doc_id % 3] || '_d1/' || source || '/' || doc_id || '.npy'"
+
+
+@query(f"""WITH l AS (SELECT {LISTING} AS path, n_chars AS bytes FROM documents),
+m AS (SELECT 'compressed' AS bundle, path, bytes, 'data/embeddings/' || substr(path, 19) AS target FROM l WHERE path LIKE 'corpus/compressed/%/x_b27_d1/%'
+UNION ALL SELECT 'whole', path, bytes, 'data/whole/' || substr(path, 14) FROM l WHERE path LIKE 'corpus/whole/%' UNION ALL SELECT 'german', path, bytes, 'data/' || substr(path, 17) FROM l WHERE path LIKE 'corpus/whole/de/%')
+SELECT bundle, path, bytes::BIGINT AS bytes, target FROM m""")
+def x9_bundle_members(spark, sf_dir):
+    """Documents as files of a store; a set of bundles, narrowed to one budget where its patterns can be."""
+    name = F.concat(
+        F.lit("corpus/"), F.when(F.col("doc_id") % 2 == 0, "compressed/").otherwise("whole/"), "lang", F.lit("/x_b"),
+        F.element_at(F.array(*map(F.lit, (8, 27, 216))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit("_d1/"), "source", F.lit("/"), "doc_id", F.lit(".npy"),
+    )
+    listing = table(spark, sf_dir, "documents").select(name.alias("path"), F.col("n_chars").cast("long").alias("bytes"))
+    known = {
+        "compressed": bundles.Bundle(("corpus/compressed/{encoder}/*_b{budget}_*/**",), "data/embeddings", 1.0),
+        "whole": bundles.Bundle(("corpus/whole/{encoder}/**", "corpus/whole/*/x_*/**"), "data/whole/", 2.0),
+        "german": bundles.Bundle(("corpus/whole/de/**/*.npy",), "data", 0.5),
+        "other": bundles.Bundle(("other/**",), "data", 0.5),
+    }
+    names = bundles.resolved(known, {"all_whole": ["whole", "german"], "asked": ["compressed", "all_whole"]}, ["asked"])
+    told = bundles.bundle_table(spark, known, names, budget=27)
+    return bundles.bundle_members(listing, told)
