@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.functions.texts import aligned, runs_of
 from tessera.operators.tables import running
 
 
@@ -267,30 +268,19 @@ def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
     return pairs.select("id", "generated", "reference").mapInPandas(run, f"id {kind}, rouge_l double")
 
 
-def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
-    """METEOR of (id, generated, reference) by exact words: no stems, no synonyms."""
+def meteor(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, stems: bool = True) -> DataFrame:
+    """METEOR of (id, generated, reference) by equal words, then by equal stems; no synonyms.
+
+    Words are paired as often as they can be, in the fewest runs (see functions.texts).
+    """
 
     def score(a: str | None, b: str | None) -> float:
         x, y = (a or "").lower().split(), (b or "").lower().split()
-        places: dict[str, list[int]] = {}
-        for j, w in enumerate(y):
-            places.setdefault(w, []).append(j)
-        matched: list[int] = []
-        runs, last = 0, None
-        for w in x:
-            free = places.get(w)
-            if not free:
-                last = None
-                continue
-            j = last + 1 if last is not None and last + 1 in free else free[0]
-            free.remove(j)
-            runs += last is None or j != last + 1
-            matched.append(j)
-            last = j
+        matched = aligned(x, y, stems)
         if not matched:
             return 0.0
         p, r = len(matched) / len(x), len(matched) / len(y)
-        return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (runs / len(matched)) ** beta)
+        return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (runs_of(matched) / len(matched)) ** beta)
 
     def run(frames):
         for frame in frames:

@@ -365,6 +365,17 @@ def m9_meteor(spark, sf_dir):
     return rounded(M.meteor(neighbours(spark, sf_dir)), "meteor")
 
 
+@query(f"""WITH {_NEXT}, u AS (SELECT id, list_filter(g, lambda w, i: list_position(g, w) = i) AS g, list_filter(r, lambda w, i: list_position(r, w) = i) AS r FROM p),
+m AS (SELECT id, i, list_position(r, g[i]) AS j FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM u) WHERE list_contains(r, g[i])),
+s AS (SELECT id, count(*) AS m, count_if(lag_i IS NULL OR lag_i <> i - 1 OR lag_j <> j - 1) AS runs FROM (SELECT *, lag(i) OVER w AS lag_i, lag(j) OVER w AS lag_j FROM m WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY id)
+SELECT u.id, round(coalesce((m / len(g)) * (m / len(r)) / (0.9 * m / len(g) + 0.1 * m / len(r)) * (1 - 0.5 * (runs / m) ** 3), 0), 6) AS meteor FROM u LEFT JOIN s USING (id)""")
+def m9_meteor_exact(spark, sf_dir):
+    """The stage of equal words, of texts in which each word counts once, so that there is one alignment."""
+    once = lambda c: F.array_join(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")), " ")
+    pairs = neighbours(spark, sf_dir).withColumns({c: once(c) for c in ("generated", "reference")})
+    return rounded(M.meteor(pairs, stems=False), "meteor")
+
+
 @query(f"""WITH {_NEXT}, n AS (SELECT unnest([1, 2, 3, 4]) AS n),
 g AS (SELECT id, n, x, count(*) AS g FROM (SELECT id, n, unnest(list_transform(range(1, len(g) - n + 2), lambda i: array_to_string(g[i:i + n - 1], ' '))) AS x FROM p, n) GROUP BY ALL),
 r AS (SELECT id, n, x, count(*) AS r FROM (SELECT id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS x FROM p, n) GROUP BY ALL),
