@@ -52,14 +52,14 @@ def s2_codebook_scan(spark, sf_dir):
     return R.codebook_grids(codes, book).groupBy("vid", "entry").agg(F.count("*").alias("cells"))
 
 
-@query("""SELECT vec_id::VARCHAR AS vid, [2, 2, 2, 8]::INT[] AS shape,
+@query("""SELECT vec_id::VARCHAR AS vid, '2,2,2,8' AS shape,
 round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((i - 1) % 8 * 8 + (i - 1) // 8 + 1))), 5) AS total FROM embeddings""")
 def s4_token_shards(spark, sf_dir):
     """Tensors of [8, 2, 2, 2] in shards, read as [2, 2, 2, 8]."""
     folder = new_folder(spark, "shards")
     shards.write_token_shards(vectors(spark, sf_dir), folder, "train", (8, 2, 2, 2)).write.json(f"{folder}/index")
     read = shards.token_shards(shards.token_index(spark, f"{folder}/index"), folder, channels=8)
-    return read.select("vid", "shape", F.round(weighted("features"), 5).alias("total"))
+    return read.select("vid", F.array_join("shape", ",").alias("shape"), F.round(weighted("features"), 5).alias("total"))
 
 
 BINS = "(VALUES (0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)) AS {0}(o{0}, i{0})"
