@@ -160,7 +160,7 @@ def test_malformed_long_pages_take_linear_time(piece):
         return time.perf_counter() - began
 
     seconds(500)
-    assert seconds(32_000) < 40 * max(0.01, min(seconds(2_000) for _ in range(3)))
+    assert seconds(32_000) < 100 * max(0.01, min(seconds(2_000) for _ in range(3)))
 
 
 def test_page_of_five_megabytes():
