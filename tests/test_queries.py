@@ -39,3 +39,24 @@ def test_query(spark, oracle, name):
     want = [dict(zip(columns, r)) for r in told.fetchall()]
     key = lambda r: repr([plain(r[c]) for c in sorted(columns)])
     assert sorted(map(key, want)) == sorted(key(r.asDict()) for r in rows)
+
+
+def test_equal_lines_of_an_order_count_by_their_place(spark, tmp_path):
+    """The files' sizes and splits deal rows to tasks in another order than that of the files."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 3000
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, copies, status in (("a", 1, "F"), ("b", 3, "O"), ("c", 5, "P")):
+        keys = list(range(n)) * copies
+        rows = {"l_orderkey": keys, "l_linenumber": [2 + (k % 3 > 0) for k in keys], "l_linestatus": [status] * len(keys), "l_comment": [f"{name} {i * 7919}" for i in range(len(keys))]}
+        pq.write_table(pa.table(rows), tmp_path / f"lineitem.parquet/{name}.parquet", row_group_size=1000)
+    pq.write_table(pa.table({"o_orderkey": list(range(n)), "o_orderstatus": ["F"] * n}), tmp_path / "orders.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20000)
+    try:
+        rows = plans.QUERIES["j4_gold_join"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == n and {(r["answer"], r["hit"]) for r in rows} == {("F", True)}
