@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import uniform_mix
 from tessera.operators import grid as G
-from tessera.sources.readers import npy_grids
+from tessera.sources.readers import named_npy_grids, npy_grids
 
 #: Session setting: which of the stored attention maps is read, and the ones there are.
 ATTENTION_VARIANT = "spark.tessera.attentionVariant"
@@ -26,9 +26,13 @@ def attention_variant(spark: SparkSession) -> str:
     return told
 
 
-def attention_scores(spark: SparkSession, root: str, split: str, shape: G.Shape) -> DataFrame:
-    """(vid, t, h, w, v): attention received by each cell, a file a volume; a map of another shape is an error."""
-    maps = npy_grids(spark, f"{root.rstrip('/')}/{split}/attn_received/{attention_variant(spark)}")
+def attention_scores(spark: SparkSession, root: str, split: str, shape: G.Shape, volumes: DataFrame | None = None) -> DataFrame:
+    """(vid, t, h, w, v): attention received by each cell, a file a volume; a map of another shape is an error.
+
+    volumes: (vid) of the volumes that are asked for, whose files are opened by name; all that the folder lists if not given.
+    """
+    folder = f"{root.rstrip('/')}/{split}/attn_received/{attention_variant(spark)}"
+    maps = npy_grids(spark, folder) if volumes is None else named_npy_grids(volumes, folder)
     lattice = F.when(F.col("shape") != F.array(*map(F.lit, shape)), F.raise_error(F.concat(F.lit("another shape than the grid's: "), "vid"))).otherwise(F.col("features"))
     return G.from_arrays(maps.select("vid", lattice.alias("x")), "vid", "x", shape).drop("c")
 

@@ -72,7 +72,7 @@ SELECT kind, vid, t::INT AS t, h::INT AS h, w::INT AS w, round(0.75 * v * count(
 @query(f"WITH c AS ({CELLS}), cells AS (SELECT 'last' AS kind, vid, i, (x * x)::FLOAT::DOUBLE AS v FROM c UNION ALL SELECT 'all', vid, i, abs(x) FROM c), {MAPS}")
 def x8_attention_importance(spark, sf_dir):
     """Two kinds of attention maps in files, chosen by the session's setting; 4 x 4 x 4 cells to 3 x 3 x 3 tokens."""
-    root, grids = new_folder(spark, "attention"), vectors(spark, sf_dir)
+    root, grids = new_folder(spark, "attention"), R.dealt(vectors(spark, sf_dir), "vid")
     made = None
     for kind, value in (("last", lambda x: x * x), ("all", lambda x: F.abs(x))):
         maps = grids.select("vid", F.array(*map(F.lit, (4, 4, 4))).alias("shape"), F.transform(F.col("features").cast("array<double>"), value).alias("features"))
@@ -80,7 +80,7 @@ def x8_attention_importance(spark, sf_dir):
         before = spark.conf.get(I.ATTENTION_VARIANT, None)
         spark.conf.set(I.ATTENTION_VARIANT, kind)
         try:
-            scores = I.attention_scores(spark, root, "train", (4, 4, 4))
+            scores = I.attention_scores(spark, root, "train", (4, 4, 4), vectors(spark, sf_dir))
         finally:
             spark.conf.set(I.ATTENTION_VARIANT, before) if before else spark.conf.unset(I.ATTENTION_VARIANT)
         part = E.IMPORTANCE.apply("attention", scores, shape=(4, 4, 4), out=(3, 3, 3), share=0.25).withColumn("kind", F.lit(kind))

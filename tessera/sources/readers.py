@@ -12,16 +12,30 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalars as S
+from tessera.sources.files import located
 
 #: Texts that stand for a missing number.
 NO_NUMBER = ("", "nan", "NaN", "NA")
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df by a key, in tasks for all cores: a small table, or one in few row groups, is else read in one or two."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions", "200")), 2 * session.sparkContext.defaultParallelism), by)
+
+
+def _npy_array(content: bytes, transpose: Sequence[int] | None, member: str | None) -> np.ndarray:
+    loaded = np.load(io.BytesIO(content), allow_pickle=False)
+    grid = loaded[member or loaded.files[0]] if hasattr(loaded, "files") else loaded
+    return (grid.transpose(transpose) if transpose else grid).astype(np.float32)
+
+
 def npy_grids(spark: SparkSession, folder: str, transpose: Sequence[int] | None = None, member: str | None = None) -> DataFrame:
     """(vid, shape, features) of one .npy, or one member of an .npz, for each volume."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(folder)
@@ -30,16 +44,48 @@ def npy_grids(spark: SparkSession, folder: str, transpose: Sequence[int] | None
         for frame in frames:
             rows = []
             for vid, content in zip(frame["vid"], frame["content"]):
-                loaded = np.load(io.BytesIO(content), allow_pickle=False)
-                grid = loaded[member or loaded.files[0]] if hasattr(loaded, "files") else loaded
-                grid = grid.transpose(transpose) if transpose else grid
-                rows.append((vid, list(grid.shape), grid.astype(np.float32).ravel()))
+                grid = _npy_array(content, transpose, member)
+                rows.append((vid, list(grid.shape), grid.ravel()))
             yield pd.DataFrame(rows, columns=["vid", "shape", "features"])
 
     named = files.select(S.volume_id(F.col("path")).alias("vid"), "content")
     return named.mapInPandas(run, "vid string, shape array<int>, features array<float>")
 
 
+def named_npy_grids(volumes: DataFrame, folder: str, transpose: Sequence[int] | None = None, most: int = 8 << 20) -> DataFrame:
+    """(vid, shape, features) of folder/vid.npy for each vid of volumes, once; a volume without its file is an error.
+
+    The folder isn't listed: tasks open the files of their volumes, so that neither the driver
+    nor a number of tasks grows with the files. About `most` bytes of arrays are held at a time.
+    """
+    # Dealt out before equal ones are left out, as that keeps the number of tasks whatever the size.
+    named = dealt(volumes.select(F.col("vid").cast("string").alias("vid")), "vid").distinct()
+
+    schema = pa.schema([("vid", pa.string()), ("shape", pa.list_(pa.int32())), ("features", pa.list_(pa.float32()))])
+
+    def made(rows):
+        names, grids = [vid for vid, _ in rows], [grid for _, grid in rows]
+        ends = np.cumsum([0, *(grid.size for grid in grids)]).astype(np.int32)
+        flat = np.concatenate([grid.ravel() for grid in grids]) if grids else np.zeros(0, np.float32)
+        features = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([grid.shape for grid in grids], pa.list_(pa.int32())), features], schema=schema)
+
+    def run(batches):
+        system, own = located(folder.rstrip("/"))
+        for batch in batches:
+            rows, held = [], 0
+            for vid in batch.column("vid").to_pylist():
+                with system.open_input_stream(f"{own}/{vid}.npy") as file:
+                    rows.append((vid, _npy_array(file.read(), transpose, None)))
+                held += rows[-1][1].nbytes
+                if held >= most:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
+
+    return named.mapInArrow(run, "vid string, shape array<int>, features array<float>")
+
+
 # NIfTI-1 data types by their code.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 

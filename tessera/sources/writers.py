@@ -6,6 +6,7 @@ import html
 import io
 import json
 import os
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -53,20 +54,29 @@ def npy_files(grids: DataFrame, folder: str) -> DataFrame:
     """Writes (vid, shape, features) as folder/vid.npy, a float32 array a volume; gives (vid, path).
 
     The table is lazy: files are written when it is read, and a task that is tried again
-    writes the same ones.
+    writes the same ones. A task writes in a folder of its own and moves whole files from there,
+    as tasks that make their files in one folder wait for each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = []
-            for vid, shape, features in zip(batch.column("vid").to_pylist(), batch.column("shape").to_pylist(), batch.column("features"), strict=True):
-                if not vid or "/" in vid:
-                    raise ValueError(f"{vid!r} can't name a file")
-                buffer = io.BytesIO()
-                np.save(buffer, features.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(shape))
-                paths.append(f"{folder.rstrip('/')}/{vid}.npy")
-                files.write_bytes(paths[-1], buffer.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(paths, pa.string())], ["vid", "path"])
+        system, own = files.located(folder.rstrip("/"))
+        part = f"{own}/.part-{uuid.uuid4().hex}"
+        system.create_dir(part, recursive=True)
+        try:
+            for batch in batches:
+                paths = []
+                for vid, shape, features in zip(batch.column("vid").to_pylist(), batch.column("shape").to_pylist(), batch.column("features"), strict=True):
+                    if not vid or "/" in vid:
+                        raise ValueError(f"{vid!r} can't name a file")
+                    buffer = io.BytesIO()
+                    np.save(buffer, features.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(shape))
+                    with system.open_output_stream(f"{part}/{vid}.npy") as file:
+                        file.write(buffer.getvalue())
+                    system.move(f"{part}/{vid}.npy", f"{own}/{vid}.npy")
+                    paths.append(f"{folder.rstrip('/')}/{vid}.npy")
+                yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(paths, pa.string())], ["vid", "path"])
+        finally:
+            system.delete_dir(part)
 
     return grids.select("vid", "shape", F.col("features").cast("array<float>").alias("features")).mapInArrow(run, "vid string, path string")
 

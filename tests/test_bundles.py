@@ -1,4 +1,5 @@
 import fnmatch
+import os
 
 import pytest
 
@@ -7,6 +8,7 @@ from tessera.operators import importance as I
 from tessera.operators import region as R
 from tessera.plans import experiments as E
 from tessera.sources import bundles as B
+from tessera.sources import readers
 from tessera.sources import writers as W
 
 KNOWN = {
@@ -107,3 +109,21 @@ def test_distances_of_pairs(linkage):
     assert np.allclose(np.delete(d.row(7), 7), np.delete(full[9], 7), atol=1e-5) and d.row(100)[7] == pytest.approx(full[9][100], abs=1e-5)
     merges = R._unconstrained(x, linkage)
     assert len(merges) == 300
+
+
+def test_maps_of_named_volumes(spark, tmp_path):
+    """Files are opened by name in tasks whose number doesn't follow theirs; the folder isn't listed."""
+    n = 200
+    maps = spark.range(n).selectExpr("'v' || id AS vid", "array(1, 1, 2) AS shape", "array(id + 1D, id + 2D) AS features")
+    folder = tmp_path / "train/attn_received/all"
+    assert W.npy_files(maps, str(folder)).count() == n
+    assert sorted(os.listdir(folder)) == sorted(f"v{k}.npy" for k in range(n))
+    (folder / "broken.npy").write_bytes(b"not an array")
+    asked = spark.createDataFrame([(f"v{k}",) for k in (*range(n), 3, 3)], "vid string")
+    cells = I.attention_scores(spark, str(tmp_path), "train", (1, 1, 2), asked)
+    assert cells.rdd.getNumPartitions() <= max(4, 2 * spark.sparkContext.defaultParallelism)
+    assert sorted((r["vid"], r["w"], r["v"]) for r in cells.collect()) == sorted((f"v{k}", w, k + 1.0 + w) for k in range(n) for w in (0, 1))
+    large = spark.createDataFrame([("v0",), ("v7",)], "vid string")
+    assert {r["vid"]: list(r["features"]) for r in readers.named_npy_grids(large, str(folder), most=1).collect()} == {"v0": [1.0, 2.0], "v7": [8.0, 9.0]}
+    with pytest.raises(Exception, match="absent"):
+        I.attention_scores(spark, str(tmp_path), "train", (1, 1, 2), asked.selectExpr("'absent' AS vid")).collect()
