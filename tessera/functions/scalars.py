@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -336,6 +337,11 @@ def judged_section(x: Column, name: str) -> Column:
     return F.get(found, 0)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once for each row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def judged_lines(section: Column) -> Column:
     """The lines of a section that name a category by letter or, if none does so, by number; in order.
 
@@ -343,15 +349,21 @@ def judged_lines(section: Column) -> Column:
     """
     of = lambda marks: F.array_sort(F.regexp_extract_all(section, F.lit(rf"\([{marks}]\) [^\n]*"), F.lit(0)))
     none = F.expr("cast(array() as array<string>)")
-    return F.when(section.isNull() | section.startswith("No"), none).when(F.size(of("a-f")) > 0, of("a-f")).otherwise(of("1-6"))
+    named = _once(of("a-f"), lambda lines: F.when(F.size(lines) > 0, lines).otherwise(of("1-6")))
+    return F.when(section.isNull() | section.startswith("No"), none).otherwise(named)
 
 
-def judged_count(section: Column, letter: str) -> Column:
-    """The number between ": " and "." of the last line of a category that has one, or 0."""
+def counted(lines: Column, letter: str) -> Column:
+    """The number between ": " and "." of the last of the judged lines of a category that has one, or 0."""
     number = ERROR_LETTERS.index(letter) + 1
-    own = F.filter(judged_lines(section), lambda x: x.startswith(f"({letter}) ") | x.startswith(f"({number}) "))
+    own = F.filter(lines, lambda x: x.startswith(f"({letter}) ") | x.startswith(f"({number}) "))
     counts = F.filter(F.transform(own, lambda x: F.regexp_extract(x, r": (\d+)\.", 1)), lambda x: x != "")
-    return F.when(F.size(counts) > 0, F.element_at(counts, -1).cast("int")).otherwise(0)
+    return _once(counts, lambda c: F.when(F.size(c) > 0, F.element_at(c, -1).cast("int")).otherwise(0))
+
+
+def judged_count(section: Column, letter: str) -> Column:
+    """The count of a category in a section; counted of lines that are a column spares finding them for each category."""
+    return counted(judged_lines(section), letter)
 
 
 def judged_matches(section: Column) -> Column:

@@ -436,10 +436,13 @@ def f12_f14_judgements(spark, sf_dir):
     q = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "p_size % 7 AS n", "p_size % 3 AS m", "p_size % 4 AS k")
     body = F.expr(_JUDGED)
     text = F.concat(F.lit("[Clinically Significant Errors]:\n"), body, F.lit("\n\n[Matched Findings]: "), F.col("k"), F.lit(". one; two;"))
-    section, found = S.judged_section(text, "Clinically Significant Errors"), S.judged_section(text, "Matched Findings")
-    a, b = S.judged_count(section, "a"), S.judged_count(section, "b")
-    said = F.array_join(S.judged_sentences(found, matched=True), "|")
-    return q.select("p_partkey", a.alias("n_a"), b.alias("n_b"), S.green_score(S.judged_matches(found), [a, b]).alias("green"), said.alias("said"))
+    # Columns of their own, as each is named more than once below and would be computed as often.
+    told = q.select("p_partkey", text.alias("text"))
+    told = told.select("p_partkey", S.judged_section(F.col("text"), "Clinically Significant Errors").alias("section"), S.judged_section(F.col("text"), "Matched Findings").alias("found"))
+    told = told.select("p_partkey", "found", S.judged_lines(F.col("section")).alias("lines"))
+    told = told.select("p_partkey", "found", S.counted(F.col("lines"), "a").alias("n_a"), S.counted(F.col("lines"), "b").alias("n_b"), S.judged_matches(F.col("found")).alias("matched"))
+    said = F.array_join(S.judged_sentences(F.col("found"), matched=True), "|")
+    return told.select("p_partkey", "n_a", "n_b", S.green_score(F.col("matched"), [F.col("n_a"), F.col("n_b")]).alias("green"), said.alias("said"))
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::DOUBLE AS k, CASE WHEN event_id % 2 = 0 THEN 'green' ELSE 'fast' END AS kind FROM events")

@@ -60,3 +60,9 @@ def test_equal_lines_of_an_order_count_by_their_place(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(rows) == n and {(r["answer"], r["hit"]) for r in rows} == {("F", True)}
+
+
+def test_judgements_are_read_once(spark):
+    """Sections and lines are found once a row, not for each count and score that names them."""
+    plan = plans.QUERIES["f12_f14_judgements"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4 and plan.count("[Clinically Significant Errors]") == 1, plan
