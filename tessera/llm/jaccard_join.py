@@ -278,6 +278,9 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         other = placed.where("root <> main").groupBy("pivot").agg(F.min("d").alias("nearest"), F.max("d").alias("furthest"))
         near = (F.col("root") != F.col("main")) | (F.col("d") >= F.col("nearest") - radius) & (F.col("d") <= F.col("furthest") + radius)
         rest = staged(placed.join(other, "pivot").where(near).select("pivot", "centre", "point", "n", "own", "rest", "root", "main", F.col("d").alias("at")), "regions")
+        # Few points go on; the sets of the others would be shuffled again for each comparison.
+        open_points = rest.select("point").unionByName(rest.select(F.col("centre").alias("point"))).distinct()
+        sets = staged(sets.join(open_points, "point", "left_semi"), "open-sets")
     return found
 
 

@@ -142,3 +142,18 @@ def test_rows_dealt_to_blocks_are_in_proportion(spark, monkeypatch):
     n = 4000
     J.op3(spark.createDataFrame(family(n), "doc_id long, text string")).collect()
     assert sum(dealt) <= 20 * n
+
+
+def test_later_rounds_take_the_sets_of_open_points_only(spark, monkeypatch):
+    """A family that one round leaves open, among pairs that it settles."""
+    monkeypatch.setattr(J, "SMALL", 4)
+    taken, own = [], J.compared
+    monkeypatch.setattr(J, "compared", lambda pairs, sets: taken.append(sets.count()) or own(pairs, sets))
+    rng = random.Random(5)
+    rows = [(1000 + i, text) for i, text in family(60)]
+    for k in range(40):
+        words = [str(rng.randrange(10**9)) for _ in range(60)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.op3(docs).collect()), key=repr) == brute(rows, 3, 90)
+    assert len(taken) > 1 and taken[0] > 80 and max(taken[1:]) <= 60, taken
