@@ -41,7 +41,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_index.op5(table(spark, sf_dir, "documents"))
+    return repeat_index.op5(table(spark, sf_dir, "documents"), words=repeat_index.PASSAGE)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

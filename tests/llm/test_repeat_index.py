@@ -89,3 +89,50 @@ def test_spans_are_merged_by_stretches(spark, monkeypatch):
     assert max(map(len, spans.values())) <= 20_000 // 300 + 1
     got = {r["doc_id"]: r["n_removed"] for r in R.op5(docs, 100).collect()}
     assert got == {i: sum(b - a for a, b in s) for i, s in enumerate(brute([t.encode() for t in texts], 100))}
+
+
+def shared_places(rows: list[tuple], words: int) -> dict[int, int]:
+    holders: dict[tuple, set] = {}
+    windows = {}
+    for id_, text in rows:
+        found = (text or "").encode().split()
+        windows[id_] = [tuple(found[i : i + words]) for i in range(len(found) - words + 1)]
+        for w in windows[id_]:
+            holders.setdefault(w, set()).add((id_, text))
+    return {id_: sum(len(holders[w]) > 1 for w in ws) for id_, ws in windows.items()}
+
+
+@pytest.mark.parametrize("length,words,piece,hot", [(400, 51, 1 << 17, 4096), (100, 8, 1 << 17, 4096), (100, 51, 40, 4), (64, 17, 1 << 17, 2)])
+def test_passages_of_other_rows_match_brute_force(spark, monkeypatch, length, words, piece, hot):
+    monkeypatch.setattr(R, "PIECE_WORDS", piece)
+    monkeypatch.setattr(R, "HOT", hot)
+    monkeypatch.setattr(R, "COUNTED", 200)
+    rng = random.Random(1000 + words)
+    prose = lambda k: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(k))
+    planted = [prose(k) for k in (words - 1, words, words, words + 4, words + 40)]
+    texts = [None, "", *corpus(words)]
+    for k in range(30):
+        p = planted[k % 5]
+        texts.append(f"{prose(rng.randint(0, 80))}\n{p.replace(' ', chr(10)) if k % 2 else p}\t {prose(rng.randint(0, 80))}")
+    alone = prose(words + 9)
+    texts += ["x " + alone + " y " + alone, "ab " * 300]
+    rows = [*enumerate(texts), (5, texts[5]), (len(texts) - 2, texts[-2])]
+    want = shared_places(rows, words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = R.op5(docs, length, words).collect()
+    assert {r["doc_id"]: r["n_passages"] for r in got} == want
+    assert sum(n > 0 for n in want.values()) >= 24 and want[len(texts) - 2] == 0
+    plain = R.op5(docs, length).collect()
+    assert sorted(map(tuple, plain)) == sorted(tuple(r)[:5] for r in got)
+
+
+def test_query_tells_passages_below_the_bound_of_bytes(spark, tmp_path):
+    from tessera.llm.queries import op5_suffix_array_dedup
+
+    rng = random.Random(8)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    passage = prose(55)
+    texts = [f"{prose(70)} {passage} {prose(70)}", f"{prose(30)}\n{passage}", prose(200), passage[:290]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"]) for r in op5_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 5), 1: (0, 5), 2: (0, 0), 3: (0, 0)}
